@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import contains_any, first_filled
+from .text import first_filled, let
 
 # Words that decide a class.
 PROCEDURE_WORDS = {
@@ -49,10 +49,14 @@ NUMBER_HINTS = {"OBRA": ["LO-", "LO "], "ADQUISICION": ["LA-", "LA "], "SERVICIO
 def by_words(c: Column, rules: dict[str, list[str]], default: str) -> Column:
     """The first class one of whose words occurs; null text gets the default."""
     tests = list(rules.items())
-    chain = F.when(contains_any(c, tests[0][1]), tests[0][0])
-    for name, words in tests[1:]:
-        chain = chain.when(contains_any(c, words), name)
-    return chain.otherwise(default)
+
+    def read(text: Column) -> Column:
+        chain = F
+        for name, words in tests:
+            chain = chain.when(reduce(lambda a, b: a | b, [text.contains(w) for w in words]), name)
+        return chain.otherwise(default)
+
+    return let(c, read)
 
 
 def by_table(c: Column, table: dict[str, str]) -> Column:
@@ -80,12 +84,12 @@ def portal_status(c: Column) -> Column:
 
 
 def procedure_from_number(c: Column) -> Column:
-    n = F.upper(c)
-    return (
-        F.when(n.startswith("LA-") | n.contains("LICITACI"), "LICITACION_PUBLICA")
+    return let(
+        F.upper(c),
+        lambda n: F.when(n.startswith("LA-") | n.contains("LICITACI"), "LICITACION_PUBLICA")
         .when(n.startswith("IA-") | n.startswith("I3P-"), "INVITACION_3")
         .when(n.startswith("AD-") | n.contains("ADJUDICACI"), "ADJUDICACION_DIRECTA")
-        .otherwise("LICITACION_PUBLICA")
+        .otherwise("LICITACION_PUBLICA"),
     )
 
 
@@ -121,28 +125,36 @@ def release_status(c: Column) -> Column:
 
 def contract_by_score(c: Column) -> Column:
     """The keyword list with most words present wins, earlier lists on ties; then number prefixes."""
-    text = F.lower(c)
-    scores = [
-        F.struct(
-            reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words]).alias("score"),
-            F.lit(-i).alias("rank"),
-            F.lit(name).alias("name"),
+
+    def scores(text: Column) -> Column:
+        return F.array_max(
+            F.array(
+                *[
+                    F.struct(
+                        reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words]).alias("score"),
+                        F.lit(-i).alias("rank"),
+                        F.lit(name).alias("name"),
+                    )
+                    for i, (name, words) in enumerate(KEYWORD_LISTS.items())
+                ]
+            )
         )
-        for i, (name, words) in enumerate(KEYWORD_LISTS.items())
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, best["name"]).otherwise(by_words(c, NUMBER_HINTS, "No especificado"))
+
+    winner = let(let(F.lower(c), scores), lambda best: F.when(best["score"] > 0, best["name"]))
+    return F.coalesce(winner, by_words(c, NUMBER_HINTS, "No especificado"))
 
 
 def invitation_detail(c: Column) -> Column:
-    t = F.upper(c)
-    invited = contains_any(t, ["INVITACIÓN", "INVITACION"])
-    return (
-        F.when(invited & contains_any(t, ["TRES", "3"]), "INVITACION_3_PERSONAS")
-        .when(invited, "INVITACION")
-        .when(contains_any(t, ["ADJUDICACIÓN DIRECTA", "ADJUDICACION DIRECTA"]), "ADJUDICACION_DIRECTA")
-        .otherwise("LICITACION_PUBLICA")
-    )
+    def read(t: Column) -> Column:
+        invited = t.contains("INVITACIÓN") | t.contains("INVITACION")
+        return (
+            F.when(invited & (t.contains("TRES") | t.contains("3")), "INVITACION_3_PERSONAS")
+            .when(invited, "INVITACION")
+            .when(t.contains("ADJUDICACIÓN DIRECTA") | t.contains("ADJUDICACION DIRECTA"), "ADJUDICACION_DIRECTA")
+            .otherwise("LICITACION_PUBLICA")
+        )
+
+    return let(F.upper(c), read)
 
 
 def cell_procedure(method: Column, number: Column, title: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import blank_to_null, first_filled, grab, strip
+from .text import blank_to_null, first_filled, grab, let, strip
 
 # Month names and their short forms.
 MONTHS = {
@@ -26,55 +26,63 @@ def month_number(name: Column, short: bool = True) -> Column:
 
 def ymd(year: Column, month: Column, day: Column) -> Column:
     """A date from three text or number parts, null if there is no such day."""
-    parts = [p.cast("string") for p in (year, month, day)]
-    complete = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
-    return F.when(complete, F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d"))
+    dash = F.lit("-")
+    return F.try_to_date(F.concat(year.cast("string"), dash, month.cast("string"), dash, day.cast("string")), "yyyy-M-d")
 
 
 def slash_date(c: Column) -> Column:
     """Exactly d/m/yyyy."""
-    return F.when(c.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(c, "d/M/yyyy"))
+    return let(c, lambda x: F.when(x.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(x, "d/M/yyyy")))
 
 
 def iso_date(c: Column) -> Column:
     """Exactly yyyy-m-d."""
-    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(c, "yyyy-M-d"))
+    return let(c, lambda x: F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(x, "yyyy-M-d")))
 
 
 def portal_date(c: Column) -> Column:
     """ISO with time, d/m/yyyy [hh:mm] or yyyy-mm-dd [hh:mm]; '-' and blanks are missing values."""
-    s = F.when(strip(c).isin("", "-"), None).otherwise(c)
-    head = F.split_part(s, F.lit(" "), F.lit(1))
-    with_time = F.when(F.try_to_timestamp(s).isNotNull(), iso_date(F.substring(s, 1, 10)))
-    return F.when(s.contains("T"), with_time).otherwise(F.coalesce(slash_date(head), iso_date(head)))
+
+    def read(s: Column) -> Column:
+        day = F.split_part(s, F.lit(" "), F.lit(1))
+        with_time = F.when(F.try_to_timestamp(s).isNotNull(), iso_date(F.substring(s, 1, 10)))
+        return F.when(strip(s).isin("", "-"), None).when(s.contains("T"), with_time).when(
+            s.contains("/"), slash_date(day)
+        ).otherwise(iso_date(day))
+
+    return let(c, read)
+
+
+_SHORT_FORM = r"(?U)(\d{1,2})\s+(\w{3,})\.?\s+(\d{4})"
+_LOOSE_FORM = r"^([^/]*)/([^/]*)/[^/]*?(\d{4})[^/]*$"
 
 
 def gazette_date(c: Column) -> Column:
     """Five printed forms; an unknown month name counts as January."""
-    s = strip(F.regexp_replace(F.regexp_replace(strip(c), "en CompraNet|en Compras Mx", ""), r"\.", ""))
-    before_comma = strip(F.split_part(s, F.lit(","), F.lit(1)))
-    slashed = r"^[^/]*/[^/]*/[^/]*$"
-
-    words = F.split(F.lower(s), " de ")
-    word_month = F.coalesce(month_number(strip(F.get(words, F.lit(1)))), F.lit(1))
-    long_form = F.when(
-        F.size(words) >= 3,
-        ymd(F.substring(strip(F.get(words, F.lit(2))), 1, 4), word_month, strip(F.get(words, F.lit(0)))),
-    )
 
-    short = r"(?U)(\d{1,2})\s+(\w{3,})\.?\s+(\d{4})"
-    short_month = F.coalesce(month_number(grab(s, short, 2)), F.lit(1))
-    short_form = ymd(grab(s, short, 3), short_month, grab(s, short, 1))
+    def read(s: Column) -> Column:
+        return F.when(s.rlike(r"^[^/,]*/[^/,]*/[^/,]*,"), slash_date(strip(F.split_part(s, F.lit(","), F.lit(1))))).otherwise(
+            F.coalesce(
+                F.when(s.contains(" "), F.coalesce(let(F.split(F.lower(s), " de "), long_form), short_form(s))),
+                let(F.split_part(s, F.lit(" "), F.lit(1)), lambda word: F.when(
+                    word.rlike(r"^[^-]{4}-[^-]*-[^-]*$"), iso_date(word)
+                ).otherwise(loose_form(s))),
+            )
+        )
 
-    first_word = F.split_part(s, F.lit(" "), F.lit(1))
-    loose = r"^([^/]*)/([^/]*)/[^/]*?(\d{4})[^/]*$"
-    loose_form = slash_date(
-        F.when(s.rlike(loose), F.concat_ws("/", *[F.regexp_extract(s, loose, i) for i in (1, 2, 3)]))
-    )
-    iso_shape = first_word.rlike(r"^[^-]{4}-[^-]*-[^-]*$")
-    return F.when(s.contains(",") & before_comma.rlike(slashed), slash_date(before_comma)).otherwise(
-        F.coalesce(long_form, short_form, F.when(iso_shape, iso_date(first_word)).otherwise(loose_form))
-    )
+    def long_form(words: Column) -> Column:
+        month = F.coalesce(month_number(strip(F.get(words, F.lit(1)))), F.lit(1))
+        year = F.substring(strip(F.get(words, F.lit(2))), 1, 4)
+        return F.when(F.size(words) >= 3, ymd(year, month, strip(F.get(words, F.lit(0)))))
+
+    def short_form(s: Column) -> Column:
+        month = F.coalesce(month_number(F.regexp_extract(s, _SHORT_FORM, 2)), F.lit(1))
+        return F.when(s.rlike(_SHORT_FORM), ymd(F.regexp_extract(s, _SHORT_FORM, 3), month, F.regexp_extract(s, _SHORT_FORM, 1)))
+
+    def loose_form(s: Column) -> Column:
+        return F.when(s.rlike(_LOOSE_FORM), slash_date(F.regexp_replace(s, _LOOSE_FORM, "$1/$2/$3")))
+
+    return let(strip(F.regexp_replace(strip(c), r"en CompraNet|en Compras Mx|\.", "")), read)
 
 
 def structured_date(fecha: Column, texto_original: Column) -> Column:
@@ -83,96 +91,107 @@ def structured_date(fecha: Column, texto_original: Column) -> Column:
 
 
 _CLOCK = r"(?:,?\s*(?:a?\s*las?\s*)?(\d{1,2}):(\d{2}))?"
-_NUMERIC_EVENT = r"(?iu)^(\d{1,2})[/-](\d{1,2})[/-](\d{4})" + _CLOCK
-_WORDED_EVENT = r"(?iuU)^(\d{1,2})\s+de\s+(\w+)\s+(?:de\s+)?(\d{4})" + _CLOCK
-_SLASHED_NAME_EVENT = r"(?iuU)^(\d{1,2})/(\w+)/(\d{4})" + _CLOCK
+_NUMERIC_EVENT = r"(?isu)^(\d{1,2})[/-](\d{1,2})[/-](\d{4})" + _CLOCK + ".*$"
+_NAMED_EVENT = r"(?isuU)^(\d{1,2})(?:\s+de\s+|/)(\w+)(?:\s+de\s+|\s+|/)(\d{4})" + _CLOCK + ".*$"
 
 
 def event_timestamp(c: Column) -> Column:
     """Date with optional clock time of a notice event, as 'yyyy-MM-dd HH:mm:ss' text; null if invalid."""
-    s = strip(c)
-
-    def build(pattern: str, month: Column) -> Column:
-        hour = F.coalesce(grab(s, pattern, 4), F.lit("0"))
-        minute = F.coalesce(grab(s, pattern, 5), F.lit("0"))
-        day = F.concat_ws("-", grab(s, pattern, 3), month.cast("string"), grab(s, pattern, 1))
-        stamp = F.concat_ws(" ", day, F.concat_ws(":", hour, minute))
-        usable = s.rlike(pattern) & month.isNotNull()
-        return F.when(usable, F.date_format(F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:m")), "yyyy-MM-dd HH:mm:ss"))
-
-    return F.coalesce(
-        build(_NUMERIC_EVENT, grab(s, _NUMERIC_EVENT, 2)),
-        build(_WORDED_EVENT, month_number(grab(s, _WORDED_EVENT, 2), short=False)),
-        build(_SLASHED_NAME_EVENT, month_number(grab(s, _SLASHED_NAME_EVENT, 2), short=False)),
-    )
 
+    def stamp(parts: Column, month: Column) -> Column:
+        hour, minute = (F.coalesce(blank_to_null(F.get(parts, F.lit(i))), F.lit("0")) for i in (3, 4))
+        dash, colon = F.lit("-"), F.lit(":")
+        text = F.concat(
+            F.get(parts, F.lit(2)), dash, month.cast("string"), dash, F.get(parts, F.lit(0)), F.lit(" "), hour, colon, minute
+        )
+        return F.date_format(F.try_to_timestamp(text, F.lit("yyyy-M-d H:m")), "yyyy-MM-dd HH:mm:ss")
+
+    def parts(s: Column, pattern: str) -> Column:
+        return F.split(F.regexp_replace(s, pattern, "$1|$2|$3|$4|$5"), r"\|")
+
+    def read(s: Column) -> Column:
+        return F.when(s.rlike(_NUMERIC_EVENT), let(parts(s, _NUMERIC_EVENT), lambda p: stamp(p, F.get(p, F.lit(1))))).when(
+            s.rlike(_NAMED_EVENT),
+            let(parts(s, _NAMED_EVENT), lambda p: stamp(p, month_number(F.get(p, F.lit(1)), short=False))),
+        )
+
+    return let(strip(c), read)
 
-_PADDED = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?:,?\s*(\d{1,2}):(\d{2}))?"
-_HOUR_FIRST = r"(?iuU)(\d{1,2}):(\d{2})\s*(?:horas?|hrs?)?,?\s*(\d{1,2})\s+(\w{3,})\s*\.?\s*(\d{4})"
-_WITH_DE = r"(?iuU)(\d{1,2})\s+de\s+(\w+)\s+de(?:l?)?\s+(\d{4})"
-_PLAIN_MONTH = r"(?iuU)(\d{1,2})\s+(\w{3,})\.?\s+(\d{4})"
+
+_PADDED = r"(?s)^.*?(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?:,?\s*(\d{1,2}):(\d{2}))?.*$"
+_HOUR_FIRST = r"(?isuU)^.*?(\d{1,2}):(\d{2})\s*(?:horas?|hrs?)?,?\s*(\d{1,2})\s+(\w{3,})\s*\.?\s*(\d{4}).*$"
+_WITH_DE = r"(?isuU)^.*?(\d{1,2})\s+de\s+(\w+)\s+de(?:l?)?\s+(\d{4}).*$"
+_PLAIN_MONTH = r"(?isuU)^.*?(\d{1,2})\s+(\w{3,})\.?\s+(\d{4}).*$"
 _ANY_CLOCK = r"(\d{1,2}):(\d{2})"
 
 
 def date_parts(c: Column) -> Column:
     """Printed date as struct(fecha, hora, texto_original); text no form fits keeps only texto_original."""
-    s = strip(c)
 
     def two(x: Column) -> Column:
         return F.lpad(x.cast("string"), 2, "0")
 
-    def pack(year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
-        clock = F.when(hour.isNotNull(), F.concat_ws(":", two(hour), minute)).otherwise("")
+    def pack(s: Column, year: Column, month: Column, day: Column, hour: Column, minute: Column) -> Column:
+        clock = F.when(hour != "", F.concat(two(hour), F.lit(":"), minute)).otherwise("")
+        dash = F.lit("-")
         return F.struct(
-            F.concat_ws("-", year, two(month), two(day)).alias("fecha"),
-            clock.alias("hora"),
-            s.alias("texto_original"),
+            F.concat(year, dash, two(month), dash, two(day)).alias("fecha"), clock.alias("hora"), s.alias("texto_original")
         )
 
-    def named(pattern: str, i: int) -> Column:
-        return F.coalesce(month_number(grab(s, pattern, i)), F.lit(1))
+    def parts(s: Column, pattern: str, groups: int) -> Column:
+        return F.split(F.regexp_replace(s, pattern, "|".join(f"${i + 1}" for i in range(groups))), r"\|")
 
-    parsed = (
-        F.when(s.rlike(_PADDED), pack(*[grab(s, _PADDED, i) for i in (3, 2, 1, 4, 5)]))
-        .when(
-            s.rlike(_HOUR_FIRST),
-            pack(grab(s, _HOUR_FIRST, 5), named(_HOUR_FIRST, 4), grab(s, _HOUR_FIRST, 3),
-                 grab(s, _HOUR_FIRST, 1), grab(s, _HOUR_FIRST, 2)),
-        )
-        .when(
-            s.rlike(_WITH_DE),
-            pack(grab(s, _WITH_DE, 3), named(_WITH_DE, 2), grab(s, _WITH_DE, 1),
-                 grab(s, _ANY_CLOCK, 1), grab(s, _ANY_CLOCK, 2)),
-        )
-        .when(
-            s.rlike(_PLAIN_MONTH),
-            pack(grab(s, _PLAIN_MONTH, 3), named(_PLAIN_MONTH, 2), grab(s, _PLAIN_MONTH, 1),
-                 grab(s, _ANY_CLOCK, 1), grab(s, _ANY_CLOCK, 2)),
+    def at(p: Column, i: int) -> Column:
+        return F.get(p, F.lit(i))
+
+    def named(p: Column, i: int) -> Column:
+        return F.coalesce(month_number(at(p, i)), F.lit(1))
+
+    def with_clock(s: Column, pattern: str) -> Column:
+        hour, minute = (F.regexp_extract(s, _ANY_CLOCK, i) for i in (1, 2))
+        return let(parts(s, pattern, 3), lambda p: pack(s, at(p, 2), named(p, 1), at(p, 0), hour, minute))
+
+    def read(s: Column) -> Column:
+        return (
+            F.when(s.isin("", "No aplica"), None)
+            .when(s.rlike(_PADDED), let(parts(s, _PADDED, 5), lambda p: pack(s, at(p, 2), at(p, 1), at(p, 0), at(p, 3), at(p, 4))))
+            .when(s.rlike(_HOUR_FIRST), let(parts(s, _HOUR_FIRST, 5), lambda p: pack(s, at(p, 4), named(p, 3), at(p, 2), at(p, 0), at(p, 1))))
+            .when(s.rlike(_WITH_DE), with_clock(s, _WITH_DE))
+            .when(s.rlike(_PLAIN_MONTH), with_clock(s, _PLAIN_MONTH))
+            .when(s.isNotNull(), F.struct(F.lit("").alias("fecha"), F.lit("").alias("hora"), s.alias("texto_original")))
         )
-        .otherwise(F.struct(F.lit("").alias("fecha"), F.lit("").alias("hora"), s.alias("texto_original")))
-    )
-    return F.when(blank_to_null(c).isNotNull() & (c != "No aplica"), parsed)
+
+    return let(strip(c), read)
+
+
+_SLASH_ANY = r"(?s)^.*?\b(\d{1,2})/(\d{1,2})/(\d{4})\b.*$"
+_WORDED_ANY = r"(?s)^.*?\b(\d{1,2})\s+([a-záéíóú]+)\s+(\d{4})\b.*$"
 
 
 def any_date(c: Column) -> Column:
     """d/m/yyyy or 'd month yyyy' anywhere in the text, month in long or short form."""
-    s = F.lower(strip(c))
-    slash = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
-    worded = r"\b(\d{1,2})\s+([a-záéíóú]+)\s+(\d{4})\b"
-    name = grab(s, worded, 2)
-    name = F.when(name.startswith("sept"), "sept").otherwise(name)
-    return F.coalesce(
-        ymd(grab(s, slash, 3), grab(s, slash, 2), grab(s, slash, 1)),
-        ymd(grab(s, worded, 3), month_number(name), grab(s, worded, 1)),
-    )
+
+    def worded(p: Column) -> Column:
+        name = F.get(p, F.lit(1))
+        month = month_number(F.when(name.startswith("sept"), "sept").otherwise(name))
+        return ymd(F.get(p, F.lit(2)), month, F.get(p, F.lit(0)))
+
+    def read(s: Column) -> Column:
+        return F.coalesce(
+            F.when(s.rlike(_SLASH_ANY), F.try_to_date(F.regexp_replace(s, _SLASH_ANY, "$3-$2-$1"), "yyyy-M-d")),
+            F.when(s.rlike(_WORDED_ANY), let(F.split(F.regexp_replace(s, _WORDED_ANY, "$1|$2|$3"), r"\|"), worded)),
+        )
+
+    return let(F.lower(strip(c)), read)
 
 
 def ocds_date(c: Column) -> Column:
     """ISO date-time, yyyy-mm-dd or d/m/yyyy."""
-    return (
-        F.when(c.contains("T"), iso_date(F.split_part(c, F.lit("T"), F.lit(1))))
-        .when(c.rlike(r"^[^-]{4}-"), iso_date(c))
-        .otherwise(slash_date(c))
+    return let(
+        c,
+        lambda s: F.when(s.contains("T"), iso_date(F.split_part(s, F.lit("T"), F.lit(1))))
+        .when(s.rlike(r"^[^-]{4}-"), iso_date(s))
+        .otherwise(slash_date(s)),
     )
 
 
@@ -183,10 +202,12 @@ def release_date(c: Column) -> Column:
 
 def five_format_date(*keys: Column) -> Column:
     """The first filled of several fields, read in one of five formats."""
-    s = first_filled(*keys)
-    day = F.split_part(s, F.lit("T"), F.lit(1))
-    dashed = F.when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(s, "d-M-yyyy"))
-    return F.coalesce(iso_date(day), slash_date(s), dashed)
+
+    def read(s: Column) -> Column:
+        dashed = F.when(s.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(s, "d-M-yyyy"))
+        return F.coalesce(iso_date(F.split_part(s, F.lit("T"), F.lit(1))), slash_date(s), dashed)
+
+    return let(first_filled(*keys), read)
 
 
 def date_cut(c: Column) -> Column:

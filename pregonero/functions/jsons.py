@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import blank_to_null
+from .text import blank_to_null, let
 
 # Keys looked up, in this order, when a table cell holds a JSON object.
 CELL_KEYS = ["name", "title", "value", "amount", "id"]
@@ -42,15 +42,23 @@ def flag(json_text: Column, key: str) -> Column:
 
 def unwrap_cell(cell: Column) -> Column:
     """A table cell that may hold JSON: a one-element list is opened, an object gives its first known key."""
-    filled = F.nullif(blank_to_null(cell), F.lit("null"))
-    parsed = F.try_parse_json(F.when(filled.rlike(r"^[\[{]"), filled))
-    items = F.try_variant_get(parsed, "$", "array<variant>")
-    single = F.when(F.size(items) == 1, F.get(items, F.lit(0))).otherwise(parsed)
-    first = F.coalesce(*[F.try_variant_get(single, f"$.{k}", "variant") for k in CELL_KEYS])
-    opened = F.when(first.isNotNull(), F.try_variant_get(first, "$", "string")).otherwise(
-        F.try_variant_get(single, "$", "string")
-    )
-    return F.when(parsed.isNotNull(), blank_to_null(opened)).otherwise(filled)
+
+    def read(text: Column) -> Column:
+        return F.when(~text.isin("", "null"), F.when(text.rlike(r"^[\[{]"), let(F.try_parse_json(text), opened(text))).otherwise(text))
+
+    def opened(text: Column):
+        def unwrap(v: Column) -> Column:
+            only = F.get(F.try_variant_get(v, "$", "array<variant>"), F.lit(0))
+            single = F.when(F.size(F.try_variant_get(v, "$", "array<variant>")) == 1, only).otherwise(v)
+            return F.when(v.isNull(), text).otherwise(let(single, first_member))
+
+        return unwrap
+
+    def first_member(v: Column) -> Column:
+        known = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in CELL_KEYS], v)
+        return blank_to_null(F.try_variant_get(known, "$", "string"))
+
+    return let(cell, read)
 
 
 def merge(old: Column, new: Column) -> Column:
@@ -59,7 +67,7 @@ def merge(old: Column, new: Column) -> Column:
     left = F.coalesce(F.from_json(old, kind), F.from_json(F.lit("{}"), kind))
     right = F.from_json(new, kind)
     both = F.map_zip_with(left, right, lambda _, a, b: F.coalesce(b, a))
-    return F.when(right.isNull(), old).otherwise(F.to_json(both, KEEP_NULLS))
+    return F.when(new.isNull(), old).otherwise(F.to_json(both, KEEP_NULLS))
 
 
 def build(**members: Column) -> Column:

@@ -64,5 +64,4 @@ def state_in_text(c: Column) -> Column:
     ranks = F.create_map(*[x for i, k in enumerate(_PRIORITY) for x in (F.lit(k), F.lit(i))])
     names = F.array(*[F.lit(STATES[k]) for k in _PRIORITY])
     found = matches_all(unaccent(F.upper(c)), rf"\b(?:{alternation(list(STATES))})\b")
-    best = F.array_min(F.transform(found, lambda k: F.try_element_at(ranks, k)))
-    return F.when(best.isNotNull(), F.get(names, best))
+    return F.get(names, F.array_min(F.transform(found, lambda k: F.try_element_at(ranks, k))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -12,6 +13,12 @@ ACCENTED = "ÁÀÄÂÉÈËÊÍÌÏÎÓÒÖÔÚÙÜÛáàäâéèëêíìïîóò
 PLAIN = "AAAAEEEEIIIIOOOOUUUUaaaaeeeeiiiioooouuuu"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates `value` once per row and uses it many times in `body`. Spark shares common subexpressions only
+    outside conditional branches, so a regex or JSON path named in several branches would otherwise run in each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode space, not only the blank."""
     return F.btrim(c, F.lit(SPACES))
@@ -22,7 +29,7 @@ def normspace(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return let(c, lambda x: F.when(x != "", x))
 
 
 def first_filled(*cols: Column) -> Column:
@@ -52,7 +59,7 @@ def matches_all(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    return let(c, lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words]))
 
 
 def title_case(c: Column) -> Column:
@@ -68,7 +75,7 @@ def capitalise_words(c: Column) -> Column:
 
 def is_upper(c: Column) -> Column:
     """At least one cased letter and no lower-case one."""
-    return (c == F.upper(c)) & (c != F.lower(c))
+    return let(c, lambda x: (x == F.upper(x)) & (x != F.lower(x)))
 
 
 def like_pattern(text: str) -> str:

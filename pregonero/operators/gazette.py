@@ -450,12 +450,10 @@ def extract_notices_v2(blocks: DataFrame) -> DataFrame:
 
 def old_notices(texts: DataFrame, text: str = "texto") -> DataFrame:
     """Notices found only by their head words, for each of the three kinds."""
-    found = F.array(
-        *[
-            F.transform(matches_all(F.col(text), p), lambda m, kind=kind: F.struct(F.lit(kind).alias("tipo"), m.alias("m")))
-            for kind, p in P.OLD_NOTICES.items()
-        ]
-    )
+    def of_kind(kind: str, pattern: str) -> Column:
+        return F.transform(matches_all(F.col(text), pattern), lambda m: F.struct(F.lit(kind).alias("tipo"), m.alias("m")))
+
+    found = F.array(*[of_kind(kind, p) for kind, p in P.OLD_NOTICES.items()])
     keep = [c for c in texts.columns if c != text]
     body = F.col("h.m")
     lines = F.transform(F.slice(F.split(body, "\n", 6), 1, 5), strip)

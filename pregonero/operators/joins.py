@@ -46,11 +46,13 @@ def patch_by_number(table: DataFrame, patches: DataFrame) -> DataFrame:
     )
 
 
-def patch_by_agency_and_object(table: DataFrame, patches: DataFrame, id_column: str = "id") -> DataFrame:
-    """For patches without number: same agency, and the title contains the first 50 characters of the object.
+def patch_by_agency_and_object(table: DataFrame, patches: DataFrame) -> DataFrame:
+    """For patches without number: same agency, and the title contains the first 50 characters of the object (taken
+    literally). Each row keeps its last matching patch.
 
-    The agency is the equi-key and the prefix the residual test. Distinct (agency, prefix) pairs are matched first,
-    so a repeated patch does not multiply the rows of a large agency; each row keeps its last patch.
+    Containment is turned into an equi-join: every distinct title gives the hashes of its substrings of the lengths
+    that occur among the patches, and these meet the hashed object texts. So a large agency is spread over its texts
+    instead of comparing all its titles with all its patches; the candidates are then verified on the text itself.
     """
     nameless = patches.filter(
         blank_to_null(F.col("numero_licitacion")).isNull()
@@ -58,16 +60,34 @@ def patch_by_agency_and_object(table: DataFrame, patches: DataFrame, id_column:
         & blank_to_null(F.col("objeto_licitacion")).isNotNull()
     ).withColumn("_prefijo", F.substring("objeto_licitacion", 1, 50))
     latest = first_per_key(nameless, ["dependencia", "_prefijo"], [F.col("orden").desc()]).select(
-        F.col("dependencia").alias("_dependencia"), "_prefijo", F.col("orden").alias("_orden"), F.col("parche").alias("_parche")
+        F.col("dependencia").alias("_dependencia"),
+        F.xxhash64("_prefijo").alias("_trozo"),
+        "_prefijo",
+        F.col("orden").alias("_orden"),
+        F.col("parche").alias("_parche"),
     )
+    lengths = latest.agg(F.collect_set(F.length("_prefijo")).alias("_largos"))  # at most 50 values
     agency = F.when(F.col("fuente") == GAZETTE, F.col("entidad_compradora"))
-    # Rows are matched on (agency, title) once per distinct title, then looked up by every row that has it.
-    titles = table.filter(F.col("fuente") == GAZETTE).select(
-        F.col("entidad_compradora").alias("_dependencia"), F.col("titulo").alias("_titulo")
-    ).distinct()
+    titles = (
+        table.filter(F.col("fuente") == GAZETTE)
+        .select(F.col("entidad_compradora").alias("_dependencia"), F.col("titulo").alias("_titulo"))
+        .distinct()
+        .withColumn("_clave", F.xxhash64("_titulo"))
+    )
+
+    def pieces(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_titulo") - n + 1)
+        return F.when(
+            F.length("_titulo") >= n, F.transform(starts, lambda at: F.xxhash64(F.substring(F.col("_titulo"), at, n)))
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    grams = titles.crossJoin(F.broadcast(lengths)).select(
+        "_dependencia", "_clave", F.explode(F.array_distinct(F.flatten(F.transform("_largos", pieces)))).alias("_trozo")
+    )
     chosen = (
-        titles.join(latest, "_dependencia")
-        .filter(F.col("_titulo").like(F.concat(F.lit("%"), "_prefijo", F.lit("%"))))
+        grams.join(latest, ["_dependencia", "_trozo"])
+        .join(titles, ["_dependencia", "_clave"])
+        .filter(F.col("_titulo").contains(F.col("_prefijo")))
         .groupBy("_dependencia", "_titulo")
         .agg(F.max_by("_parche", "_orden").alias("_parche"))
     )

@@ -229,10 +229,19 @@ def field_profile(recs: DataFrame, source: str = "fuente", json: str = "datos_or
 
 
 def schema_check(df: DataFrame) -> DataFrame:
-    """Each canonical column with its expected and actual type."""
+    """Each canonical column with its expected and actual type and its number of filled rows, from one scan."""
     actual = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = [
-        (f.name, f.dataType.simpleString(), actual.get(f.name), actual.get(f.name) == f.dataType.simpleString())
-        for f in TENDER
-    ]
-    return df.sparkSession.createDataFrame(rows, "columna string, esperado string, actual string, ok boolean")
+    filled = df.agg(*[(F.count(f.name) if f.name in actual else F.lit(0).cast("long")).alias(f.name) for f in TENDER])
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(f.name).alias("columna"),
+                F.lit(f.dataType.simpleString()).alias("esperado"),
+                F.lit(actual.get(f.name)).cast("string").alias("actual"),
+                F.lit(actual.get(f.name) == f.dataType.simpleString()).alias("ok"),
+                F.col(f.name).alias("con_valor"),
+            )
+            for f in TENDER
+        ]
+    )
+    return filled.select(F.inline(entries))

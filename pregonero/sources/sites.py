@@ -22,11 +22,11 @@ NEAR_NUMERIC_DATE = r"\b(\d{2}/\d{2}/\d{4})\b"
 NEAR_WORDED_DATE = r"\b(\d{1,2}\s+(?:ene|feb|mar|abr|may|jun|jul|ago|sep|oct|nov|dic)\s+\d{4})\b"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """JSON lines as (file_name, rec variant). Files are split by line; blank and malformed lines are skipped."""
     line = strip(F.col("value"))
     return (
-        spark.read.option("pathGlobFilter", "*.jsonl")
+        spark.read.option("pathGlobFilter", glob)
         .text(path)
         .select(F.col("_metadata.file_name").alias("file_name"), F.try_parse_json(line).alias("rec"))
         .filter("rec is not null")

@@ -419,17 +419,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table stored in fewer pieces than there are cores is dealt out over the cores before text is made of it;
-    a large table has pieces enough and is left as it is."""
+    """A table of fewer files than there are cores is dealt out over the cores before text is made of it; a large
+    table has pieces enough and is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame."""
     for base in ("customer", "nation", "region"):
         table(spark, sf_dir, base).createOrReplaceTempView(base)
-    spread(table(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
+    orders = table(spark, sf_dir, "orders")
+    (orders if name == "tenders" else spread(orders)).createOrReplaceTempView("orders")
     df = None
     for step in needs(name):
         df = spark.sql(VIEWS[step][1]("spark"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import first_filled, let
+from .text import constant_array, constant_map, first_filled, let
 
 # Words that decide a class.
 PROCEDURE_WORDS = {
@@ -60,7 +60,7 @@ def by_words(c: Column, rules: dict[str, list[str]], default: str) -> Column:
 
 
 def by_table(c: Column, table: dict[str, str]) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
+    return F.try_element_at(constant_map(table), c)
 
 
 def procedure_from_text(c: Column) -> Column:
@@ -127,14 +127,13 @@ def contract_by_score(c: Column) -> Column:
     """The keyword list with most words present wins, earlier lists on ties; then number prefixes."""
 
     def scores(text: Column) -> Column:
+        def score(words: list[str]) -> Column:
+            return F.size(F.filter(constant_array(words), lambda w: F.contains(text, w)))
+
         return F.array_max(
             F.array(
                 *[
-                    F.struct(
-                        reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words]).alias("score"),
-                        F.lit(-i).alias("rank"),
-                        F.lit(name).alias("name"),
-                    )
+                    F.struct(score(words).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))
                     for i, (name, words) in enumerate(KEYWORD_LISTS.items())
                 ]
             )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import blank_to_null, first_filled, grab, let, strip
+from .text import blank_to_null, constant_array, constant_map, first_filled, let, strip
 
 # Month names and their short forms.
 MONTHS = {
@@ -20,8 +20,7 @@ MONTH_LABELS = ["Ene", "Feb", "Mar", "Abr", "May", "Jun", "Jul", "Ago", "Sep", "
 
 def month_number(name: Column, short: bool = True) -> Column:
     names = {**MONTHS, **SHORT_MONTHS} if short else MONTHS
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.try_element_at(table, F.lower(name))
+    return F.try_element_at(constant_map(names), F.lower(name))
 
 
 def ymd(year: Column, month: Column, day: Column) -> Column:
@@ -217,7 +216,7 @@ def date_cut(c: Column) -> Column:
 
 def month_label(c: Column) -> Column:
     """'2025-01' -> 'Ene 25'."""
-    labels = F.array(*[F.lit(x) for x in MONTH_LABELS])
+    labels = constant_array(MONTH_LABELS)
     month = F.split_part(c, F.lit("-"), F.lit(2)).try_cast("int")
     name = F.get(labels, month - 1)
     return F.concat(name, F.lit(" "), F.substring(F.split_part(c, F.lit("-"), F.lit(1)), 3, 4))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import alternation, matches_all, unaccent
+from .text import ACCENTED, PLAIN, constant_array, constant_map, matches_all, unaccent
 
 # State names and usual short forms, without accents, and the stored name.
 STATES = {
@@ -53,15 +53,31 @@ STATES = {
 _PRIORITY = sorted(STATES, key=lambda k: (k == "MEXICO", -len(k), list(STATES).index(k)))
 
 
+def _accents(name: str) -> str:
+    """Each vowel with all its accented forms, as the look-up strips accents."""
+    return "".join("[" + v + "".join(a for a, p in zip(ACCENTED, PLAIN) if p == v) + "]" if v in "AEIOU" else v for v in name)
+
+
+def _names_pattern() -> str:
+    """All names in any case and accent as whole words. Names are grouped by their first letter, and longer names come
+    before those they begin with, so that few alternatives are tried at a word and the whole name is taken."""
+    groups = []
+    for letter in sorted({k[0] for k in STATES}):
+        rest = [_accents(k[1:]) for k in sorted(STATES, key=len, reverse=True) if k[0] == letter]
+        groups.append(f"{_accents(letter)}(?:{'|'.join(rest)})")
+    return r"(?iu)(?<![\p{L}\d_])(?:" + "|".join(groups) + r")(?![\p{L}\d_])"
+
+
+NAMES_PATTERN = _names_pattern()
+
+
 def state_name(c: Column) -> Column:
     """The stored name of a text that is exactly one state name."""
-    table = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
-    return F.try_element_at(table, unaccent(F.upper(c)))
+    return F.try_element_at(constant_map(STATES), unaccent(F.upper(c)))
 
 
 def state_in_text(c: Column) -> Column:
     """The most specific state named in a text. One regex pass finds all names; their ranks decide."""
-    ranks = F.create_map(*[x for i, k in enumerate(_PRIORITY) for x in (F.lit(k), F.lit(i))])
-    names = F.array(*[F.lit(STATES[k]) for k in _PRIORITY])
-    found = matches_all(unaccent(F.upper(c)), rf"\b(?:{alternation(list(STATES))})\b")
-    return F.get(names, F.array_min(F.transform(found, lambda k: F.try_element_at(ranks, k))))
+    ranks = constant_map({k: i for i, k in enumerate(_PRIORITY)})
+    found = F.transform(matches_all(c, NAMES_PATTERN), lambda k: F.try_element_at(ranks, unaccent(F.upper(k))))
+    return F.get(constant_array([STATES[k] for k in _PRIORITY]), F.array_min(found))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,6 +18,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _literal(value) -> str:
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constant_map(table: dict) -> Column:
+    """A look-up table as one constant expression."""
+    return F.expr("map(" + ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in table.items()) + ")")
+
+
+def constant_array(values: list) -> Column:
+    return F.expr("array(" + ", ".join(_literal(v) for v in values) + ")")
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode space, not only the blank."""
     return F.btrim(c, F.lit(SPACES))
@@ -80,8 +92,3 @@ def is_upper(c: Column) -> Column:
 
 def like_pattern(text: str) -> str:
     return f"%{text}%"
-
-
-def alternation(words: list[str]) -> str:
-    """Longest word first, so that a longer name is not cut short by a shorter one."""
-    return "|".join(re.escape(w).replace(r"\ ", " ") for w in sorted(words, key=len, reverse=True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import date
 from functools import reduce
 
@@ -117,6 +117,13 @@ def without_direct_awards(facet: DataFrame, column: str) -> DataFrame:
     return facet.filter(conjunction(~F.upper(column).contains(w) for w in DIRECT_AWARD_WORDS))
 
 
+def filter_computed(df: DataFrame, columns: list[str], test: Callable[[Column], Column]) -> DataFrame:
+    """Keeps the rows whose computed columns pass a test on them. A plain filter would be pushed below the projection
+    that computes them, where Spark would evaluate their expressions a second time."""
+    rest = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.filter(F.array(F.struct(*columns)), test)))
+
+
 def valid_rows() -> Column:
     """A row can be stored only with a procedure number and a source."""
     return (F.coalesce("numero_procedimiento", F.lit("")) != "") & (F.coalesce("fuente", F.lit("")) != "")

@@ -20,6 +20,7 @@ from ..functions.text import (
 from ..schema import GAZETTE, conform
 from ..sources.files import edition_columns
 from . import gazette_patterns as P
+from .filters import filter_computed
 from .windows import first_per_key
 
 MIN_BLOCK = 100
@@ -270,40 +271,50 @@ def with_confidence(df: DataFrame) -> DataFrame:
     fields = (
         _present("numero_licitacion", "dependencia", "subdependencia", "titulo", "descripcion")
         + 1
-        + F.col("texto").rlike(P.PROCEDURE).cast("int")
-        + F.col("texto").rlike(P.CHARACTER).cast("int")
         + places
         + others
-        + F.col("referencia").isNotNull().cast("int")
-        + F.when(F.col("reduccion_plazos"), 2).otherwise(0)
+        + _present("tipo_procedimiento", "caracter_procedimiento", "referencia")
+        + 2 * _present("autoridad_reduccion")
     )
     percent = F.least(F.lit(100), critical * 20 + F.least(others, F.lit(10)) * 4)
-    return df.withColumns({"campos_extraidos": fields, "confianza_extraccion": percent / F.lit(100.0)})
+    return df.withColumns(
+        {
+            "campos_extraidos": fields,
+            "confianza_extraccion": percent / F.lit(100.0),
+            "reduccion_plazos": F.col("autoridad_reduccion").isNotNull(),
+        }
+    )
 
 
-def is_notice() -> Column:
+def is_notice(n: Column) -> Column:
     """A number, or agency and title."""
-    return F.col("numero_licitacion").isNotNull() | (F.col("dependencia").isNotNull() & F.col("titulo").isNotNull())
+    return n["numero_licitacion"].isNotNull() | (n["dependencia"].isNotNull() & n["titulo"].isNotNull())
 
 
 def extract_notices(blocks: DataFrame) -> DataFrame:
-    """Blocks (texto, referencia and edition columns) -> notices with all extracted fields."""
+    """Blocks (texto, referencia and edition columns) -> notices with all extracted fields. The gate comes right after
+    the fields it needs, so the other fields are only extracted from notices."""
     text = F.col("texto")
     reference = F.coalesce(grab(text, P.REFERENCE), F.col("referencia"))
-    reduced = strip(grab(text, P.REDUCTION))
-    df = blocks.withColumns(
+    gated = with_object(with_agency(blocks.withColumn("numero_licitacion", number_of(text))))
+    df = filter_computed(gated, ["numero_licitacion", "dependencia", "subdependencia", "titulo", "descripcion"], is_notice)
+    df = df.withColumns(
         {
-            "numero_licitacion": number_of(text),
             "tipo_contratacion": classify.contract_by_score(text),
-            "tipo_procedimiento": F.coalesce(grab(text, P.PROCEDURE), F.lit("Licitación Pública")),
-            "caracter_procedimiento": F.coalesce(grab(text, P.CHARACTER), F.lit("Nacional")),
-            "referencia": F.when(reference.isNotNull(), F.format_string("(R.- %s)", reference)),
-            "autoridad_reduccion": reduced,
-            "reduccion_plazos": reduced.isNotNull(),
+            "tipo_procedimiento": grab(text, P.PROCEDURE),
+            "caracter_procedimiento": grab(text, P.CHARACTER),
+            "referencia": F.concat(F.lit("(R.- "), reference, F.lit(")")),
+            "autoridad_reduccion": strip(grab(text, P.REDUCTION)),
         }
     )
-    df = with_confidence(with_technical(with_events(with_location(with_object(with_agency(df))))))
-    return df.filter(is_notice()).withColumn("raw_text", truncate(text, 1000)).drop("texto")
+    df = with_confidence(with_technical(with_events(with_location(df))))
+    return df.withColumns(
+        {
+            "tipo_procedimiento": F.coalesce("tipo_procedimiento", F.lit("Licitación Pública")),
+            "caracter_procedimiento": F.coalesce("caracter_procedimiento", F.lit("Nacional")),
+            "raw_text": truncate(text, 1000),
+        }
+    ).drop("texto")
 
 
 def to_canonical(notices: DataFrame) -> DataFrame:
@@ -423,7 +434,8 @@ def extract_notices_v2(blocks: DataFrame) -> DataFrame:
         return blank_to_null(normspace(grab_first(text, patterns)))
 
     reference = F.col("referencia") if "referencia" in blocks.columns else F.lit(None).cast("string")
-    df = with_signature(with_agency_v2(with_object_v2(blocks))).withColumns(
+    titled = filter_computed(with_object_v2(blocks), ["titulo", "descripcion"], lambda n: n["titulo"].isNotNull())
+    df = with_signature(with_agency_v2(titled)).withColumns(
         {
             "numero_licitacion": pick(P.NUMBER_2),
             **{k: pick(p) for k, p in P.FIELDS_2.items() if k != "referencia"},
@@ -437,13 +449,10 @@ def extract_notices_v2(blocks: DataFrame) -> DataFrame:
     )
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in P.KEY_FIELDS_2]))
     total = len(P.KEY_FIELDS_2)
-    return (
-        df.filter("titulo is not null")
-        .withColumn("campos_faltantes", missing)
-        .withColumn("confianza_extraccion", (F.lit(total) - F.size("campos_faltantes")) / F.lit(float(total)))
-        .filter(F.size("campos_faltantes") <= 3)
-        .drop("texto")
-    )
+    scored = filter_computed(df.withColumn("campos_faltantes", missing), ["campos_faltantes"], lambda n: F.size(n["campos_faltantes"]) <= 3)
+    return scored.withColumn(
+        "confianza_extraccion", (F.lit(total) - F.size("campos_faltantes")) / F.lit(float(total))
+    ).drop("texto")
 
 
 # --- older notices ---------------------------------------------------------------------------------------------

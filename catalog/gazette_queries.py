@@ -85,6 +85,7 @@ RANGES = """SELECT archivo, CASE WHEN substr(archivo, 4, 1) IN ('3','6','9') THE
       CASE WHEN MIN(CASE WHEN pagina = 10 THEN 10 END) IS NULL THEN MAX(pagina) ELSE MAX(pagina) - 1 END ELSE MAX(pagina) - 1 END AS fin
     FROM gazette_pages GROUP BY archivo"""
 register("g2_call_range", lambda spark, sf: gazette.call_range(pages(spark, sf)), RANGES, "gazette_pages")
+register("g2_call_range_loose_heads", lambda spark, sf: gazette.call_range(pages(spark, sf), loose=True), RANGES, "gazette_pages")
 register(
     "g2_call_pages",
     lambda spark, sf: (lambda p: gazette.call_pages(p, gazette.call_range(p)).select("archivo", "pagina"))(pages(spark, sf)),

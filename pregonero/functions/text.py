@@ -66,6 +66,12 @@ def grab_first(c: Column, patterns: list[str], group: int = 1) -> Column:
     return F.coalesce(*[grab(c, p, group) for p in patterns])
 
 
+def grab_hinted(c: Column, patterns: dict[str, str], group: int = 1) -> Column:
+    """Like grab_first for patterns given with a piece of text each of their matches holds. The regex only runs where
+    that text occurs, which a plain byte search finds out much faster."""
+    return F.coalesce(*[F.when(c.contains(hint), grab(c, p, group)) for p, hint in patterns.items()])
+
+
 def matches_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 

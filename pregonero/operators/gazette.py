@@ -14,10 +14,11 @@ from ..functions import classify, dates
 from ..functions.jsons import KEEP_NULLS, build, field, merge
 from ..functions.places import state_in_text, state_name
 from ..functions.text import (
-    blank_to_null, capitalise_words, first_filled, grab, grab_first, is_upper, matches_all, normspace,
+    blank_to_null, capitalise_words, first_filled, grab, grab_first, grab_hinted, is_upper, matches_all, normspace,
     strip, title_case, truncate,
 )
 from ..schema import GAZETTE, conform
+from ..session import ensure_checkpoint_dir
 from ..sources.files import edition_columns
 from . import gazette_patterns as P
 from .filters import filter_computed
@@ -82,6 +83,8 @@ def call_range(pages: DataFrame, loose: bool = False) -> DataFrame:
     calls, notices = (P.LOOSE_INDEX_CALLS, P.LOOSE_INDEX_NOTICES) if loose else (P.INDEX_CALLS, P.INDEX_NOTICES)
     text = F.col("contenido")
     early = F.col("pagina") <= P.INDEX_PAGES
+    # Two aggregations need the marks; written once as narrow rows, no text is read or searched a second time.
+    ensure_checkpoint_dir(pages.sparkSession)
     marks = pages.select(
         "archivo",
         "pagina",
@@ -89,10 +92,9 @@ def call_range(pages: DataFrame, loose: bool = False) -> DataFrame:
         F.when(early, grab(text, notices).try_cast("int")).alias("avisos"),
         text.rlike(P.BODY_CALLS).alias("cuerpo"),
         text.rlike(P.BODY_NOTICES).alias("cierre"),
-    )
-    index = F.min(F.when(F.col("desde").isNotNull(), F.struct("pagina", "desde", "avisos")))
+    ).checkpoint()
     per_file = marks.groupBy("archivo").agg(
-        index.alias("indice"),
+        F.min(F.when(F.col("desde").isNotNull(), F.struct("pagina", "desde", "avisos"))).alias("indice"),
         F.max("pagina").alias("ultima"),
         F.min(F.when(F.col("cuerpo"), F.col("pagina"))).alias("cuerpo"),
     )
@@ -142,7 +144,7 @@ def split_blocks(pages: DataFrame, minimum: int = MIN_BLOCK, summary: bool = Fal
     blocks = (
         F.when(F.size(by_reference) > 1, by_reference).otherwise(F.split(text, P.SUMMARY_HEAD)) if summary else by_reference
     )
-    return _explode_blocks(pages, blocks, matches_all(text, P.REFERENCE, 1), minimum)
+    return _explode_blocks(pages, blocks, matches_all(text, P.REFERENCE_END, 1), minimum)
 
 
 def split_blocks_v2(pages: DataFrame, minimum: int = MIN_BLOCK) -> DataFrame:
@@ -154,7 +156,7 @@ def split_blocks_v2(pages: DataFrame, minimum: int = MIN_BLOCK) -> DataFrame:
     blocks = (
         F.when(F.size(by_reference) > 2, by_reference).when(F.size(by_summary) > 2, by_summary).otherwise(by_agency)
     )
-    references = F.when(F.size(by_reference) > 2, matches_all(text, P.REFERENCE, 1)).otherwise(F.array().cast("array<string>"))
+    references = F.when(F.size(by_reference) > 2, matches_all(text, P.REFERENCE_END, 1)).otherwise(F.array().cast("array<string>"))
     return _explode_blocks(pages, blocks, references, minimum)
 
 
@@ -210,13 +212,13 @@ def with_object(df: DataFrame) -> DataFrame:
 def with_location(df: DataFrame) -> DataFrame:
     """State, municipality, locality and address; the last three only where a state is known."""
     text = F.col("texto")
-    address = strip(grab_first(text, P.ADDRESS))
+    address = strip(grab_hinted(text, P.ADDRESS))
     usable = (F.length(address) > 10) & (F.length(address) < 300)
     known = F.col("entidad_federativa").isNotNull()
     return df.withColumn("entidad_federativa", state_in_text(text)).withColumns(
         {
-            "municipio": F.when(known, capitalise_words(grab_first(text, P.MUNICIPALITY))),
-            "localidad": F.when(known, capitalise_words(grab_first(text, P.LOCALITY))),
+            "municipio": F.when(known, capitalise_words(grab_hinted(text, P.MUNICIPALITY))),
+            "localidad": F.when(known, capitalise_words(grab_hinted(text, P.LOCALITY))),
             "direccion_completa": F.when(known & usable, address),
         }
     )
@@ -235,8 +237,8 @@ def _clock_text(c: Column) -> Column:
 def with_technical(df: DataFrame) -> DataFrame:
     """Volume, quantity and unit, specifications and place of the events."""
     text = F.col("texto")
-    volume = strip(grab_first(text, P.VOLUME))
-    place = strip(grab_first(text, P.EVENT_PLACE))
+    volume = strip(grab_hinted(text, P.VOLUME))
+    place = strip(grab_hinted(text, P.EVENT_PLACE))
     specifications = F.when(text.contains(P.DETAILS_IN_CALL), P.DETAILS_IN_CALL).when(
         F.lower(text).contains("especificaciones"), truncate(strip(grab(text, P.SPECIFICATIONS)), 500)
     )

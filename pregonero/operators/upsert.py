@@ -18,9 +18,8 @@ REFRESHED = [
 INSERTED, DUPLICATE, ERROR, REJECTED = "insertado", "duplicado", "error", "rechazado"
 
 
-def _keys() -> list[Column]:
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in TRIPLE]
-    return [F.col("hash_contenido").alias("h"), F.sha2(F.concat_ws("\u0001", *parts), 256).alias("t")]
+def _triple() -> list[Column]:
+    return [F.coalesce(F.col(c), F.lit("")).alias(c) for c in TRIPLE]
 
 
 def insert_status(batch: DataFrame, table: DataFrame, order: str = "_ord") -> DataFrame:
@@ -28,34 +27,31 @@ def insert_status(batch: DataFrame, table: DataFrame, order: str = "_ord") -> Da
 
     Rows act in the order of the unique column `order`. A row is inserted unless its hash, or its triple (number,
     agency, source), is in the table or was inserted by an earlier row; a taken hash makes it a duplicate, a taken
-    triple alone an error. Only narrow (order, hash, triple) rows take part, and a few rounds settle them all: a row
-    that comes first for both its keys is accepted and takes its rivals out of the race.
+    triple alone an error. Only the order and the two keys take part, and a few rounds settle them all: a row that
+    comes first for both its keys is accepted and takes its rivals out of the race. The table is read for its key
+    columns only and at once reduced to the keys of the batch.
     """
     ensure_checkpoint_dir(batch.sparkSession)
-    rows = batch.filter(valid_rows()).select(F.col(order).alias("o"), *_keys()).checkpoint()
-    stored = table.select(*_keys())
-    known_h = stored.select("h").join(rows.select("h").distinct(), "h", "left_semi").distinct().checkpoint()
-    known_t = stored.select("t").join(rows.select("t").distinct(), "t", "left_semi").distinct().checkpoint()
+    rows = batch.filter(valid_rows()).select(F.col(order).alias("o"), F.col("hash_contenido").alias("h"), *_triple()).checkpoint()
+    known_h = table.select(F.col("hash_contenido").alias("h")).join(rows.select("h").distinct(), "h", "left_semi").distinct().checkpoint()
+    known_t = table.select(*_triple()).join(rows.select(*TRIPLE).distinct(), TRIPLE, "left_semi").distinct().checkpoint()
 
-    racing = rows.join(known_h, "h", "left_anti").join(known_t, "t", "left_anti").checkpoint()
+    racing = rows.join(known_h, "h", "left_anti").join(known_t, TRIPLE, "left_anti").checkpoint()
     accepted = rows.limit(0)
     while not racing.isEmpty():
         first_h = racing.groupBy("h").agg(F.min("o").alias("o"))
-        first_t = racing.groupBy("t").agg(F.min("o").alias("o"))
-        won = racing.join(first_h, ["h", "o"], "left_semi").join(first_t, ["t", "o"], "left_semi").checkpoint()
+        first_t = racing.groupBy(*TRIPLE).agg(F.min("o").alias("o"))
+        won = racing.join(first_h, ["h", "o"], "left_semi").join(first_t, [*TRIPLE, "o"], "left_semi").checkpoint()
         accepted = accepted.unionByName(won)
-        racing = racing.join(won.select("h"), "h", "left_anti").join(won.select("t"), "t", "left_anti").checkpoint()
+        racing = racing.join(won.select("h"), "h", "left_anti").join(won.select(*TRIPLE), TRIPLE, "left_anti").checkpoint()
 
     owner = accepted.select("h", F.col("o").alias("first")).unionByName(
         known_h.select("h", F.lit(None).cast(rows.schema["o"].dataType).alias("first"))
     )
-    earlier = F.col("h_owned") & (F.col("first").isNull() | (F.col("first") < F.col("o")))
-    settled = (
-        rows.join(owner.withColumn("h_owned", F.lit(True)), "h", "left")
-        .select(
-            F.col("o").alias(order),
-            F.when(F.col("first") == F.col("o"), INSERTED).when(earlier, DUPLICATE).otherwise(ERROR).alias("estatus"),
-        )
+    earlier = F.col("owned") & (F.col("first").isNull() | (F.col("first") < F.col("o")))
+    settled = rows.join(owner.withColumn("owned", F.lit(True)), "h", "left").select(
+        F.col("o").alias(order),
+        F.when(F.col("first") == F.col("o"), INSERTED).when(earlier, DUPLICATE).otherwise(ERROR).alias("estatus"),
     )
     return batch.join(settled, order, "left").withColumn("estatus", F.coalesce("estatus", F.lit(REJECTED)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -78,65 +78,68 @@ def normalise(recs: DataFrame, as_of: Column) -> DataFrame:
 
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class _Anchors(HTMLParser):
-    """Collects each link with its own text; every open element gathers the text below it."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[dict] = []
-        self.links: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            return
-        node = {"tag": tag, "text": []}
-        href = dict(attrs).get("href") if tag == "a" else None
-        if href:
-            self.links.append({"href": href, "node": node, "parent": self.open[-1] if self.open else None})
-        self.open.append(node)
-
-    def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self.open):
-            while self.open.pop()["tag"] != tag:
-                pass
-
-    def handle_data(self, data):
-        text = data.strip()
-        if text and not (self.open and self.open[-1]["tag"] in ("script", "style")):
-            for node in self.open:
-                node["text"].append(text)
-
-
-def _near_date(node: dict | None) -> str | None:
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<",
+    re.IGNORECASE | re.DOTALL,
+)
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+
+
+def _anchors(page: str) -> list[tuple[str, str, str]]:
+    """(href, own text, text of the element around it) of each link. Elements are spans of the list of text pieces, so
+    a piece is stored once however deep it lies."""
+    pieces: list[str] = []
+    open_elements: list[dict] = []
+    links: list[tuple[str, dict, dict]] = []
+    whole = {"tag": "", "from": 0, "to": None}
+    for _, closing, tag, attributes, text in _TOKEN.findall(page):
+        if text:
+            text = " ".join(unescape(text).split())
+            if text:
+                pieces.append(text)
+        elif closing:
+            tag = tag.lower()
+            if any(e["tag"] == tag for e in open_elements):
+                while (element := open_elements.pop())["tag"] != tag:
+                    element["to"] = len(pieces)
+                element["to"] = len(pieces)
+        elif tag and tag.lower() not in _VOID and not attributes.endswith("/"):
+            element = {"tag": tag.lower(), "from": len(pieces), "to": None}
+            href = _HREF.search(attributes) if element["tag"] == "a" else None
+            if href and any(href.groups()):
+                links.append((unescape(next(g for g in href.groups() if g)), element, open_elements[-1] if open_elements else whole))
+            open_elements.append(element)
+
+    def text_of(element: dict) -> str:
+        if "text" not in element:
+            element["text"] = " ".join(pieces[element["from"] : element["to"]])
+        return element["text"]
+
+    return [(href, text_of(own), _near_date(around, text_of)) for href, own, around in links]
+
+
+def _near_date(element: dict, text_of) -> str | None:
     """The first date printed in an element, numeric form first. Kept on the element, as many links may share it."""
-    if node is None:
-        return None
-    if "date" not in node:
-        text = " ".join(" ".join(node["text"]).split())
+    if "date" not in element:
+        text = text_of(element)
         found = re.search(NEAR_NUMERIC_DATE, text) or re.search(NEAR_WORDED_DATE, text, re.IGNORECASE)
-        node["date"] = found.group(1) if found else None
-    return node["date"]
+        element["date"] = found.group(1) if found else None
+    return element["date"]
 
 
 def _page_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-            parser = _Anchors()
-            parser.feed(html or "")
-            parser.close()
-            for pos, link in enumerate(parser.links):
-                label = " ".join(" ".join(link["node"]["text"]).split())
-                href = link["href"]
+            for pos, (href, label, near) in enumerate(_anchors(html or "")):
                 full = href if href.startswith("http") else urljoin(url, href)
-                rows.append((page_id, url, pos, href, full, label, _near_date(link["parent"])))
+                rows.append((page_id, url, pos, href, full, label, near))
         yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "href", "doc_url", "label", "near"])
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> every link. The text of the surrounding element needs a real HTML parser."""
+    """pages(page_id, url, html) -> every link. Which element surrounds a link takes a scan of the open tags, which no
+    column expression can do."""
     schema = "page_id long, url string, pos long, href string, doc_url string, label string, near string"
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(_page_links, schema)
 

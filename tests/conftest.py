@@ -12,7 +12,7 @@ from pregonero.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-                    "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"}
+                    "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.maxMetadataStringLength": "5000"}
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

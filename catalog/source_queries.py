@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pregonero.functions.jsons import field
@@ -18,6 +20,9 @@ from pregonero.sources import files, ocds, portal, sinks, sites
 from .inputs import AS_OF, iso, table, text_agg, view
 from .registry import plain, register
 
+# Functions of this module run inside tasks; sent by value they need no installation on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 def as_of_day():
     return F.lit(AS_OF).cast("date")
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import amounts, classify, dates, urls
@@ -14,6 +16,9 @@ from ..functions.jsons import field, member, unwrap_cell
 from ..functions.text import first_filled, strip, truncate
 from ..schema import OCDS, OCDS_ZIP, conform
 
+# Functions of this module run inside tasks; sent by value they need no installation on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Columns of the CSV export.
 CSV_COLUMNS = [
     "ocid", "id", "date", "buyer/name", "tender/id", "tender/title", "tender/description",

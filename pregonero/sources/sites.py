@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import amounts, classify, dates, keys
@@ -15,6 +17,9 @@ from ..functions.text import blank_to_null, contains_any, first_filled, strip, t
 from ..operators.windows import first_per_key
 from ..schema import SITES, conform
 
+# Functions of this module run inside tasks; sent by value they need no installation on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Words that make a link worth keeping, and date shapes near it.
 LINK_KEYWORDS = ["licit", "convoc", "obra", "adquis", "contrat", "bases", "acta", "obras públicas", "licitación"]
 PDF_LINK = r"(?i)\.pdf($|\?)"

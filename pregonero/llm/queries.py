@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, line_dedup, mixing, quality_rules, simhash, url_filters
+from . import chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, quality_rules, simhash, url_filters
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,31 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def remainder(column: str, divisor: int):
+    """crc32 of a value as text, modulo divisor; null for null."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = language_id.fit(docs.filter(~held_out & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text", "lang"))
+    judged = language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@query()
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+    model = lm_scoring.fit(docs.filter(remainder("doc_id", 10) != 0).withColumnRenamed("doc_id", "id"))
+    scored = lm_scoring.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 #: Rules of the contract, then the method's own list.
 URL_RULES = [
     ("net/", "block", 0), ("example.net/en/", "allow", 0), ("example.com/de/", "block", 0), ("org/fr/", "allow", 0),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, quality_rules, simhash, url_filters
+from . import chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash, url_filters
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "place", "value", "before", "label", "score", "is_secret")
+
+
 @query(
     """
 WITH t AS (

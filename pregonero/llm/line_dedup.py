@@ -33,7 +33,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .store import columns_clear_of, stage
+from .store import WORD, columns_clear_of, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -220,3 +220,11 @@ def dedup_lines(
         F.when(blocks.isNull(), 0).otherwise(F.size(blocks)).cast("long").alias(names["n_blocks"]),
         F.coalesce(F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + b["words"]), F.lit(0).cast("long")).alias(names["n_removed_words"]),
     )
+
+
+def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without the duplicate blocks and without the documents of which nothing is left; the columns of docs."""
+    names = columns_clear_of(docs, "n_blocks")
+    left = dedup_lines(docs, id_column, text_column)
+    emptied = (F.col(names["n_blocks"]) > 0) & ~F.col(text_column).rlike(WORD)
+    return left.filter(~F.coalesce(emptied, F.lit(False))).select(*[f"`{c}`" for c in docs.columns])

@@ -2,10 +2,10 @@
 
 A line with a word fails if it is
 * navigation: at least 3 separators (`|`, `»`, `›`, `·`) and a third as many separators as words, or more;
-* symbols: at least a third of its characters are among `#*$%&|<>`;
+* symbols: at least a quarter of its characters are among `#*$%&|<>`;
 * shouting: at least 3 words, and 70 % of 10 or more cased letters are capitals;
 * exclamation: at least 3 words, and half of its words or more end in `!`;
-* a repeat: at least 5 words, and its commonest word makes up over half of them;
+* a repeat: at least 5 words, and its commonest word makes up over half of them, or a third of them or more equal the word before;
 * boilerplate: one of the fixed phrases of script, cookie and navigation notices;
 * unpunctuated: at least `long_line` words with no `.`, `!`, `?`, `:`, `;`, `,` or closing quote anywhere.
 Lines without a word are kept and count for nothing. A document is rejected if its base check fails (fewer than 10 words,
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .store import columns_clear_of
 
@@ -61,7 +61,7 @@ def line_fault(line: str, words: list[bytes], long_line: int = LONG_LINE) -> str
         return "navigation"
     raw = line.encode()
     chars = sum(map(len, words))
-    if 3 * (len(raw) - len(raw.translate(None, SYMBOLS))) >= chars:
+    if 4 * (len(raw) - len(raw.translate(None, SYMBOLS))) >= chars:
         return "symbols"
     if n >= 3:
         capitals = sum(map(str.isupper, line))
@@ -70,7 +70,7 @@ def line_fault(line: str, words: list[bytes], long_line: int = LONG_LINE) -> str
             return "shouting"
         if 2 * sum(w.endswith(b"!") for w in words) >= n:
             return "exclamation"
-    if n >= 5 and 2 * Counter(words).most_common(1)[0][1] > n:
+    if n >= 5 and (2 * Counter(words).most_common(1)[0][1] > n or 3 * sum(map(bytes.__eq__, words, words[1:])) >= n):
         return "repeat"
     low = line.lower()
     if any(p in low for p in BOILERPLATE):
@@ -151,3 +151,10 @@ def apply_rules(
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *labels])
 
     return docs.mapInArrow(judge, schema)
+
+
+def clean(docs: DataFrame, text_column: str = "text", most_lost: float = MOST_LOST, long_line: int = LONG_LINE) -> DataFrame:
+    """The kept documents, without their failing lines; the columns of docs."""
+    names = columns_clear_of(docs, *[n for n, _ in FIELDS])
+    judged = apply_rules(docs, text_column, most_lost, long_line).filter(F.col(names["kept"]))
+    return judged.select(*[F.col(names["cleaned"]).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])

@@ -2,7 +2,7 @@
 
 A line with a word fails if it is
 * navigation: at least 3 separators (`|`, `»`, `›`, `·`) and a third as many separators as words, or more;
-* symbols: at least a quarter of its characters are among `#*$%&|<>`;
+* symbols: 3 of its characters and a quarter of them, or more, are among `#*$%&|<>`;
 * shouting: at least 3 words, and 70 % of 10 or more cased letters are capitals;
 * exclamation: at least 3 words, and half of its words or more end in `!`;
 * a repeat: at least 5 words, and its commonest word makes up over half of them, or a third of them or more equal the word before;
@@ -61,7 +61,8 @@ def line_fault(line: str, words: list[bytes], long_line: int = LONG_LINE) -> str
         return "navigation"
     raw = line.encode()
     chars = sum(map(len, words))
-    if 4 * (len(raw) - len(raw.translate(None, SYMBOLS))) >= chars:
+    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
+    if symbols >= 3 and 4 * symbols >= chars:
         return "symbols"
     if n >= 3:
         capitals = sum(map(str.isupper, line))

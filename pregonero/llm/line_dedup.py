@@ -9,7 +9,8 @@
    gives one link per document, not one per pair; no line is too common to count.
 4. For each later document its partners are taken by their rarest shared token, rarest first. The shared tokens are
    aligned by patience (the longest run of tokens that stand in the same order in both), and lines that follow each other
-   directly in both documents form a block.
+   directly in both documents form a block. Lines that crossed the run form blocks of their own in the same way, so a
+   passage that was moved is found as well.
 5. Blocks of at least `min_block_words` words are deleted from the later document, with the line breaks of lines that go
    as a whole.
 
@@ -42,7 +43,7 @@ CONTEXT_WORDS = 5
 MIN_BLOCK_WORDS = 20
 MASK = (1 << 63) - 1
 SENTENCE_END = re.compile(r"[.!?]+(?=[\x20\x09-\x0D])")
-LINE_FIRST, LINE_LAST = 1, 2
+LINE_FIRST, LINE_LAST, AGAIN = 1, 2, 4
 
 
 def line_spans(text: str, sentence_words: int = SENTENCE_WORDS) -> list[tuple[int, int, int]]:
@@ -64,21 +65,25 @@ def line_spans(text: str, sentence_words: int = SENTENCE_WORDS) -> list[tuple[in
 
 
 def line_tokens(text: str | None, sentence_words: int = SENTENCE_WORDS, context_words: int = CONTEXT_WORDS) -> list[tuple]:
-    """(token, words, start, end, flags) of the lines with a word."""
-    found = []
+    """(token, place, words, start, end, flags) of the lines with a word; a line seen before has two rows, one flagged AGAIN."""
+    found: list[tuple] = []
+    text = text or ""
+    place = -1
     seen: dict[int, int] = {}
     before = b""
-    for start, end, flags in line_spans(text or "", sentence_words):
+    for start, end, flags in line_spans(text, sentence_words):
         words = text[start:end].encode().split()
         if not words:
             continue
         whole = b" ".join(words)
         token = xxhash.xxh64_intdigest(whole if len(words) >= context_words else before + b"\n" + whole) & MASK
         before = whole
+        place += 1
         seen[token] = again = seen.get(token, -1) + 1
         if again:
+            found.append((token, place, len(words), start, end, flags | AGAIN))
             token = xxhash.xxh64_intdigest(b"%d %d" % (token, again)) & MASK
-        found.append((token, len(words), start, end, flags))
+        found.append((token, place, len(words), start, end, flags))
     return found
 
 
@@ -104,32 +109,35 @@ def longest_run(places: list[int]) -> list[int]:
 
 def aligned_blocks(shared: list[dict], min_block_words: int) -> list[tuple[int, int, int]]:
     """(start, end, words) of the blocks to delete. shared: place, start, end, flags, words, n, partner, partner_place."""
+    chosen = {s["place"]: s for s in sorted(shared, key=lambda s: -(s["flags"] & AGAIN))}
     partners: dict[object, list[dict]] = {}
-    for s in {s["place"]: s for s in shared}.values():
+    for s in chosen.values():
         partners.setdefault(tuple(s["partner"].values()), []).append(s)
     blocks = []
     for common in sorted(partners.values(), key=lambda c: min(s["n"] for s in c)):
         common.sort(key=lambda s: s["place"])
-        run = [common[i] for i in longest_run([s["partner_place"] for s in common])]
-        block = run[:1]
-        for s in [*run[1:], None]:
-            if s and s["place"] == block[-1]["place"] + 1 and s["partner_place"] == block[-1]["partner_place"] + 1:
-                block.append(s)
-                continue
-            words = sum(b["words"] for b in block)
-            if words >= min_block_words:
-                first, last = block[0], block[-1]
-                # the break after a line stays if the text before the block stands in front of it
-                stays = last["flags"] & LINE_LAST and not first["flags"] & LINE_FIRST
-                blocks.append((first["start"], last["end"] - bool(stays), words))
-            block = [s]
+        run = longest_run([s["partner_place"] for s in common])
+        in_run = set(run)
+        for order in ([common[i] for i in run], [s for i, s in enumerate(common) if i not in in_run]):
+            block = order[:1]
+            for s in [*order[1:], None]:
+                if s and s["place"] == block[-1]["place"] + 1 and s["partner_place"] == block[-1]["partner_place"] + 1:
+                    block.append(s)
+                    continue
+                words = sum(b["words"] for b in block)
+                if words >= min_block_words:
+                    first, last = block[0], block[-1]
+                    # the break after a line stays if the text before the block stands in front of it
+                    stays = last["flags"] & LINE_LAST and not first["flags"] & LINE_FIRST
+                    blocks.append((first["start"], last["end"] - bool(stays), words))
+                block = [s]
     return sorted(blocks)
 
 
 def _tokenise(docs: DataFrame, sentence_words: int, context_words: int) -> DataFrame:
     """(id, hash, text) -> (id, hash, lines)."""
-    names = [("token", T.LongType()), ("words", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("flags", T.IntegerType())]
-    line = T.StructType([T.StructField(n, t) for n, t in names])
+    names = ["token", "place", "words", "start", "end", "flags"]
+    line = T.StructType([T.StructField(n, T.IntegerType() if i else T.LongType()) for i, n in enumerate(names)])
     schema = T.StructType([*docs.schema.fields[:2], T.StructField("lines", T.ArrayType(line))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +148,8 @@ def _tokenise(docs: DataFrame, sentence_words: int, context_words: int) -> DataF
                 for column, values in zip(columns, zip(*found)):
                     column.extend(values)
                 offsets.append(offsets[-1] + len(found))
-            kinds = [pa.int64(), *[pa.int32()] * 4]
-            structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [n for n, _ in names])
+            kinds = [pa.int64(), *[pa.int32()] * 5]
+            structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
             lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines], ["id", "hash", "lines"])
 
@@ -178,7 +186,7 @@ def duplicate_blocks(
     """(id, hash, blocks): the blocks to delete, for documents that have any; hash as text_hash() gives it."""
     keyed = docs.select(F.col(id_column).alias("id"), text_hash(text_column).alias("hash"), F.col(text_column).alias("text"))
     cut = stage(_tokenise(keyed, sentence_words, context_words), "line-tokens")
-    lines = cut.select("id", "hash", F.posexplode("lines").alias("place", "line")).select("id", "hash", "place", "line.*")
+    lines = cut.select("id", "hash", F.explode("lines").alias("line")).select("id", "hash", "line.*")
     holder = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "place")
     first = lines.groupBy("token").agg(F.min(holder).alias("first"), F.count("*").cast("int").alias("n")).filter("n > 1")
     own = F.col("id").eqNullSafe(F.col("first.id")) & F.col("hash").eqNullSafe(F.col("first.hash"))

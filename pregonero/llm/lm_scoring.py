@@ -38,8 +38,8 @@ WIDTH = 24
 HEAD = 1 << 18
 HEAD_BYTES = 64
 FIT_TOKENS = 400_000
-EPOCHS = 4
 BATCH = 512
+STEPS, MOST_EPOCHS = 3000, 20
 NOISE = 128
 RATE = 0.15
 SMOOTH = 0.1
@@ -76,7 +76,7 @@ def count_tokens(learn: DataFrame) -> DataFrame:
     return stage(learn.mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
 
 
-def train(windows: np.ndarray, n_classes: int, width: int = WIDTH, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
+def train(windows: np.ndarray, n_classes: int, width: int = WIDTH, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
     """windows: rows of (class two before, class before, class), n_classes standing for the start of a text."""
     rng = np.random.default_rng(seed)
     counts = np.bincount(windows[:, 2], minlength=n_classes) + 0.5
@@ -95,7 +95,7 @@ def train(windows: np.ndarray, n_classes: int, width: int = WIDTH, epochs: int =
         p[name][at] -= RATE * gradient / np.sqrt(power[name][at])
 
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for _ in range(epochs):
+    for _ in range(min(MOST_EPOCHS, -(-steps * BATCH // len(windows)))):
         order = rng.permutation(len(windows))
         for start in range(0, len(windows), BATCH):
             two, one, word = windows[order[start : start + BATCH]].T

@@ -1,7 +1,7 @@
 """Secret scan: candidate words, features, and a random forest that takes out false positives. DataFrame functions only.
 
 A candidate is a word of at least 12 characters with a digit, or of at least 8 that follows or holds a key word and `=` or
-`:`. Its value is the word without the key, quotes and closing punctuation. Features: length, kinds of characters and the
+`:`, or that holds an access key id. Its value is the word without the key, quotes and closing punctuation. Features: length, kinds of characters and the
 transitions between them, distinct characters, the share of the value's letter trigrams that occur in dictionary words,
 whether the path looks like tests or documentation, and whether the neighbouring words name a secret or an example. The
 dictionary is the corpus's own: all words of letters that make up at least FREQUENT of its words (so at most 1 / FREQUENT).
@@ -27,6 +27,7 @@ FIT_FINDINGS = 20_000
 FREQUENT = 1e-5
 TREES, DEPTH = 20, 6
 KEY_WORDS = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key)"
+ACCESS_KEY = "(AKIA|ASIA)[A-Z0-9]{16}"
 EXAMPLE_WORDS = r"(?i)(example|sample|dummy|placeholder|test|fake|changeme)"
 EXAMPLE_PATH = r"(?i)(^|[/_.-])(tests?|examples?|samples?|mocks?|docs?|fixtures?|vendor)([/_.-]|$)"
 
@@ -49,7 +50,7 @@ FEATURES = [
 def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
     """(id, path, place, word, value, before, after): place counts words from 0."""
     words = F.split(F.trim(F.regexp_replace(F.col(text_column), r"[\x20\x09-\x0D]+", " ")), " ")
-    told = docs.filter(F.col(text_column).rlike("[0-9=:]")).select(
+    told = docs.filter(F.col(text_column).rlike(f"[0-9=:]|{ACCESS_KEY}")).select(
         F.col(id_column).alias("id"), F.col(path_column).cast("string").alias("path"), words.alias("words")
     )
     w, key_end = F.col("words"), KEY_WORDS + r"\w*[\"']?\s*[=:]"
@@ -57,7 +58,7 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     def chosen(i: Column) -> Column:
         word, one, two = F.get(w, i), F.coalesce(F.get(w, i - 1), F.lit("")), F.coalesce(F.get(w, i - 2), F.lit(""))
         keyed = word.rlike(key_end + ".{6,}") | one.rlike(key_end + "$") | (one.rlike(r"^[=:]$") & two.rlike(KEY_WORDS + r"\w*$"))
-        return (F.length(word) >= 8) & (((F.length(word) >= 12) & word.rlike("[0-9]")) | keyed)
+        return (F.length(word) >= 8) & (((F.length(word) >= 12) & word.rlike(f"[0-9]|{ACCESS_KEY}")) | keyed)
 
     found = told.select(
         "id", "path",

@@ -418,11 +418,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores is dealt out over the cores before text is made of it; a large
-    table has pieces enough and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The table dealt out by its key, so that composing long texts from it is shared by all tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -430,7 +428,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for base in ("customer", "nation", "region"):
         table(spark, sf_dir, base).createOrReplaceTempView(base)
     orders = table(spark, sf_dir, "orders")
-    (orders if name == "tenders" else spread(orders)).createOrReplaceTempView("orders")
+    # the tenders view only renames and joins columns; all other inputs compose texts
+    (orders if name == "tenders" else dealt(orders, "o_orderkey")).createOrReplaceTempView("orders")
     df = None
     for step in needs(name):
         df = spark.sql(VIEWS[step][1]("spark"))

@@ -361,10 +361,9 @@ register(
         sites.normalise(sites.parse_lines(view(spark, sf, "site_lines").select("line")), as_of_day())
         .select("numero_procedimiento", "titulo", "entidad_compradora", "unidad_compradora", "tipo_procedimiento", "tipo_contratacion",
                 "fecha_publicacion", "monto_estimado", "url_original", "fuente")
-        .withColumn("numero_procedimiento", F.when(F.col("numero_procedimiento").startswith("SM-"), "SM").otherwise(F.col("numero_procedimiento")))
     ),
     f"""SELECT CASE k % 6 WHEN 0 THEN 'LP-' || CAST(k AS VARCHAR) || '-EST' WHEN 1 THEN '123/2024' WHEN 2 THEN 'XYZ-' || lpad(CAST(k AS VARCHAR), 4, '0')
-      WHEN 3 THEN 'No. 45.B' ELSE 'SM' END AS numero_procedimiento, titulo, buyer AS entidad_compradora,
+      WHEN 3 THEN 'No. 45.B' ELSE 'SM-' || substr(sha256(titulo), 1, 24) END AS numero_procedimiento, titulo, buyer AS entidad_compradora,
     CASE WHEN k % 4 = 0 THEN NULL WHEN k % 2 = 0 THEN region ELSE nation END AS unidad_compradora,
     CASE WHEN k % 6 = 0 THEN 'LICITACION_PUBLICA' WHEN k % 6 = 1 THEN 'INVITACION_3' ELSE 'ADJUDICACION_DIRECTA' END AS tipo_procedimiento,
     CASE k % 6 WHEN 0 THEN 'OBRA_PUBLICA' WHEN 1 THEN 'SERVICIOS' WHEN 2 THEN 'OBRA_PUBLICA' ELSE 'ADQUISICIONES' END AS tipo_contratacion,

@@ -214,10 +214,13 @@ on_tenders("a9_facets", statistics.facets, " UNION ALL ".join(FACET.format(c) fo
 on_tenders(
     "a1_a8_statistics_page",
     statistics.general_report,
-    " UNION ALL ".join(FACET.format(c) for c in ("fuente", "estado", "entidad_federativa", "tipo_contratacion", "entidad_compradora"))
-    + " UNION ALL SELECT 'total', 'total', COUNT(*) FROM tenders"
-    + " UNION ALL SELECT 'con_municipio', 'con_municipio', COUNT(municipio) FROM tenders"
-    + " UNION ALL SELECT 'con_datos_especificos', 'con_datos_especificos', COUNT(datos_especificos) FROM tenders",
+    "SELECT *, NULL AS momento FROM ("
+    + " UNION ALL ".join(FACET.format(c) for c in ("fuente", "estado", "entidad_federativa", "tipo_contratacion"))
+    + " UNION ALL SELECT 'total', NULL, COUNT(*) FROM tenders"
+    + " UNION ALL SELECT 'con_municipio', NULL, COUNT(municipio) FROM tenders"
+    + " UNION ALL SELECT 'con_datos_especificos', NULL, COUNT(datos_especificos) FROM tenders"
+    + " UNION ALL (SELECT 'entidad_compradora', entidad_compradora, COUNT(*) FROM tenders WHERE entidad_compradora IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1)"
+    + f") x UNION ALL SELECT 'ultima_actualizacion', fuente, NULL, {STAMP.format('MAX(fecha_captura)')} FROM tenders GROUP BY fuente",
 )
 on_tenders(
     "a10_top_buyers",
@@ -402,12 +405,12 @@ on_tenders(
 on_tenders(
     "a32_processed_on_day",
     lambda t: freshness.processed_on(t, "2001-07-31"),
-    "SELECT fuente, bool_or(CAST(fecha_captura AS DATE) = DATE '2001-07-31') AS procesado_hoy FROM tenders GROUP BY 1",
+    "SELECT fuente, bool_or(CAST(fecha_captura AS DATE) = DATE '2001-07-31') AS procesado_hoy FROM tenders GROUP BY 1 UNION ALL SELECT 'TIANGUIS_ZIP', false",
 )
 on_tenders(
     "a33_last_processing",
     freshness.last_processing,
-    f"SELECT fuente, {STAMP.format('MAX(fecha_captura)')} AS ultimo_proceso, {COUNT} FROM tenders GROUP BY 1",
+    f"SELECT fuente, {STAMP.format('MAX(fecha_captura)')} AS ultimo_proceso, {COUNT} FROM tenders GROUP BY 1 UNION ALL SELECT 'TIANGUIS_ZIP', NULL, 0",
 )
 for label, moment in {"tuesday_morning": "2001-07-31 09:30:00", "sunday": "2001-08-12 12:00:00"}.items():
     on_tenders(
@@ -423,8 +426,17 @@ for label, moment in {"tuesday_morning": "2001-07-31 09:30:00", "sunday": "2001-
           COUNT(*) FILTER (WHERE fecha_captura >= TIMESTAMP '{moment}' - INTERVAL 24 HOUR) AS registros_24h,
           bool_or(CAST(fecha_captura AS DATE) = CAST(TIMESTAMP '{moment}' AS DATE)) AS procesado_hoy,
           CAST(epoch_us(TIMESTAMP '{moment}') - epoch_us(MAX(fecha_captura)) AS DOUBLE) / 3600000000 AS horas_desde
-        FROM tenders GROUP BY 1) x) y""",
+        FROM tenders GROUP BY 1) x) y UNION ALL SELECT 'TIANGUIS_ZIP', NULL, 0, false, NULL, true, NULL""",
     )
+on_tenders(
+    "t7_freshness_sources_that_never_ran",
+    lambda t: freshness.report(t.filter("fuente = 'DOF'"), "2001-08-12 12:00:00"),
+    f"""SELECT 'DOF' AS fuente, {STAMP.format('MAX(fecha_captura)')} AS ultimo_proceso,
+    COUNT(*) FILTER (WHERE fecha_captura >= TIMESTAMP '2001-08-11 12:00:00') AS registros_24h, false AS procesado_hoy,
+    CAST(epoch_us(TIMESTAMP '2001-08-12 12:00:00') - epoch_us(MAX(fecha_captura)) AS DOUBLE) / 3600000000 AS horas_desde, false AS ejecutar,
+    'No es martes/jueves o ya procesado' AS razon FROM tenders WHERE fuente = 'DOF'
+    UNION ALL SELECT unnest(['ComprasMX', 'Tianguis Digital', 'TIANGUIS_ZIP', 'SITIOS_MASIVOS']), NULL, 0, false, NULL, true, NULL""",
+)
 
 # --- windows, pages ------------------------------------------------------------------------------------------------
 
@@ -480,7 +492,14 @@ on_tenders(
     lambda t: paging.top(t.select("id", "monto_estimado").filter("monto_estimado is not null"), 25, "monto_estimado", "id"),
     "SELECT id, CAST(monto_estimado AS DOUBLE) AS monto_estimado FROM tenders WHERE monto_estimado IS NOT NULL ORDER BY 2 DESC, id LIMIT 25",
 )
-on_tenders("l5_random_examples", lambda t: paging.parsed_examples(t, 3, seed=7).select("id", "entidad_federativa"), None)
+on_tenders(  # which rows come is chance; that they are distinct, eligible and as many as asked for is not
+    "l5_random_examples",
+    lambda t: paging.parsed_examples(t, 3, seed=7).agg(
+        F.count_distinct("id").alias("n"), F.bool_and((F.col("fuente") == "DOF") & (F.col("id") % 12 == 9)).alias("analizadas"),
+        F.bool_and(F.col("entidad_federativa").isNotNull()).alias("con_entidad"),
+    ),
+    "SELECT least(3, COUNT(*)) AS n, true AS analizadas, true AS con_entidad FROM tenders WHERE fuente = 'DOF' AND id % 12 = 9 AND entidad_federativa IS NOT NULL",
+)
 on_tenders(
     "l6_parse_work_list",
     lambda t: paging.parse_work_list(t, limit=200).select("id", "fecha_captura"),
@@ -488,10 +507,12 @@ on_tenders(
 )
 on_tenders(
     "u_1_union_of_sources",
-    lambda t: t.filter("fuente = 'DOF'").select("id", "titulo").unionByName(
-        t.filter("fuente = 'ComprasMX'").select("titulo", "id", "municipio"), allowMissingColumns=True
-    ),
-    "SELECT id, titulo, CASE WHEN fuente = 'ComprasMX' THEN municipio END AS municipio FROM tenders WHERE fuente IN ('DOF', 'ComprasMX')",
+    lambda t: t.filter("fuente = 'DOF'").select("id", "titulo")
+    .unionByName(t.filter("fuente = 'ComprasMX'").select("titulo", "id", "municipio"), allowMissingColumns=True)
+    .unionByName(t.filter("fuente = 'Tianguis Digital'").select("estado", "id"), allowMissingColumns=True)
+    .unionByName(t.filter("fuente = 'SITIOS_MASIVOS'").select("id", "municipio", "titulo"), allowMissingColumns=True),
+    """SELECT id, CASE WHEN fuente <> 'Tianguis Digital' THEN titulo END AS titulo, CASE WHEN fuente IN ('ComprasMX', 'SITIOS_MASIVOS') THEN municipio END AS municipio,
+    CASE WHEN fuente = 'Tianguis Digital' THEN estado END AS estado FROM tenders""",
 )
 on_tenders(
     "u_2_unseen_keys",

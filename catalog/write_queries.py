@@ -107,19 +107,33 @@ register(
 )
 
 
+CHAIN = 500  # rows of a chain in which each row shares its hash with one neighbour and its triple with the other
+
+
 def two_key_batch(spark, sf):
-    """Rows whose hash and triple collide independently: identifiers and numbers repeat with different periods."""
+    """Chains of conflicts, each row twice, and rows without hash.
+
+    Row p of a chain has hash (p + 1) // 2 and triple p // 2. So even rows get in and odd rows meet the triple of the row
+    before. The copies, which come later, find the hash of the next even row taken, but for the last odd row of a chain.
+    """
     t = tenders(spark, sf)
-    return t.withColumns({
-        "numero_procedimiento": F.concat(F.lit("N-"), (F.col("id") % 611).cast("string")), "entidad_compradora": F.lit("E"), "fuente": F.lit("ComprasMX"),
-        "hash_contenido": F.concat(F.lit("u-"), (F.col("id") * 7 % 733).cast("string")), "_ord": F.col("id"),
+    p, chain = F.col("id") % CHAIN, F.floor(F.col("id") / CHAIN).cast("string")
+    first = t.withColumns({
+        "numero_procedimiento": F.concat_ws("-", F.lit("N"), chain, F.floor(p / 2).cast("string")), "entidad_compradora": F.lit("E"),
+        "fuente": F.lit("ComprasMX"), "hash_contenido": F.concat_ws("-", F.lit("u"), chain, F.floor((p + 1) / 2).cast("string")), "_ord": F.col("id"),
     })
+    copies = first.withColumn("_ord", F.col("_ord") + 1_000_000_000)
+    keyless = first.filter("id % 97 = 0").withColumns({"hash_contenido": F.lit(None).cast("string"), "_ord": F.col("_ord") + 2_000_000_000})
+    return first.unionByName(copies).unionByName(keyless)
 
 
 register(
     "u1_insert_two_unique_keys",
-    lambda spark, sf: upsert.insert_status(two_key_batch(spark, sf), two_key_batch(spark, sf).limit(0)).groupBy("estatus").agg(F.count(F.lit(1)).alias("n")),
-    None,
+    lambda spark, sf: upsert.insert_status(two_key_batch(spark, sf), two_key_batch(spark, sf).limit(0)).select(F.col("_ord").alias("orden"), "estatus", "motivo"),
+    f"""SELECT id AS orden, CASE WHEN id % {CHAIN} % 2 = 0 THEN 'insertado' ELSE 'error' END AS estatus, NULL AS motivo FROM tenders
+    UNION ALL SELECT id + 1000000000, CASE WHEN id % {CHAIN} % 2 = 1 AND (id % {CHAIN} = {CHAIN} - 1 OR id = (SELECT MAX(id) FROM tenders)) THEN 'error' ELSE 'duplicado' END, NULL FROM tenders
+    UNION ALL SELECT id + 2000000000, 'rechazado', 'sin hash_contenido' FROM tenders WHERE id % 97 = 0""",
+    "tenders",
 )
 
 
@@ -137,6 +151,29 @@ register(
     FROM (SELECT id, estado, {BATCH_NUMBER} AS numero, id % 4000 % 5 = 0 AS en_tabla FROM tenders WHERE id % 97 <> 0) x GROUP BY 1, 2, en_tabla""",
     "tenders",
 )
+def upserted_table(spark, sf):
+    """The same upsert on a stored table: buckets rewritten, rows of other sources and rows without hash left alone."""
+    path = work_dir(spark, "table")
+    others = conform(tenders(spark, sf).filter("fuente <> 'DOF'"))
+    upsert.append_rows(stored_table(spark, sf).withColumns({"titulo": F.lit("viejo"), "municipio": F.lit("viejo")}).unionByName(others), path)
+    changed = batch(spark, sf).filter("id % 97 <> 0").withColumns({
+        "municipio": F.concat(F.lit("m"), F.col("id").cast("string")), "titulo": F.concat(F.lit("t"), F.col("id").cast("string")),
+        "hash_contenido": F.when(F.col("id") % 89 != 0, F.col("hash_contenido")),
+    })
+    upsert.upsert_table(changed, path)
+    return upsert.read_table(spark, path)
+
+
+register(
+    "u2_upsert_stored_table",
+    lambda spark, sf: upserted_table(spark, sf).select("numero_procedimiento", "entidad_compradora", "fuente", "titulo", "municipio"),
+    f"""WITH b AS (SELECT id, estado, {BATCH_NUMBER} AS numero, id % 4000 % 5 = 0 AS en_tabla FROM tenders WHERE id % 97 <> 0),
+    k AS (SELECT numero, estado, en_tabla, MIN(id) FILTER (WHERE id % 89 <> 0) AS primero, MAX(id) FILTER (WHERE id % 89 <> 0) AS ultimo FROM b GROUP BY 1, 2, 3)
+    SELECT numero AS numero_procedimiento, estado AS entidad_compradora, 'DOF' AS fuente, CASE WHEN en_tabla THEN 'viejo' ELSE 't' || CAST(primero AS VARCHAR) END AS titulo,
+    CASE WHEN ultimo IS NULL THEN 'viejo' ELSE 'm' || CAST(ultimo AS VARCHAR) END AS municipio FROM k WHERE en_tabla OR primero IS NOT NULL
+    UNION ALL SELECT numero_procedimiento, entidad_compradora, fuente, titulo, municipio FROM tenders WHERE fuente <> 'DOF'""",
+    "tenders",
+)
 register(
     "a28_load_counters",
     lambda spark, sf: quality.success_rate(upsert.upsert_counts(upserted(spark, sf)).withColumn("duplicadas", F.lit(0))),
@@ -362,24 +399,28 @@ on_tenders(
 
 
 def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    stream = ingest.landing_stream(spark, sf, schema, "parquet", pathGlobFilter="events.parquet")
+    """The events as a stream of several files, one file a batch."""
+    events = table(spark, sf, "events")
+    path = work_dir(spark, "events")
+    events.repartitionByRange(4, "ts").write.parquet(path)
+    stream = ingest.landing_stream(spark, path, events.schema, "parquet", 1)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_to_folder(df, mode):
-    """Runs a stream over all that is there and returns what its last batch wrote."""
+    """Runs a stream over all that is there. Every batch writes a folder of its own, so a repeated batch replaces itself;
+    in complete mode the last batch holds the whole result, otherwise all batches together do."""
     spark = df.sparkSession
     out = work_dir(spark, "stream")
-    last = {}
 
     def keep(batch, n):
-        if not batch.isEmpty() or mode == "complete":
-            last["path"] = f"{out}/{n}"
-            batch.write.mode("overwrite").parquet(last["path"])
+        batch.write.mode("overwrite").parquet(f"{out}/rows/lote={n}")
 
     df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last["path"])
+    rows = spark.read.parquet(f"{out}/rows")
+    if mode == "complete":
+        rows = rows.join(rows.agg(F.max("lote").alias("lote")), "lote")
+    return rows.drop("lote")
 
 
 def live(spark, sf):
@@ -413,3 +454,12 @@ register(
     FROM portal GROUP BY 2""",
     "portal",
 )
+
+
+def all_sources(spark, sf):
+    """Landing folders of the sources that have files of lines or pages, read and united by the source registry."""
+    paths = {name: work_dir(spark, name) for name in ("sitios-masivos", "dof_texto", "comprasmx")}
+    view(spark, sf, "site_lines").select(F.col("line").alias("value")).write.text(paths["sitios-masivos"])
+    sinks.write_marked_text(view(spark, sf, "gazette_pages"), paths["dof_texto"])
+    view(spark, sf, "portal_files").select(F.col("text").alias("value")).write.text(paths["comprasmx"])
+    return paths

@@ -50,8 +50,8 @@ def longest_code(c: Column) -> Column:
 
 
 def stable_site_number(title: Column) -> Column:
-    """SM-nnnnn from a checksum of the title, the same in every run."""
-    return F.concat(F.lit("SM-"), F.lpad(F.pmod(F.crc32(F.encode(title, "utf-8")), F.lit(100000)).cast("string"), 5, "0"))
+    """SM- and 24 hex digits of a hash of the title: the same in every run, different for different titles."""
+    return F.concat(F.lit("SM-"), F.substring(F.sha2(F.encode(title, "utf-8"), 256), 1, 24))
 
 
 def first_code(c: Column) -> Column:

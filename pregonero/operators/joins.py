@@ -34,31 +34,34 @@ def patch_by_number(table: DataFrame, patches: DataFrame) -> DataFrame:
         ["numero_licitacion"],
         [F.col("orden").desc()],
     ).select(F.col("numero_licitacion").alias("_numero"), F.col("parche").alias("_parche"))
-    number = F.when(F.col("fuente") == GAZETTE, F.col("numero_procedimiento"))
-    patched = F.when(
+    gazette = table.filter(F.col("fuente") == GAZETTE)
+    return _patched(gazette.join(latest, F.col("numero_procedimiento") == F.col("_numero"), "left"), table)
+
+
+def _patched(gazette: DataFrame, table: DataFrame) -> DataFrame:
+    """Gazette rows with their patch (`_parche` or null) merged, then the rows of the other sources, which no join touches."""
+    merged = F.when(
         F.col("_parche").isNotNull() & F.col("datos_originales").isNotNull(), merge(F.col("datos_originales"), F.col("_parche"))
     ).otherwise(F.col("datos_originales"))
-    return (
-        table.join(latest, number == F.col("_numero"), "left")
-        .withColumn("actualizada", F.col("_parche").isNotNull())
-        .withColumn("datos_originales", patched)
-        .drop("_numero", "_parche")
-    )
+    rows = gazette.withColumn("actualizada", F.col("_parche").isNotNull()).withColumn("datos_originales", merged)
+    others = table.filter(~F.col("fuente").eqNullSafe(GAZETTE)).withColumn("actualizada", F.lit(False))
+    return rows.select(*table.columns, "actualizada").unionByName(others)
 
 
-def patch_by_agency_and_object(table: DataFrame, patches: DataFrame) -> DataFrame:
-    """For patches without number: same agency, and the title contains the first 50 characters of the object (taken
+def patch_by_agency_and_object(table: DataFrame, patches: DataFrame, prefix: int = 50) -> DataFrame:
+    """For patches without number: same agency, and the title contains the first `prefix` characters of the object (taken
     literally). Each row keeps its last matching patch.
 
-    Containment is turned into an equi-join: every distinct title gives the hashes of its substrings of the lengths
-    that occur among the patches, and these meet the hashed object texts. So a large agency is spread over its texts
-    instead of comparing all its titles with all its patches; the candidates are then verified on the text itself.
+    Containment is turned into an equi-join: every distinct title of an agency with patches gives the hashes of its
+    substrings of the lengths that occur among the agency's patches, and these meet the hashed object texts. So a large
+    agency is spread over its texts instead of comparing all its titles with all its patches; the candidates are then
+    verified on the text itself.
     """
     nameless = patches.filter(
         blank_to_null(F.col("numero_licitacion")).isNull()
         & blank_to_null(F.col("dependencia")).isNotNull()
         & blank_to_null(F.col("objeto_licitacion")).isNotNull()
-    ).withColumn("_prefijo", F.substring("objeto_licitacion", 1, 50))
+    ).withColumn("_prefijo", F.substring("objeto_licitacion", 1, prefix))
     latest = first_per_key(nameless, ["dependencia", "_prefijo"], [F.col("orden").desc()]).select(
         F.col("dependencia").alias("_dependencia"),
         F.xxhash64("_prefijo").alias("_trozo"),
@@ -66,12 +69,13 @@ def patch_by_agency_and_object(table: DataFrame, patches: DataFrame) -> DataFram
         F.col("orden").alias("_orden"),
         F.col("parche").alias("_parche"),
     )
-    lengths = latest.agg(F.collect_set(F.length("_prefijo")).alias("_largos"))  # at most 50 values
-    agency = F.when(F.col("fuente") == GAZETTE, F.col("entidad_compradora"))
+    lengths = latest.groupBy("_dependencia").agg(F.collect_set(F.length("_prefijo")).alias("_largos"))  # at most `prefix` values each
+    gazette = table.filter(F.col("fuente") == GAZETTE)
     titles = (
-        table.filter(F.col("fuente") == GAZETTE)
-        .select(F.col("entidad_compradora").alias("_dependencia"), F.col("titulo").alias("_titulo"))
-        .distinct()
+        gazette.select(F.col("entidad_compradora").alias("_dependencia"), F.col("titulo").alias("_titulo"))
+        .join(lengths, "_dependencia")
+        .groupBy("_dependencia", "_titulo")
+        .agg(F.first("_largos").alias("_largos"))
         .withColumn("_clave", F.xxhash64("_titulo"))
     )
 
@@ -81,25 +85,18 @@ def patch_by_agency_and_object(table: DataFrame, patches: DataFrame) -> DataFram
             F.length("_titulo") >= n, F.transform(starts, lambda at: F.xxhash64(F.substring(F.col("_titulo"), at, n)))
         ).otherwise(F.array().cast("array<bigint>"))
 
-    grams = titles.crossJoin(F.broadcast(lengths)).select(
+    grams = titles.select(
         "_dependencia", "_clave", F.explode(F.array_distinct(F.flatten(F.transform("_largos", pieces)))).alias("_trozo")
     )
     chosen = (
         grams.join(latest, ["_dependencia", "_trozo"])
-        .join(titles, ["_dependencia", "_clave"])
+        .join(titles.drop("_largos"), ["_dependencia", "_clave"])
         .filter(F.col("_titulo").contains(F.col("_prefijo")))
         .groupBy("_dependencia", "_titulo")
         .agg(F.max_by("_parche", "_orden").alias("_parche"))
     )
-    patched = F.when(
-        F.col("_parche").isNotNull() & F.col("datos_originales").isNotNull(), merge(F.col("datos_originales"), F.col("_parche"))
-    ).otherwise(F.col("datos_originales"))
-    return (
-        table.join(chosen, (agency == F.col("_dependencia")) & (F.col("titulo") == F.col("_titulo")), "left")
-        .withColumn("actualizada", F.col("_parche").isNotNull())
-        .withColumn("datos_originales", patched)
-        .drop("_dependencia", "_titulo", "_parche")
-    )
+    own = (F.col("entidad_compradora") == F.col("_dependencia")) & (F.col("titulo") == F.col("_titulo"))
+    return _patched(gazette.join(chosen, own, "left"), table)
 
 
 def fill_from(table: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:

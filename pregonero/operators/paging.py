@@ -12,8 +12,6 @@ from .filters import filter_tenders, library_filter, pending_parse, quick_search
 
 MAX_PAGE_SIZE = 500
 MAX_QUICK = 50
-# A page that starts further down than this is found through the date histogram instead of one top-k.
-DEEP_PAGE_ROWS = 100_000
 ID_RANGES = 65_536
 
 
@@ -23,12 +21,11 @@ def newest_first() -> list[Column]:
 
 
 def page(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
-    """One page of the newest tenders (number from 1, size 1..500)."""
+    """One page of the newest tenders (number from 1, size 1..500), by one top-k. For pages far down the list `deep_page`
+    and `page_after` do less work."""
     if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
         raise ValueError("page number from 1, page size 1 to 500")
     offset = (number - 1) * size
-    if offset > DEEP_PAGE_ROWS:
-        return deep_page(df, offset, size)
     return df.orderBy(*newest_first()).offset(offset).limit(size)
 
 
@@ -38,7 +35,7 @@ def deep_page(df: DataFrame, offset: int, size: int) -> DataFrame:
     day that holds much of the table is cut into many ranges."""
     day = F.coalesce("fecha_publicacion", F.lit("9999-12-31").cast("date"))
     dated = df.withColumn("_day", day)
-    days = _touched(dated.groupBy("_day").agg(F.count(F.lit(1)).alias("n")), [F.col("_day").desc()], offset, size)
+    days = _touched(dated.groupBy("_day").agg(F.count(F.lit(1)).alias("n")), [F.col("_day").desc()], F.lit(offset), size)
     hits = dated.join(days.select("_day"), "_day")
 
     bounds = hits.agg(F.min("id").cast("double").alias("_lo"), F.max("id").cast("double").alias("_hi"))
@@ -46,10 +43,10 @@ def deep_page(df: DataFrame, offset: int, size: int) -> DataFrame:
     ranged = hits.crossJoin(F.broadcast(bounds)).withColumn(
         "_range", F.floor((F.col("id").cast("double") - F.col("_lo")) / width)
     )
-    above = days.agg(F.min("before")).first()[0] or 0
-    ranges = ranged.groupBy("_day", "_range").agg(F.count(F.lit(1)).alias("n"))
-    cut = _touched(ranges, [F.col("_day").desc(), F.col("_range").desc()], offset - above, size)
-    rank = F.row_number().over(W.partitionBy("_day", "_range").orderBy(F.col("id").desc())) + F.col("before") + above
+    above = days.agg(F.coalesce(F.min("before"), F.lit(0)).alias("_above"))  # one row
+    ranges = ranged.groupBy("_day", "_range").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(above))
+    cut = _touched(ranges, [F.col("_day").desc(), F.col("_range").desc()], F.lit(offset) - F.col("_above"), size)
+    rank = F.row_number().over(W.partitionBy("_day", "_range").orderBy(F.col("id").desc())) + F.col("before") + F.col("_above")
     return (
         ranged.join(cut, ["_day", "_range"])
         .withColumn("_rank", rank)
@@ -59,7 +56,7 @@ def deep_page(df: DataFrame, offset: int, size: int) -> DataFrame:
     )
 
 
-def _touched(counts: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+def _touched(counts: DataFrame, order: list[Column], offset: Column, size: int) -> DataFrame:
     """The groups of a histogram that overlap a page, with the number of rows before each."""
     upto = F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
     before = F.col("before")

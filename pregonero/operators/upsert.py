@@ -1,14 +1,24 @@
-"""Insert-if-absent, upsert, update and delete on the tender table."""
+"""Insert-if-absent, upsert, update and delete on the tender table.
+
+The table is Parquet partitioned by source and by bucket of the content key, so a batch reads and rewrites only the
+buckets its keys fall into.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.jsons import merge
 from ..schema import COLUMNS, TENDER, conform
-from ..session import ensure_checkpoint_dir, work_dir
-from .filters import valid_rows
+from ..session import drop_dir, hadoop_path, work_dir, written
+from .components import connected
 
+BUCKET = "cubo"
+#: Buckets per source; the same for all writers of a table.
+BUCKETS = 16
 TRIPLE = ["numero_procedimiento", "entidad_compradora", "fuente"]
 # The columns an upsert refreshes.
 REFRESHED = [
@@ -22,38 +32,95 @@ def _triple() -> list[Column]:
     return [F.coalesce(F.col(c), F.lit("")).alias(c) for c in TRIPLE]
 
 
-def insert_status(batch: DataFrame, table: DataFrame, order: str = "_ord") -> DataFrame:
-    """Adds `estatus` to each row of a batch: rechazado, insertado, duplicado or error.
+def bucket(buckets: int = BUCKETS) -> Column:
+    """The bucket of a row's key; rows without key are in bucket 0."""
+    return F.when(F.col("hash_contenido").isNull(), 0).otherwise(F.pmod(F.xxhash64("hash_contenido"), F.lit(buckets))).cast("int")
+
+
+def reject_reason() -> Column:
+    """Why a row can't be stored, null if it can."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return (
+        F.when(empty("numero_procedimiento"), "sin numero_procedimiento")
+        .when(empty("fuente"), "sin fuente")
+        .when(F.col("hash_contenido").isNull(), "sin hash_contenido")
+    )
+
+
+def _first_of_each(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one component in order: those whose hash and triple no accepted row has."""
+    hashes, triples, kept = set(), set(), []
+    for root, n, h, t in rows.sort_values("n").itertuples(index=False):
+        if h not in hashes and t not in triples:
+            hashes.add(h)
+            triples.add(t)
+            kept.append((root, n))
+    return pd.DataFrame(kept, columns=["root", "n"])
+
+
+def _accepted(racing: DataFrame, below: str) -> DataFrame:
+    """(o, h, t): the rows that inserting in order o with unique h and unique t lets in.
+
+    Of rows equal in both keys only the first can win. If all rows of a triple have hashes of their own, or all rows of a
+    hash triples of their own, the first wins and the others lose. What is left, rows that conflict on both sides, is
+    grouped into connected components, and each component is settled in order.
+    """
+    folded = written(racing.groupBy("h", "t").agg(F.min("o").alias("o")), "folded", below)
+    degrees = folded.join(folded.groupBy("h").agg(F.count("*").alias("triples")), "h").join(
+        folded.groupBy("t").agg(F.count("*").alias("hashes")), "t"
+    )
+    degrees = written(degrees, "degrees", below)
+    by_triple = degrees.groupBy("t").agg((F.max("triples") == 1).alias("star_t"), F.min("o").alias("first_t"))
+    by_hash = degrees.groupBy("h").agg((F.max("hashes") == 1).alias("star_h"), F.min("o").alias("first_h"))
+    told = written(degrees.select("o", "h", "t").join(by_triple, "t").join(by_hash, "h"), "stars", below)
+    wins = F.when(F.col("star_t"), F.col("o") == F.col("first_t")).when(F.col("star_h"), F.col("o") == F.col("first_h"))
+    easy = told.filter(wins).select("o", "h", "t")
+    mixed = told.filter("not star_t and not star_h").select(
+        "o", "h", "t", F.concat(F.lit("h"), "h").alias("a"), F.concat(F.lit("t"), "t").alias("b")
+    )
+    if mixed.isEmpty():
+        return easy
+    roots = connected(mixed.select("a", "b"), below)
+    grouped = mixed.join(roots.withColumnRenamed("node", "a"), "a", "left").select("o", "h", "t", F.coalesce("root", "a").alias("root"))
+    numbered = written(grouped.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("o"))), "components", below)
+    kept = numbered.select("root", "n", "h", "t").groupBy("root").applyInPandas(_first_of_each, "root string, n int")
+    return easy.unionByName(numbered.join(kept, ["root", "n"], "left_semi").select("o", "h", "t"))
+
+
+def insert_status(batch: DataFrame, table: DataFrame, order: str = "_ord", by_hash: DataFrame | None = None) -> DataFrame:
+    """Adds `estatus` and `motivo` to each row of a batch: rechazado (with the reason), insertado, duplicado or error.
 
     Rows act in the order of the unique column `order`. A row is inserted unless its hash, or its triple (number,
     agency, source), is in the table or was inserted by an earlier row; a taken hash makes it a duplicate, a taken
-    triple alone an error. Only the order and the two keys take part, and a few rounds settle them all: a row that
-    comes first for both its keys is accepted and takes its rivals out of the race. The table is read for its key
-    columns only and at once reduced to the keys of the batch.
+    triple alone an error. Rows without number, source or hash are rejected. Only the order and the two keys take part.
+    The table is read for its key columns only and at once reduced to the keys of the batch; `by_hash` may give another,
+    smaller part of it to look hashes up in.
     """
-    ensure_checkpoint_dir(batch.sparkSession)
-    rows = batch.filter(valid_rows()).select(F.col(order).alias("o"), F.col("hash_contenido").alias("h"), *_triple()).checkpoint()
-    known_h = table.select(F.col("hash_contenido").alias("h")).join(rows.select("h").distinct(), "h", "left_semi").distinct().checkpoint()
-    known_t = table.select(*_triple()).join(rows.select(*TRIPLE).distinct(), TRIPLE, "left_semi").distinct().checkpoint()
-
-    racing = rows.join(known_h, "h", "left_anti").join(known_t, TRIPLE, "left_anti").checkpoint()
-    accepted = rows.limit(0)
-    while not racing.isEmpty():
-        first_h = racing.groupBy("h").agg(F.min("o").alias("o"))
-        first_t = racing.groupBy(*TRIPLE).agg(F.min("o").alias("o"))
-        won = racing.join(first_h, ["h", "o"], "left_semi").join(first_t, [*TRIPLE, "o"], "left_semi").checkpoint()
-        accepted = accepted.unionByName(won)
-        racing = racing.join(won.select("h"), "h", "left_anti").join(won.select(*TRIPLE), TRIPLE, "left_anti").checkpoint()
-
+    spark = batch.sparkSession
+    below = work_dir(spark, "status")
+    judged = batch.withColumn("motivo", reject_reason())
+    triple = F.md5(F.concat_ws("\x1f", *_triple()))
+    rows = written(
+        judged.filter("motivo is null").select(F.col(order).alias("o"), F.col("hash_contenido").alias("h"), triple.alias("t")), "rows", below
+    )
+    hashes = (table if by_hash is None else by_hash).select(F.col("hash_contenido").alias("h"))
+    known_h = written(hashes.join(rows.select("h").distinct(), "h", "left_semi").distinct(), "known", below)
+    known_t = written(table.select(triple.alias("t")).join(rows.select("t").distinct(), "t", "left_semi").distinct(), "known", below)
+    racing = rows.join(known_h, "h", "left_anti").join(known_t, "t", "left_anti")
+    accepted = _accepted(racing, below)
     owner = accepted.select("h", F.col("o").alias("first")).unionByName(
         known_h.select("h", F.lit(None).cast(rows.schema["o"].dataType).alias("first"))
     )
     earlier = F.col("owned") & (F.col("first").isNull() | (F.col("first") < F.col("o")))
-    settled = rows.join(owner.withColumn("owned", F.lit(True)), "h", "left").select(
-        F.col("o").alias(order),
-        F.when(F.col("first") == F.col("o"), INSERTED).when(earlier, DUPLICATE).otherwise(ERROR).alias("estatus"),
+    settled = written(
+        rows.join(owner.withColumn("owned", F.lit(True)), "h", "left").select(
+            F.col("o").alias(order),
+            F.when(F.col("first") == F.col("o"), INSERTED).when(earlier, DUPLICATE).otherwise(ERROR).alias("estatus"),
+        ),
+        "settled",
     )
-    return batch.join(settled, order, "left").withColumn("estatus", F.coalesce("estatus", F.lit(REJECTED)))
+    drop_dir(spark, below)
+    return judged.join(settled, order, "left").withColumn("estatus", F.coalesce("estatus", F.lit(REJECTED)))
 
 
 def run_metrics(status: DataFrame) -> DataFrame:
@@ -75,34 +142,56 @@ def run_metrics(status: DataFrame) -> DataFrame:
 
 def create_table(spark: SparkSession, path: str) -> None:
     """An empty tender table."""
-    spark.createDataFrame([], TENDER).write.mode("overwrite").partitionBy("fuente").parquet(path)
+    empty = spark.createDataFrame([], TENDER).withColumn(BUCKET, bucket())
+    empty.write.mode("overwrite").partitionBy("fuente", BUCKET).parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The table with its bucket column."""
+    return spark.read.schema(T.StructType([*TENDER.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TENDER).parquet(path).select(*COLUMNS)
+    return stored(spark, path).select(*COLUMNS)
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows dealt by partition of the table, small ones together and large ones split, so that few files arise."""
+    return conform(rows).withColumn(BUCKET, bucket()).hint("rebalance", "fuente", BUCKET)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
-    conform(rows).write.mode("append").partitionBy("fuente").parquet(path)
+    _by_bucket(rows).write.mode("append").partitionBy("fuente", BUCKET).parquet(path)
 
 
 def stage(rows: DataFrame, order_by: list[str]) -> DataFrame:
     """A batch written once to the shared folder with a unique `_ord`. The write needs the batch several times; staged,
     the files are parsed once and the order cannot change between uses or after a lost executor."""
-    spark = rows.sparkSession
-    path = work_dir(spark, "batch")
     order = F.struct(*order_by, F.monotonically_increasing_id().alias("_n")).alias("_ord")
-    rows.select("*", order).write.parquet(path)
-    return spark.read.parquet(path)
+    return written(rows.select("*", order), "batch")
+
+
+def touched(batch: DataFrame) -> Column:
+    """Condition on the stored table: its source and bucket are among the batch's. Prunes partitions; at most one term
+    per source."""
+    pairs: dict[str, list[int]] = {}
+    for source, number in batch.filter("fuente is not null").select("fuente", bucket().alias("n")).distinct().collect():
+        pairs.setdefault(source, []).append(number)
+    terms = [(F.col("fuente") == s) & F.col(BUCKET).isin(sorted(n)) for s, n in sorted(pairs.items())]
+    return reduce(Column.__or__, terms, F.lit(False))
 
 
 def insert_if_absent(batch: DataFrame, path: str, order: str = "_ord") -> DataFrame:
     """Appends the new rows of a batch to the table and returns every row with its `estatus`. A second run of the
-    same batch inserts nothing, so a repeated streaming batch is harmless."""
+    same batch inserts nothing, so a repeated streaming batch is harmless.
+
+    Hashes are looked up in the batch's buckets of all sources, triples in the batch's sources."""
     spark = batch.sparkSession
-    staged = work_dir(spark, "insert")
-    insert_status(batch, read_table(spark, path), order).write.parquet(staged)
-    status = spark.read.parquet(staged)
+    table = stored(spark, path)
+    keys = batch.agg(F.collect_set("fuente"), F.collect_set(bucket())).first()
+    status = written(
+        insert_status(batch, table.filter(F.col("fuente").isin(keys[0])), order, table.filter(F.col(BUCKET).isin(keys[1]))), "insert"
+    )
     append_rows(status.filter(F.col("estatus") == INSERTED), path)
     return status
 
@@ -111,8 +200,14 @@ def upsert(table: DataFrame, batch: DataFrame, order: str = "_ord") -> DataFrame
     """Table after an upsert by hash, plus `operacion` (insertada, actualizada or null for untouched rows).
 
     A new hash takes all columns from its first row; the refreshed columns come from the last row of the batch,
-    as they do for a known hash. Copies of a hash are folded per task before the shuffle.
+    as they do for a known hash. Copies of a hash are folded per task before the shuffle. Rows of the batch without hash
+    are not applied, rows of the table without hash stay as they are.
     """
+    batch = batch.filter("hash_contenido is not null")
+    keyless = table.filter("hash_contenido is null").select(
+        *COLUMNS, F.lit(None).cast("string").alias("operacion"), F.lit(0).cast("long").alias("actualizaciones")
+    )
+    table = table.filter("hash_contenido is not null")
     kept = [c for c in COLUMNS if c not in REFRESHED and c != "hash_contenido"]
     folded = batch.groupBy("hash_contenido").agg(
         F.min_by(F.struct(*kept), order).alias("first"),
@@ -133,7 +228,7 @@ def upsert(table: DataFrame, batch: DataFrame, order: str = "_ord") -> DataFrame
     repeats = F.coalesce("n", F.lit(0)) - F.when(F.col("old").isNull(), 1).otherwise(0)
     return both.select(
         *[value(c) for c in COLUMNS], operation.alias("operacion"), repeats.cast("long").alias("actualizaciones")
-    )
+    ).unionByName(keyless)
 
 
 def upsert_counts(result: DataFrame) -> DataFrame:
@@ -145,20 +240,39 @@ def upsert_counts(result: DataFrame) -> DataFrame:
 
 
 def upsert_table(batch: DataFrame, path: str, order: str = "_ord") -> DataFrame:
-    """Upsert into the stored table. Only the sources the batch names are rewritten; the new content is staged in the
-    shared folder first, so no plan reads and overwrites the same files."""
+    """Upsert into the stored table. Only the buckets the batch's keys fall into are read and rewritten; the new content
+    is staged in the shared folder first, so no plan reads and overwrites the same files."""
     spark = batch.sparkSession
-    staged = work_dir(spark, "upsert")
-    table = read_table(spark, path).join(batch.select("fuente").distinct(), "fuente", "left_semi")
-    upsert(table, batch, order).write.parquet(staged)
-    result = spark.read.parquet(staged)
-    replace_sources(result, path)
+    batch = batch.filter("hash_contenido is not null")
+    table = stored(spark, path).filter(touched(batch)).select(*COLUMNS)
+    result = written(upsert(table, batch, order), "upsert")
+    replace_buckets(result, path)
     return result
 
 
+def replace_buckets(rows: DataFrame, path: str) -> None:
+    """Overwrites the buckets present in `rows`, leaving the others."""
+    _by_bucket(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fuente", BUCKET).parquet(path)
+
+
 def replace_sources(rows: DataFrame, path: str) -> None:
-    """Overwrites the partitions of the sources present in `rows`, leaving the others."""
-    conform(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fuente").parquet(path)
+    """Overwrites the sources present in `rows`, leaving the others. Buckets that a source no longer has go."""
+    spark = rows.sparkSession
+    replace_buckets(rows, path)
+    kept: dict[str, set[str]] = {}
+    for source, number in conform(rows).select("fuente", bucket().alias("n")).distinct().collect():
+        kept.setdefault(source, set()).add(f"{BUCKET}={number}")
+    for source, names in kept.items():
+        files, folder = hadoop_path(spark, f"{path}/fuente={source}")
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith(f"{BUCKET}=") and name not in names:
+                files.delete(status.getPath(), True)
+
+
+def compact(spark: SparkSession, path: str, source: str) -> None:
+    """Rewrites a source's buckets, each into as few files as its size asks for."""
+    replace_buckets(written(read_table(spark, path).filter(F.col("fuente") == source), "compact"), path)
 
 
 def fill_missing(table: DataFrame, parsed: DataFrame, key: str = "id") -> DataFrame:
@@ -191,9 +305,7 @@ def delete_rows(table: DataFrame, predicate: Column) -> DataFrame:
 
 def delete_source(spark: SparkSession, path: str, source: str) -> None:
     """Removes all rows of one source by dropping its partition folder."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/fuente={source}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_dir(spark, f"{path}/fuente={source}")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str = "licitaciones", **options: str) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import first_filled
-from ..schema import GAZETTE, OCDS, PORTAL, SITES
+from ..schema import GAZETTE, OCDS, PORTAL, SITES, SOURCES
 from . import measures as m
 
 # How often each source is due.
@@ -31,21 +31,29 @@ def last_cursor(df: DataFrame) -> DataFrame:
     )
 
 
+def with_all_sources(df: DataFrame) -> DataFrame:
+    """(fuente, fecha_captura, _filas) of all rows, and a row that counts for nothing for each known source, so that a
+    source which never ran is reported too."""
+    known = df.sparkSession.createDataFrame([(s,) for s in SOURCES], "fuente string")
+    rows = df.select("fuente", "fecha_captura", F.lit(1).alias("_filas"))
+    return rows.unionByName(known.select("fuente", F.lit(None).cast(rows.schema["fecha_captura"].dataType).alias("fecha_captura"), F.lit(0).alias("_filas")))
+
+
 def processed_on(df: DataFrame, day: str) -> DataFrame:
-    return df.groupBy("fuente").agg(
+    return with_all_sources(df).groupBy("fuente").agg(
         F.coalesce(F.bool_or(F.to_date("fecha_captura") == F.lit(day).cast("date")), F.lit(False)).alias("procesado_hoy")
     )
 
 
 def last_processing(df: DataFrame) -> DataFrame:
-    return df.groupBy("fuente").agg(F.max("fecha_captura").alias("ultimo_proceso"), m.rows())
+    return with_all_sources(df).groupBy("fuente").agg(F.max("fecha_captura").alias("ultimo_proceso"), F.sum("_filas").alias("cantidad"))
 
 
 def report(df: DataFrame, as_of: datetime | str) -> DataFrame:
     """Per source: last run, hours since, rows of the last 24 hours, due flag and the reason of a skip."""
     now = F.lit(as_of).cast("timestamp")
     captured = F.col("fecha_captura")
-    runs = df.groupBy("fuente").agg(
+    runs = with_all_sources(df).groupBy("fuente").agg(
         F.max("fecha_captura").alias("ultimo_proceso"),
         F.count_if(captured >= now - F.expr("INTERVAL 24 HOURS")).alias("registros_24h"),
         F.coalesce(F.bool_or(F.to_date(captured) == F.to_date(now)), F.lit(False)).alias("procesado_hoy"),

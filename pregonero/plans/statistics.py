@@ -54,18 +54,31 @@ def facets(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def general_report(df: DataFrame) -> DataFrame:
-    """The whole statistics page from one scan: total, completeness, counts by source, status, state, contract type
-    and the buyer counts its top entry is taken from."""
-    columns = ["fuente", "estado", "entidad_federativa", "tipo_contratacion", "entidad_compradora"]
+    """The whole statistics page as (faceta, valor, cantidad, momento): total and completeness, counts by source, status,
+    state and contract type, the buyer with most tenders, and the last capture of each source.
+
+    One scan counts the combinations of the four low-cardinality columns; all but the buyer is added up from these.
+    """
+    columns = ["fuente", "estado", "entidad_federativa", "tipo_contratacion"]
+    combinations = df.groupBy(*columns).agg(
+        F.count(F.lit(1)).alias("total"), F.count("municipio").alias("con_municipio"),
+        F.count("datos_especificos").alias("con_datos_especificos"), F.max("fecha_captura").alias("ultima"),
+    )
+    counters = ["total", "con_municipio", "con_datos_especificos"]
+    none, text = F.lit(None), "string"
+    entries = F.array(
+        *[F.struct(F.lit(c).alias("faceta"), F.col(c).alias("valor"), F.col("total").alias("n"), none.cast("timestamp").alias("t")) for c in columns],
+        *[F.struct(F.lit(c).alias("faceta"), none.cast(text).alias("valor"), F.col(c).alias("n"), none.cast("timestamp").alias("t")) for c in counters],
+        F.struct(F.lit("ultima_actualizacion").alias("faceta"), F.col("fuente").alias("valor"), none.cast("long").alias("n"), F.col("ultima").alias("t")),
+    )
     counted = (
-        df.select(
-            *columns,
-            F.lit("total").alias("total"),
-            F.when(F.col("municipio").isNotNull(), "con_municipio").alias("con_municipio"),
-            F.when(F.col("datos_especificos").isNotNull(), "con_datos_especificos").alias("con_datos_especificos"),
-        )
+        combinations.select(F.inline(entries)).filter(F.col("valor").isNotNull() | F.col("faceta").isin(counters))
+        .groupBy("faceta", "valor").agg(F.sum("n").alias("cantidad"), F.max("t").alias("momento"))
+    )
+    buyer = top_counts(df, 1, "entidad_compradora").select(
+        F.lit("entidad_compradora").alias("faceta"), F.col("entidad_compradora").alias("valor"), "cantidad", none.cast("timestamp").alias("momento")
     )
-    return facets(counted, [*columns, "total", "con_municipio", "con_datos_especificos"])
+    return counted.unionByName(buyer)
 
 
 def state_facet(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ GAZETTE = "DOF"
 OCDS = "Tianguis Digital"
 OCDS_ZIP = "TIANGUIS_ZIP"
 SITES = "SITIOS_MASIVOS"
+SOURCES = [PORTAL, GAZETTE, OCDS, OCDS_ZIP, SITES]
 
 AMOUNT = T.DecimalType(15, 2)
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_folders: dict[str, str] = {}
 
 
 def build_session(name: str = "pregonero", **extra: str) -> SparkSession:
@@ -24,24 +24,59 @@ def build_session(name: str = "pregonero", **extra: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see. Only a local session may fall back to a temporary folder."""
+    """Folder all executors see: `spark.checkpoint.dir`, or a folder in the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pregonero-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pregonero-work").rstrip("/")
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def application_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/pregonero-{app}"
+    if _folders.get(app) != folder:
+        files, target = hadoop_path(spark, folder)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _folders[app] = folder
     return folder
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read."""
+    files, target = hadoop_path(spark, path)
+    files.delete(target, True)
+
+
+def written(df: DataFrame, label: str, below: str | None = None) -> DataFrame:
+    """Writes to the shared folder and reads back: cuts the lineage, survives lost executors, and fixes row numbers.
+
+    below: a folder of the caller's that it drops itself; otherwise the files stay until the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{below}/{label}-{uuid.uuid4().hex}" if below else work_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a table that `written` returned. It must not be read any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_dir(df.sparkSession, folder)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """DataFrame.checkpoint needs the directory set on the context once."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
+        context.setCheckpointDir(application_dir(spark))

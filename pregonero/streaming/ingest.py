@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.upsert import insert_if_absent, stage
+from ..session import drop_written
 
 Normaliser = Callable[[DataFrame], DataFrame]
 
@@ -40,7 +41,10 @@ def ingest(
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        insert_if_absent(stage(normalise(batch), order_by), table_path)
+        staged = stage(normalise(batch), order_by)
+        status = insert_if_absent(staged, table_path)
+        for done in (status, staged):  # a stream must not fill the shared folder
+            drop_written(done)
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": f"{every_seconds} seconds"} if every_seconds else {"availableNow": True}

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,8 @@ from pregonero.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-                    "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.maxMetadataStringLength": "5000"}
+                    "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.maxMetadataStringLength": "5000",
+                    "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"), "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tests-")}
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

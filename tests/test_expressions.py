@@ -115,7 +115,7 @@ def test_keys_and_links(values):
         "LA-009/2025", "123/2024", "ABC-1234", "No. 45.B", None]
     assert values(keys.longest_code, ["LA-1 y LPN-0099", "nada"]) == ["LPN-0099", None]
     site = values(keys.stable_site_number, ["obra", "obra", "otra"])
-    assert site[0] == site[1] != site[2] and site[0].startswith("SM-") and len(site[0]) == 8
+    assert site[0] == site[1] != site[2] and site[0].startswith("SM-") and len(site[0]) == 27
     got = values(
         lambda c: urls.gazette_url(c, F.lit('{"fecha_ejemplar":""}'), F.lit("2025-01-02").cast("date")),
         ["https://dof.gob.mx/x", "http://a/05082025-MAT.pdf", "http://a/99992025-VES", None],

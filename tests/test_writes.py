@@ -1,6 +1,7 @@
 """Insert, upsert and paging against a plain sequential model; streams against batches."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -17,10 +18,10 @@ def tenders(spark, rows):
 
 
 def sequential(rows, table=()):
-    """What row-by-row inserts with two unique keys give."""
+    """What row-by-row inserts with two unique keys give; rows without a key are rejected."""
     hashes, triples, out = {h for h, _ in table}, {t for _, t in table}, {}
     for o, h, n, a, f in sorted(rows):
-        if not n or not f:
+        if not n or not f or h is None:
             out[o] = "rechazado"
         elif h in hashes:
             out[o] = "duplicado"
@@ -46,10 +47,49 @@ def test_insert_status_equals_sequential_inserts(spark, seed):
     assert {r._ord: r.estatus for r in got.collect()} == want
 
 
-def test_chain_of_conflicts_takes_several_rounds(spark):
-    rows = [(i, f"h{(i + 1) // 2}", f"n{i // 2}", "a", "DOF") for i in range(20)]
-    got = upsert.insert_status(tenders(spark, rows), tenders(spark, []))
-    assert {r._ord: r.estatus for r in got.collect()} == sequential(rows)
+def test_long_chains_stars_and_missing_keys(spark):
+    rows = [(i, f"h{(i + 1) // 2}", f"n{i // 2}", "a", "DOF") for i in range(300)]
+    rows += [(1000 + i, f"s{i}", "star", "a", "DOF") for i in range(40)] + [(2000 + i, "star", f"t{i}", "a", "DOF") for i in range(40)]
+    rows += [(3000 + i, None, f"x{i}", "a", "DOF") for i in range(3)] + [(3010, "y", None, "a", "DOF"), (3011, "z", "1", "a", None)]
+    got = upsert.insert_status(tenders(spark, rows), tenders(spark, [])).collect()
+    assert {r._ord: r.estatus for r in got} == sequential(rows)
+    assert {r._ord: r.motivo for r in got if r.motivo} == {
+        3000: "sin hash_contenido", 3001: "sin hash_contenido", 3002: "sin hash_contenido", 3010: "sin numero_procedimiento", 3011: "sin fuente",
+    }
+
+
+def test_upsert_leaves_rows_without_key_alone(spark):
+    rows = conform(spark.createDataFrame([(None, "a"), (None, "b"), ("h", "c")], "hash_contenido string, titulo string"))
+    batch = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (3, "h", "z"), (4, "i", "w")], "_ord long, hash_contenido string, titulo string")
+    got = upsert.upsert(rows, conform(batch, keep=("_ord",)))
+    assert sorted((r.hash_contenido or "", r.titulo, r.operacion or "") for r in got.collect()) == [
+        ("", "a", ""), ("", "b", ""), ("h", "c", "actualizada"), ("i", "w", "insertada"),
+    ]
+
+
+def test_a_batch_reads_and_rewrites_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert.append_rows(tenders(spark, [(i, f"h{i}", str(i), "x", "DOF") for i in range(200)]), path)
+    batch = tenders(spark, [(1, "h7", "7", "x", "DOF")])
+    number = batch.select(upsert.bucket()).first()[0]
+    read = upsert.stored(spark, path).filter(upsert.touched(batch))
+    scanned = [r[0] for r in read.select(F.input_file_name()).distinct().collect()]
+    assert re.search(rf"PartitionFilters: \[[^\]]*{upsert.BUCKET}#", read._jdf.queryExecution().executedPlan().toString())
+    assert scanned and all(f"fuente=DOF/{upsert.BUCKET}={number}/" in f for f in scanned)
+    before = set(upsert.stored(spark, path).inputFiles())
+    upsert.upsert_table(batch, path)
+    after = set(upsert.stored(spark, path).inputFiles())
+    assert all(f"{upsert.BUCKET}={number}/" in f for f in before ^ after)
+    assert upsert.read_table(spark, path).count() == 200
+    upsert.compact(spark, path, "DOF")
+    assert upsert.read_table(spark, path).count() == 200
+
+
+def test_replaced_source_loses_its_old_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert.append_rows(tenders(spark, [(i, f"h{i}", str(i), "x", f) for i in range(60) for f in ("DOF", "ComprasMX")]), path)
+    upsert.replace_sources(tenders(spark, [(1, "h1", "1", "x", "DOF")]), path)
+    assert {r.fuente: r["count"] for r in upsert.read_table(spark, path).groupBy("fuente").count().collect()} == {"DOF": 1, "ComprasMX": 60}
 
 
 def test_insert_twice_adds_nothing(spark, tmp_path):

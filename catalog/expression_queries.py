@@ -8,7 +8,7 @@ from pregonero.functions import amounts, classify, dates, jsons, keys, text, url
 from pregonero.functions.jsons import field, member
 
 from .inputs import iso, table, view
-from .registry import plain, register
+from .registry import contract_kind, plain, register
 
 
 def on(name, source, build, sql, *views):
@@ -359,29 +359,14 @@ on(
     "blocks",
     lambda d: d.select("k", classify.contract_by_score(F.col("texto")).alias("texto"), classify.contract_by_score(F.col("objeto")).alias("objeto"),
                        classify.contract_by_score(F.coalesce("numero", F.lit("nada"))).alias("numero")),
-    """SELECT k, CASE k % 4 WHEN 0 THEN 'OBRA' WHEN 1 THEN 'SERVICIO' WHEN 2 THEN 'ADQUISICION' ELSE 'No especificado' END AS objeto,
-    CASE WHEN numero IS NULL THEN 'No especificado' ELSE 'OBRA' END AS numero, """
-    + "CASE WHEN greatest(o, s, a) = 0 THEN CASE WHEN contains(texto, 'LO-') OR contains(texto, 'LO ') THEN 'OBRA' WHEN contains(texto, 'LA-') OR contains(texto, 'LA ') THEN 'ADQUISICION' "
-    "WHEN contains(texto, 'LS-') OR contains(texto, 'LS ') THEN 'SERVICIO' ELSE 'No especificado' END WHEN o >= s AND o >= a THEN 'OBRA' WHEN s >= a THEN 'SERVICIO' ELSE 'ADQUISICION' END AS texto "
-    "FROM (SELECT *, "
-    + ", ".join(
-        "(" + " + ".join(f"CAST(contains(lower(texto), '{w}') AS INT)" for w in words) + f") AS {name}"
-        for name, words in zip("osa", classify.KEYWORD_LISTS.values())
-    )
-    + " FROM blocks) x",
+    f"""SELECT k, CASE k % 4 WHEN 0 THEN 'OBRA' WHEN 1 THEN 'SERVICIO' WHEN 2 THEN 'ADQUISICION' ELSE 'No especificado' END AS objeto,
+    CASE WHEN numero IS NULL THEN 'No especificado' ELSE 'OBRA' END AS numero, {contract_kind('texto')} AS texto FROM blocks""",
 )
 on_table(
     "c7_contract_by_score_of_documents",
     "documents",
     lambda d: d.select(classify.contract_by_score(F.col("text")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE WHEN greatest(o, s, a) = 0 THEN CASE WHEN contains(text, 'LO-') OR contains(text, 'LO ') THEN 'OBRA' WHEN contains(text, 'LA-') OR contains(text, 'LA ') THEN 'ADQUISICION' "
-    "WHEN contains(text, 'LS-') OR contains(text, 'LS ') THEN 'SERVICIO' ELSE 'No especificado' END WHEN o >= s AND o >= a THEN 'OBRA' WHEN s >= a THEN 'SERVICIO' ELSE 'ADQUISICION' END AS c, "
-    "COUNT(*) AS n FROM (SELECT text, "
-    + ", ".join(
-        "(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words) + f") AS {name}"
-        for name, words in zip("osa", classify.KEYWORD_LISTS.values())
-    )
-    + " FROM documents) x GROUP BY 1",
+    f"SELECT {contract_kind('text')} AS c, COUNT(*) AS n FROM documents GROUP BY 1",
 )
 on(
     "c8_invitation_detail",

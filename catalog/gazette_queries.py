@@ -16,7 +16,7 @@ from pregonero.sources import sinks
 from pregonero.streaming import calendar
 
 from .inputs import AS_OF, table, text_agg, view
-from .registry import plain, register
+from .registry import contract_kind, plain, register
 
 
 def as_of():
@@ -125,7 +125,8 @@ register(
 register(
     "g4_unique_blocks_of_documents",
     lambda spark, sf: gazette.unique_blocks(
-        table(spark, sf, "documents").select(F.col("source").alias("archivo"), F.col("doc_id").alias("pagina"), F.lit(0).alias("bloque"), F.col("text").alias("texto"))
+        table(spark, sf, "documents").select(F.col("source").alias("archivo"), F.col("doc_id").alias("pagina"), F.lit(0).alias("bloque"), F.col("text").alias("texto")),
+        opening=100,
     ).select("archivo", F.col("pagina").alias("doc_id")),
     "SELECT source AS archivo, MIN(doc_id) AS doc_id FROM documents GROUP BY source, substr(text, 1, 100)",
 )
@@ -263,7 +264,7 @@ register(
       CASE WHEN k % 6 = 5 THEN 'fecha_presentacion_apertura' END) AS faltan
     FROM (SELECT *, CAST(numero_licitacion IS NULL AS INT) + CAST(dep IS NULL AS INT) + CAST(k % 6 = 5 AS INT) AS m FROM (
       SELECT *, {NUMBER_2} AS numero_licitacion, {AGENCY_SQL_2} AS dep FROM blocks) x) y
-    WHERE k IN (SELECT MIN(k) FROM blocks GROUP BY archivo, substr(texto, 1, 100))""",
+    WHERE k IN (SELECT MIN(k) FROM blocks GROUP BY archivo, texto)""",
     "blocks",
 )
 
@@ -344,16 +345,18 @@ AGENCY_SQL = "COALESCE(dependencia, CASE WHEN segunda = 'INSTITUTO DE VIVIENDA'
 CHARACTER_SQL = "CASE WHEN k % 8 = 0 OR k % 5 = 1 THEN 'Nacional' ELSE 'Internacional' END"
 FACET_ROWS = f"""SELECT archivo, 'entidad' AS faceta, estado_nombre AS valor FROM blocks WHERE {GATE}
     UNION ALL SELECT archivo, 'caracter', {CHARACTER_SQL} FROM blocks WHERE {GATE}
-    UNION ALL SELECT archivo, 'dependencia', substr({AGENCY_SQL}, 1, 50) FROM blocks WHERE {GATE}"""
+    UNION ALL SELECT archivo, 'dependencia', substr({AGENCY_SQL}, 1, 50) FROM blocks WHERE {GATE}
+    UNION ALL SELECT archivo, 'tipo', {contract_kind('t')} FROM (SELECT *, CASE WHEN pagina_aprox = 10 AND substr(archivo, 4, 1) IN ('3','6','9')
+      AND k = MIN(k) OVER (PARTITION BY archivo, pagina_aprox) THEN 'CONVOCATORIAS PARA CONCURSOS DE OBRA' || texto ELSE texto END AS t FROM blocks) b WHERE {GATE}"""
 register(
     "a34_extraction_facets_by_file",
-    lambda spark, sf: quality.extraction_facets(notices(spark, sf)).filter("faceta <> 'tipo'"),
+    lambda spark, sf: quality.extraction_facets(notices(spark, sf)),
     f"SELECT archivo, faceta, valor, COUNT(*) AS cantidad FROM ({FACET_ROWS}) f WHERE valor IS NOT NULL GROUP BY 1, 2, 3",
     "blocks",
 )
 register(
     "a35_extraction_facets",
-    lambda spark, sf: quality.extraction_facets(notices(spark, sf), per_file=False).filter("faceta <> 'tipo'"),
+    lambda spark, sf: quality.extraction_facets(notices(spark, sf), per_file=False),
     f"""SELECT faceta, valor, COUNT(*) AS cantidad FROM ({FACET_ROWS} UNION ALL SELECT archivo, 'fecha_ejemplar',
     substr(archivo, 5, 4) || '-' || substr(archivo, 3, 2) || '-' || substr(archivo, 1, 2) FROM blocks WHERE {GATE}) f WHERE valor IS NOT NULL GROUP BY 1, 2""",
     "blocks",

@@ -6,6 +6,7 @@ import io
 import sys
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from pregonero.functions.jsons import field
 from pregonero.operators import backfill, gazette, joins
-from pregonero.schema import COLUMNS
+from pregonero.operators.backfill import finish
+from pregonero.schema import COLUMNS, conform
 from pregonero.session import work_dir
-from pregonero.sources import files, ocds, portal, sinks, sites
+from pregonero.sources import files, ocds, portal, rejects, sinks, sites
+from pregonero.sources.registry import SOURCES
 
 from .inputs import AS_OF, iso, table, text_agg, view
 from .registry import plain, register
@@ -395,7 +398,11 @@ register(
 register(
     "s14_harvest_of_stored_pages",
     lambda spark, sf: sites.harvest(table(spark, sf, "pages"), F.lit("web"), F.lit(""), keywords=["tion", "en", "ción"]).select("page_id", "title", "doc_url"),
-    None,
+    """SELECT DISTINCT page_id, label AS title, regexp_extract(url, '^https?://[^/]+') || href AS doc_url FROM (
+      SELECT page_id, url, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(a, '>([^<]*)$', 1)) AS label FROM (
+        SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*>[^<]*')) AS a FROM pages) x) y
+    WHERE contains(lower(label || ' ' || href), 'tion') OR contains(lower(label || ' ' || href), 'en') OR contains(lower(label || ' ' || href), 'ción')
+      OR regexp_matches(href, '(?i)\\.pdf($|\\?)')""",
 )
 register(
     "f17_w4_harvest_in_window",
@@ -411,7 +418,7 @@ register(
     "n6_item_mapping",
     lambda spark, sf: sites.map_items(harvested(spark, sf).withColumn("raw_text", F.concat(F.lit("Costo $"), F.col("page_id").cast("string"), F.lit(".50 mxn")))),
     r"""SELECT 'sitio' AS Organismo, 'estatal' AS localidad, title AS Proyecto, doc_url AS "Vínculo",
-    regexp_extract('Costo $' || CAST(page_id AS VARCHAR) || '.50 mxn', '(?i)(\$\s?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})?|\$\s?\d+(?:[.,]\d{2})?\s*(?:mxn)?)', 1) AS Monto
+    CASE WHEN page_id < 1000 THEN '$' || CAST(page_id AS VARCHAR) || '.50' ELSE '$' || substr(CAST(page_id AS VARCHAR), 1, 3) END AS Monto
     FROM (""" + LINKS_SQL + ") y",
     "link_pages",
 )
@@ -637,3 +644,97 @@ on(
     """SELECT CAST(json_object('id', id, 'titulo', titulo, 'fecha_publicacion', strftime(fecha_publicacion, '%Y-%m-%d'),
     'monto_estimado', CAST(monto_estimado AS DOUBLE), 'descripcion', descripcion) AS VARCHAR) AS json FROM tenders""",
 )
+
+# --- what can't be read -------------------------------------------------------------------------------------------
+
+CHUNK = "CAST(regexp_extract(file_name, '([0-9]+)', 1) AS INT)"
+BROKEN = f"""CASE {CHUNK} % 4 WHEN 1 THEN substr(text, 1, length(text) - 1) WHEN 2 THEN '{{"otro":[1]}}' ELSE text END"""
+BROKEN_SQL = "SELECT '{}' AS fuente, file_name AS archivo, CASE c % 4 WHEN 1 THEN 'no es JSON' ELSE 'sin lista de registros' END AS motivo, 1 AS n FROM ({}) x WHERE c % 4 IN (1, 2)"
+register(
+    "s1_portal_rejects",
+    lambda spark, sf: rejects.portal_rejects(view(spark, sf, "portal_files").select("file_name", F.expr(BROKEN).alias("text"))),
+    BROKEN_SQL.format("ComprasMX", f"SELECT file_name, {CHUNK} AS c FROM portal_files"),
+    "portal_files",
+)
+register(
+    "s8_gazette_rejects",
+    lambda spark, sf: rejects.gazette_rejects(gazette_documents(spark, sf).select("file_name", F.expr(BROKEN).alias("text"))),
+    BROKEN_SQL.format("DOF", "SELECT DISTINCT 'g' || CAST(k // 200 AS VARCHAR) || '_' || CAST(k % 2 AS VARCHAR) || '.json' AS file_name, k // 200 AS c FROM gazette_json"),
+    "gazette_json",
+)
+
+
+def _spoiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Archives by number: damaged, without JSON, with the JSON in a folder, with JSON that is no list, or whole."""
+    for batch in batches:
+        for name, text in zip(batch["file_name"], batch["text"]):
+            kind, buffer = int(name[3:-4]) % 5, io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("leeme.txt", "x")
+                if kind != 2:
+                    archive.writestr("datos/releases.json" if kind == 3 else "releases.json", "{}" if kind == 4 else text)
+            content = buffer.getvalue()
+            yield pd.DataFrame({"file_name": [name], "content": [content[: len(content) // 2] if kind == 1 else content]})
+
+
+def spoiled_zips(spark, sf):
+    return ocds.unpack(release_documents(spark, sf).mapInPandas(_spoiled, "file_name string, content binary"))
+
+
+register(
+    "s5_zip_rejects",
+    lambda spark, sf: (lambda u: rejects.zip_rejects(u, ocds.releases(u.filter("problema is null").select("file_name", "text"))))(spoiled_zips(spark, sf)),
+    """SELECT DISTINCT 'TIANGUIS_ZIP' AS fuente, 'doc' || CAST(k // 100 AS VARCHAR) || '.zip' AS archivo, CASE k // 100 % 5 WHEN 1 THEN 'archivo dañado: BadZipFile'
+    WHEN 2 THEN 'sin JSON' ELSE 'sin lista de registros' END AS motivo, 1 AS n FROM releases WHERE k // 100 % 5 IN (1, 2, 4)""",
+    "releases",
+)
+register(
+    "s5_zip_with_folders",
+    lambda spark, sf: ocds.releases(spoiled_zips(spark, sf).filter("problema is null").select("file_name", "text")).select(
+        "file_name", F.col("pos").cast("long").alias("pos"), field(F.col("rec"), "id").alias("id")
+    ),
+    """SELECT 'doc' || CAST(k // 100 AS VARCHAR) || '.zip' AS file_name, ROW_NUMBER() OVER (PARTITION BY k // 100 ORDER BY k) - 1 AS pos,
+    'R' || CAST(k AS VARCHAR) AS id FROM releases WHERE k // 100 % 5 IN (0, 3)""",
+    "releases",
+)
+register(
+    "s4_csv_rejects",
+    lambda spark, sf: rejects.csv_rejects(ocds_csv(spark, sf).withColumn("file_name", F.lit("a.csv"))),
+    "SELECT 'Tianguis Digital' AS fuente, 'a.csv' AS archivo, 'sin comprador' AS motivo, COUNT(*) AS n FROM ocds WHERE k % 5 = 2",
+    "ocds",
+)
+register(
+    "s6_line_rejects",
+    lambda spark, sf: rejects.line_rejects(view(spark, sf, "site_lines").select(F.lit("a.jsonl").alias("file_name"), F.col("line").alias("value"))),
+    "SELECT 'SITIOS_MASIVOS' AS fuente, 'a.jsonl' AS archivo, 'no es JSON' AS motivo, COUNT(*) AS n FROM site_lines WHERE k % 50 = 48",
+    "site_lines",
+)
+
+
+def source_rows(spark, sf):
+    """The rows of all sources as the registry unites them: normalised and completed."""
+    from .gazette_queries import pages
+
+    portal_recs = view(spark, sf, "portal").select(F.lit("a").alias("file_name"), F.col("k").alias("pos"), F.parse_json("rec").alias("rec"))
+    read = {
+        "comprasmx": portal_recs, "dof": gazette.file_records(gazette_documents(spark, sf)), "dof_texto": pages(spark, sf),
+        "tianguis": ocds_csv(spark, sf), "zip": zipped_releases(spark, sf),
+        "sitios-masivos": sites.parse_lines(view(spark, sf, "site_lines").select("line")),
+    }
+    parts = [conform(finish(SOURCES[name].normalise(rows, as_of_day()))).withColumn("origen", F.lit(name)) for name, rows in read.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+register(
+    "n_batch_of_all_sources",
+    lambda spark, sf: source_rows(spark, sf).groupBy("origen", "fuente").agg(
+        F.count(F.lit(1)).alias("n"), F.count("hash_contenido").alias("con_clave"), F.count_if(F.col("titulo") != "").alias("con_titulo")
+    ),
+    f"""SELECT 'comprasmx' AS origen, 'ComprasMX' AS fuente, COUNT(*) AS n, COUNT(*) AS con_clave, COUNT(*) AS con_titulo FROM portal
+    UNION ALL SELECT 'dof', 'DOF', COUNT(*), COUNT(*), COUNT(*) FROM gazette_json WHERE numero IS NOT NULL AND dependencia IS NOT NULL
+    UNION ALL SELECT 'dof_texto', 'DOF', COUNT(*), COUNT(*), COUNT(*) FROM blocks WHERE numero IS NOT NULL OR dependencia IS NOT NULL OR segunda = 'INSTITUTO DE VIVIENDA'
+    UNION ALL SELECT 'tianguis', 'Tianguis Digital', COUNT(*), COUNT(*), COUNT(*) FROM ocds WHERE k % 5 <> 2
+    UNION ALL SELECT 'zip', 'TIANGUIS_ZIP', COUNT(*), COUNT(*), COUNT(*) FROM releases
+    UNION ALL SELECT 'sitios-masivos', 'SITIOS_MASIVOS', COUNT(*), COUNT(*), COUNT(*) FROM site_lines WHERE {LINE_OK} AND k % 6 <> 5""",
+    "portal", "gazette_json", "blocks", "ocds", "releases", "site_lines",
+)

@@ -9,7 +9,7 @@ from pregonero.operators import backfill, gazette, joins, upsert
 from pregonero.plans import quality
 from pregonero.schema import TENDER, conform
 from pregonero.session import work_dir
-from pregonero.sources import portal
+from pregonero.sources import portal, rejects
 from pregonero.streaming import ingest
 
 from .inputs import table, view
@@ -371,7 +371,7 @@ def landing(spark, sf):
     return path
 
 
-def streamed(spark, sf, files_per_trigger=1000):
+def streamed(spark, sf, files_per_trigger=1000, every_seconds=None):
     out = work_dir(spark, "stream")
     upsert.create_table(spark, f"{out}/table")
     lines = ingest.landing_stream(spark, landing(spark, sf), "value string", "text", files_per_trigger)
@@ -380,16 +380,30 @@ def streamed(spark, sf, files_per_trigger=1000):
         recs = batch.select(F.lit("landing").alias("file_name"), F.lit(0).alias("pos"), F.try_parse_json("value").alias("rec"))
         return backfill.finish(portal.normalise(recs))
 
-    ingest.ingest(lines, normalise, f"{out}/table", f"{out}/checkpoint", ["numero_procedimiento"]).awaitTermination()
+    running = ingest.ingest(lines, normalise, f"{out}/table", f"{out}/checkpoint", ["numero_procedimiento"], every_seconds)
+    if every_seconds:  # goes on until it is stopped
+        running.processAllAvailable()
+        running.stop()
+    else:
+        running.awaitTermination()
     return upsert.read_table(spark, f"{out}/table")
 
 
-register(
-    "t1_incremental_ingest",
-    lambda spark, sf: streamed(spark, sf, 3).select("hash_contenido", "fuente"),
+INGESTED = (
     """SELECT DISTINCT CASE WHEN k % 4 = 0 THEN 'u-' || CAST(k % 3000 AS VARCHAR) ELSE sha256(CASE WHEN k % 10 = 0 THEN 'E-' ELSE 'LA-' END || CAST(k AS VARCHAR) || '_'
-    || CASE WHEN k % 5 = 0 THEN nation ELSE region END || '_ComprasMX') END AS hash_contenido, 'ComprasMX' AS fuente FROM portal""",
-    "portal",
+    || CASE WHEN k % 5 = 0 THEN nation ELSE region END || '_ComprasMX') END AS hash_contenido, 'ComprasMX' AS fuente FROM portal"""
+)
+register("t1_incremental_ingest", lambda spark, sf: streamed(spark, sf, 3).select("hash_contenido", "fuente"), INGESTED, "portal")
+register("t2_ingest_every_second", lambda spark, sf: streamed(spark, sf, 4, every_seconds=1).select("hash_contenido", "fuente"), INGESTED, "portal")
+register(
+    "a39_run_metrics_with_rejects",
+    lambda spark, sf: upsert.run_metrics(insert(spark, sf), rejects.line_rejects(
+        view(spark, sf, "site_lines").select(F.lit("a.jsonl").alias("file_name"), F.col("line").alias("value")))),
+    f"""SELECT f AS fuente, COUNT(*) AS extraidos, COUNT(*) FILTER (WHERE estatus = 'insertado') AS insertados, COUNT(*) FILTER (WHERE estatus = 'duplicado') AS duplicados,
+    COUNT(*) FILTER (WHERE estatus = 'error') AS errores, COUNT(*) FILTER (WHERE estatus = 'rechazado') AS rechazados
+    FROM (SELECT estatus, unnest(['DOF', 'TOTAL']) AS f FROM ({STATUS_SQL}) s
+    UNION ALL SELECT 'rechazado', unnest(['SITIOS_MASIVOS', 'TOTAL']) FROM site_lines WHERE k % 50 = 48) z GROUP BY 1""",
+    "tenders", "site_lines",
 )
 on_tenders(
     "t4_history_from_date",
@@ -454,12 +468,3 @@ register(
     FROM portal GROUP BY 2""",
     "portal",
 )
-
-
-def all_sources(spark, sf):
-    """Landing folders of the sources that have files of lines or pages, read and united by the source registry."""
-    paths = {name: work_dir(spark, name) for name in ("sitios-masivos", "dof_texto", "comprasmx")}
-    view(spark, sf, "site_lines").select(F.col("line").alias("value")).write.text(paths["sitios-masivos"])
-    sinks.write_marked_text(view(spark, sf, "gazette_pages"), paths["dof_texto"])
-    view(spark, sf, "portal_files").select(F.col("text").alias("value")).write.text(paths["comprasmx"])
-    return paths

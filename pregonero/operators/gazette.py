@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import classify, dates
 from ..functions.jsons import KEEP_NULLS, build, field, merge
@@ -18,7 +18,6 @@ from ..functions.text import (
     strip, title_case, truncate,
 )
 from ..schema import GAZETTE, conform
-from ..session import ensure_checkpoint_dir
 from ..sources.files import edition_columns
 from . import gazette_patterns as P
 from .filters import filter_computed
@@ -43,19 +42,22 @@ def read_pages(spark: SparkSession, path: str, as_of: Column, glob: str = "*") -
         spark.read.option("lineSep", P.PAGE_SEPARATOR)
         .option("pathGlobFilter", glob)
         .text(path)
-        .select(F.regexp_replace(name, r"\.txt$", "").alias("archivo"), F.col("value").alias("texto"))
+        .select(
+            F.regexp_replace(name, r"\.txt$", "").alias("archivo"), F.col("value").alias("texto"), F.col("_metadata.file_size").alias("bytes")
+        )
     )
     headed = F.col("texto").rlike(P.PAGE_HEAD)
-    pages = records.filter(headed).select(
-        "archivo",
-        F.regexp_extract("texto", P.PAGE_HEAD, 1).cast("int").alias("pagina"),
-        strip(F.regexp_replace("texto", P.PAGE_HEAD, "")).alias("contenido"),
-    )
-    marked = pages.select("archivo").distinct()
-    unmarked = records.filter(~headed).join(marked, "archivo", "left_anti").select(
-        "archivo", F.lit(1).alias("pagina"), F.col("texto").alias("contenido")
+    # the one record of a file without marks is as long as the file
+    whole = F.octet_length("texto") == F.col("bytes")
+    return (
+        records.filter(headed | whole)
+        .select(
+            "archivo",
+            F.when(headed, F.regexp_extract("texto", P.PAGE_HEAD, 1).cast("int")).otherwise(1).alias("pagina"),
+            F.when(headed, strip(F.regexp_replace("texto", P.PAGE_HEAD, ""))).otherwise(F.col("texto")).alias("contenido"),
+        )
+        .withColumns(edition_columns(F.col("archivo"), as_of))
     )
-    return pages.unionByName(unmarked).withColumns(edition_columns(F.col("archivo"), as_of))
 
 
 def split_pages(texts: DataFrame, text: str = "texto") -> DataFrame:
@@ -78,13 +80,11 @@ def call_range(pages: DataFrame, loose: bool = False) -> DataFrame:
     """archivo, inicio, fin: the pages of the calls section.
 
     From the index on the first pages; else from the section heads in the body; else the whole edition. Page text is
-    reduced to four small columns before anything is grouped.
+    reduced to small columns before anything is grouped, and these are shuffled once, by edition.
     """
     calls, notices = (P.LOOSE_INDEX_CALLS, P.LOOSE_INDEX_NOTICES) if loose else (P.INDEX_CALLS, P.INDEX_NOTICES)
     text = F.col("contenido")
     early = F.col("pagina") <= P.INDEX_PAGES
-    # Two aggregations need the marks; written once as narrow rows, no text is read or searched a second time.
-    ensure_checkpoint_dir(pages.sparkSession)
     marks = pages.select(
         "archivo",
         "pagina",
@@ -92,22 +92,15 @@ def call_range(pages: DataFrame, loose: bool = False) -> DataFrame:
         F.when(early, grab(text, notices).try_cast("int")).alias("avisos"),
         text.rlike(P.BODY_CALLS).alias("cuerpo"),
         text.rlike(P.BODY_NOTICES).alias("cierre"),
-    ).checkpoint()
+    ).withColumn("desde_cuerpo", F.min(F.when(F.col("cuerpo"), F.col("pagina"))).over(W.partitionBy("archivo")))
     per_file = marks.groupBy("archivo").agg(
         F.min(F.when(F.col("desde").isNotNull(), F.struct("pagina", "desde", "avisos"))).alias("indice"),
         F.max("pagina").alias("ultima"),
-        F.min(F.when(F.col("cuerpo"), F.col("pagina"))).alias("cuerpo"),
-    )
-    closing = (
-        marks.filter("cierre")
-        .select("archivo", "pagina")
-        .join(per_file.select("archivo", F.col("cuerpo").alias("desde_cuerpo")), "archivo")
-        .filter(F.col("pagina") > F.col("desde_cuerpo"))
-        .groupBy("archivo")
-        .agg(F.min("pagina").alias("cierre"))
+        F.min("desde_cuerpo").alias("cuerpo"),
+        F.min(F.when(F.col("cierre") & (F.col("pagina") > F.col("desde_cuerpo")), F.col("pagina"))).alias("cierre"),
     )
     found = F.col("indice").isNotNull()
-    return per_file.join(closing, "archivo", "left").select(
+    return per_file.select(
         "archivo",
         F.when(found, F.col("indice.desde")).otherwise(F.coalesce("cuerpo", F.lit(1))).alias("inicio"),
         F.when(found, F.coalesce(F.col("indice.avisos") - 1, "ultima"))
@@ -160,11 +153,11 @@ def split_blocks_v2(pages: DataFrame, minimum: int = MIN_BLOCK) -> DataFrame:
     return _explode_blocks(pages, blocks, references, minimum)
 
 
-def unique_blocks(blocks: DataFrame) -> DataFrame:
-    """Per edition the first block of each 100-character opening."""
-    return first_per_key(
-        blocks.withColumn("_inicio", F.substring("texto", 1, 100)), ["archivo", "_inicio"], ["pagina", "bloque"]
-    ).drop("_inicio")
+def unique_blocks(blocks: DataFrame, opening: int | None = None) -> DataFrame:
+    """Per edition the first of equal blocks; with `opening`, the first of blocks that begin with the same so many
+    characters."""
+    key = F.sha2("texto", 256) if opening is None else F.substring("texto", 1, opening)
+    return first_per_key(blocks.withColumn("_clave", key), ["archivo", "_clave"], ["pagina", "bloque"]).drop("_clave")
 
 
 # --- notices, first structurer ---------------------------------------------------------------------------------
@@ -460,11 +453,25 @@ def extract_notices_v2(blocks: DataFrame) -> DataFrame:
 # --- older notices ---------------------------------------------------------------------------------------------
 
 def old_notices(texts: DataFrame, text: str = "texto") -> DataFrame:
-    """Notices found only by their head words, for each of the three kinds."""
-    def of_kind(kind: str, pattern: str) -> Column:
-        return F.transform(matches_all(F.col(text), pattern), lambda m: F.struct(F.lit(kind).alias("tipo"), m.alias("m")))
+    """Notices found only by their head words, for each of the three kinds. The text is cut at the head words; a piece
+    that lacks the word its kind needs runs on into the next, and is no notice if none is left."""
+    def of_kind(kind: str, head: str, needed: str) -> Column:
+        pieces = F.filter(F.split(F.col(text), f"(?iu)(?={head})"), lambda p: p.rlike(f"(?iu)^{head}"))
+        if needed:
+            start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+            def add(state: Column, piece: Column) -> Column:
+                grown = F.concat(state["open"], piece)
+                whole = grown.rlike(f"(?iu){needed}")
+                return F.struct(
+                    F.when(whole, F.array_append(state["done"], grown)).otherwise(state["done"]).alias("done"),
+                    F.when(whole, "").otherwise(grown).alias("open"),
+                )
+
+            pieces = F.aggregate(pieces, start, add, lambda state: state["done"])
+        return F.transform(pieces, lambda m: F.struct(F.lit(kind).alias("tipo"), m.alias("m")))
 
-    found = F.array(*[of_kind(kind, p) for kind, p in P.OLD_NOTICES.items()])
+    found = F.array(*[of_kind(kind, *words) for kind, words in P.OLD_KINDS.items()])
     keep = [c for c in texts.columns if c != text]
     body = F.col("h.m")
     lines = F.transform(F.slice(F.split(body, "\n", 6), 1, 5), strip)

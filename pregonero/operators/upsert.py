@@ -123,17 +123,23 @@ def insert_status(batch: DataFrame, table: DataFrame, order: str = "_ord", by_ha
     return judged.join(settled, order, "left").withColumn("estatus", F.coalesce("estatus", F.lit(REJECTED)))
 
 
-def run_metrics(status: DataFrame) -> DataFrame:
-    """Per source, and in a last row TOTAL: extracted, inserted, duplicate, error and rejected rows."""
+def run_metrics(status: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """Per source, and in a last row TOTAL: extracted, inserted, duplicate, error and rejected rows.
+
+    unreadable: what the sources could not read, (fuente, ..., n); counted as extracted and rejected.
+    """
 
     names = {INSERTED: "insertados", DUPLICATE: "duplicados", ERROR: "errores", REJECTED: "rechazados"}
     measures = [
-        F.count(F.lit(1)).alias("extraidos"),
-        *[F.count_if(F.col("estatus") == state).alias(name) for state, name in names.items()],
+        F.sum("n").alias("extraidos"),
+        *[F.sum(F.when(F.col("estatus") == state, F.col("n")).otherwise(0)).alias(name) for state, name in names.items()],
     ]
     source = F.coalesce("fuente", F.lit("SIN FUENTE"))
+    rows = status.select("fuente", "estatus", F.lit(1).cast("long").alias("n"))
+    if unreadable is not None:
+        rows = rows.unionByName(unreadable.select("fuente", F.lit(REJECTED).alias("estatus"), F.col("n").cast("long").alias("n")))
     return (
-        status.withColumn("fuente", source)
+        rows.withColumn("fuente", source)
         .rollup("fuente")
         .agg(*measures)
         .withColumn("fuente", F.coalesce("fuente", F.lit("TOTAL")))

@@ -74,9 +74,3 @@ def drop_written(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         drop_dir(df.sparkSession, folder)
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """DataFrame.checkpoint needs the directory set on the context once."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(application_dir(spark))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import sys
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,18 +100,31 @@ def read_zips(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _first_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per archive, passed on as soon as it is opened: the text of its first JSON member, or what is wrong."""
     for batch in batches:
-        texts = []
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                names = sorted(n for n in archive.namelist() if n.endswith(".json") and "/" not in n)
-                texts.append(archive.read(names[0]).decode("utf-8", errors="ignore") if names else None)
-        yield pd.DataFrame({"file_name": batch["file_name"], "text": texts})
+        for name, content in zip(batch["file_name"], batch["content"]):
+            text = problem = None
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    members = sorted((n for n in archive.namelist() if n.endswith(".json")), key=lambda n: (n.count("/"), n))
+                    if members:
+                        text = archive.read(members[0]).decode("utf-8", errors="ignore")
+                    else:
+                        problem = "sin JSON"
+            except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError) as error:
+                problem = f"archivo dañado: {type(error).__name__}"
+            yield pd.DataFrame({"file_name": [name], "text": [text], "problema": [problem]})
+
+
+def unpack(zips: DataFrame) -> DataFrame:
+    """The first JSON member of each archive (those at the top first) as text, or the problem. Spark has no zip codec, hence
+    the one Python step."""
+    return zips.select("file_name", "content").mapInPandas(_first_json, "file_name string, text string, problema string")
 
 
 def unzip(zips: DataFrame) -> DataFrame:
-    """The first JSON member of each archive as text. Spark has no zip codec, hence the one Python step."""
-    return zips.select("file_name", "content").mapInPandas(_first_json, "file_name string, text string")
+    """The texts of the readable archives."""
+    return unpack(zips).filter("problema is null").select("file_name", "text")
 
 
 def releases(texts: DataFrame) -> DataFrame:

@@ -58,13 +58,6 @@ def records(docs: DataFrame) -> DataFrame:
     )
 
 
-def unreadable(docs: DataFrame) -> DataFrame:
-    """Documents that are neither a JSON object nor a JSON list, for the reject folder."""
-    is_object = F.json_object_keys("text").isNotNull()
-    is_list = F.from_json("text", "array<string>").isNotNull()
-    return docs.filter(~(is_object | is_list)).select("file_name", "modified")
-
-
 def details(docs: DataFrame) -> DataFrame:
     """Detail files by case code; of several the newest file wins."""
     code = blank_to_null(F.get_json_object("text", "$.codigo_expediente"))
@@ -78,25 +71,16 @@ def details(docs: DataFrame) -> DataFrame:
     )
 
 
-def spread_nulls(key: Column, *parts: Column) -> Column:
-    """A join key whose nulls do not all land in one partition; the stand-in matches nothing."""
-    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*parts).cast("string")))
-
-
 def with_details(recs: DataFrame, detail: DataFrame) -> DataFrame:
     """Left look-up by case code, then by procedure number. The join strategy is left to the size seen at run time."""
     code = blank_to_null(field(F.col("rec"), "cod_expediente"))
     number = blank_to_null(field(F.col("rec"), "numero_procedimiento"))
-    at = (F.col("file_name"), F.col("pos"))
-    left = recs.withColumns({"_k1": spread_nulls(code, *at), "_k2": spread_nulls(number, *at)})
-    by_code = detail.select(F.col("codigo").alias("_k1"), F.col("detalle").alias("_d1"))
-    by_number = detail.select(F.col("codigo").alias("_k2"), F.col("detalle").alias("_d2"))
-    return (
-        left.join(by_code, "_k1", "left")
-        .join(by_number, "_k2", "left")
-        .withColumn("detalle", F.coalesce("_d1", "_d2"))
-        .drop("_k1", "_k2", "_d1", "_d2")
-    )
+    tried = F.array(F.struct(F.lit(0).alias("nth"), code.alias("codigo")), F.struct(F.lit(1).alias("nth"), number.alias("codigo")))
+    # which detail belongs to which record is settled on narrow rows; the record itself is shuffled once
+    wanted = recs.select("file_name", "pos", F.inline(tried)).filter("codigo is not null")
+    settled = wanted.join(detail.select("codigo"), "codigo", "left_semi").groupBy("file_name", "pos").agg(F.min_by("codigo", "nth").alias("codigo"))
+    found = settled.join(detail, "codigo").select(F.col("file_name").alias("_f"), F.col("pos").alias("_p"), "detalle")
+    return recs.join(found, F.col("file_name").eqNullSafe(F.col("_f")) & (F.col("pos") == F.col("_p")), "left").drop("_f", "_p")
 
 
 def longer_text(current: Column, candidate: Column) -> Column:

@@ -12,17 +12,19 @@ from ..operators import gazette
 from ..operators.backfill import finish
 from ..operators.upsert import stage
 from ..schema import conform
-from . import ocds, portal, sites
+from . import ocds, portal, rejects, sites
 from .files import documents, listing, prefer_improved
 
 Read = Callable[[SparkSession, str], DataFrame]
 Normalise = Callable[[DataFrame, Column], DataFrame]
+Rejects = Callable[[SparkSession, str], DataFrame]
 
 
 @dataclass(frozen=True)
 class Source:
     read: Read
     normalise: Normalise
+    rejects: Rejects | None = None
 
 
 def _read_portal(spark: SparkSession, path: str) -> DataFrame:
@@ -44,21 +46,42 @@ def _normalise_gazette_text(pages: DataFrame, as_of: Column) -> DataFrame:
     return gazette.to_canonical(gazette.extract_notices(gazette.split_blocks(pages)))
 
 
+def _zip_rejects(spark: SparkSession, path: str) -> DataFrame:
+    unpacked = ocds.unpack(ocds.read_zips(spark, path))
+    return rejects.zip_rejects(unpacked, ocds.releases(unpacked.filter("problema is null").select("file_name", "text")))
+
+
+def _csv_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return rejects.csv_rejects(ocds.read_csv(spark, path).select("*", F.col("_metadata.file_name").alias("file_name")))
+
+
 SOURCES: dict[str, Source] = {
-    "comprasmx": Source(_read_portal, lambda df, _: portal.normalise(df)),
-    "dof": Source(_read_gazette, gazette.normalise_file_records),
+    "comprasmx": Source(
+        _read_portal, lambda df, _: portal.normalise(df), lambda spark, path: rejects.portal_rejects(documents(spark, path))
+    ),
+    "dof": Source(
+        _read_gazette, gazette.normalise_file_records, lambda spark, path: rejects.gazette_rejects(documents(spark, path))
+    ),
     "dof_texto": Source(
         lambda spark, path: gazette.read_pages(spark, path, F.current_date(), "*.txt"), _normalise_gazette_text
     ),
-    "tianguis": Source(ocds.read_csv, ocds.normalise_csv),
+    "tianguis": Source(ocds.read_csv, ocds.normalise_csv, _csv_rejects),
     "zip": Source(
         lambda spark, path: ocds.releases(ocds.unzip(ocds.read_zips(spark, path))),
         lambda df, _: ocds.normalise_releases(df),
+        _zip_rejects,
+    ),
+    "sitios-masivos": Source(
+        sites.read_lines, sites.normalise, lambda spark, path: rejects.line_rejects(sites.raw_lines(spark, path))
     ),
-    "sitios-masivos": Source(sites.read_lines, sites.normalise),
 }
 
 
+def unreadable(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """What several sources could not read: fuente, archivo, motivo, n."""
+    return rejects.all_rejects(*[SOURCES[name].rejects(spark, path) for name, path in paths.items() if SOURCES[name].rejects])
+
+
 def ingest_batch(spark: SparkSession, paths: dict[str, str], as_of: Column) -> DataFrame:
     """Reads, normalises and completes several sources, unites them and stages the result with its order `_ord`:
     source by source, file by file, record by record."""

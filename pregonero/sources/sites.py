@@ -23,19 +23,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Words that make a link worth keeping, and date shapes near it.
 LINK_KEYWORDS = ["licit", "convoc", "obra", "adquis", "contrat", "bases", "acta", "obras públicas", "licitación"]
 PDF_LINK = r"(?i)\.pdf($|\?)"
+LINKS_AT_ONCE = 5000
 NEAR_NUMERIC_DATE = r"\b(\d{2}/\d{2}/\d{4})\b"
 NEAR_WORDED_DATE = r"\b(\d{1,2}\s+(?:ene|feb|mar|abr|may|jun|jul|ago|sep|oct|nov|dic)\s+\d{4})\b"
 
 
+def raw_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """(file_name, value): all lines. Files are split by line."""
+    return spark.read.option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_name").alias("file_name"), "value")
+
+
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """JSON lines as (file_name, rec variant). Files are split by line; blank and malformed lines are skipped."""
-    line = strip(F.col("value"))
-    return (
-        spark.read.option("pathGlobFilter", glob)
-        .text(path)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.try_parse_json(line).alias("rec"))
-        .filter("rec is not null")
-    )
+    """JSON lines as (file_name, rec variant); blank lines are skipped, malformed ones are `rejects.line_rejects`."""
+    rec = F.try_parse_json(strip(F.col("value")))
+    return raw_lines(spark, path, glob).select("file_name", rec.alias("rec")).filter("rec is not null")
 
 
 def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -133,20 +134,26 @@ def _near_date(element: dict, text_of) -> str | None:
 
 
 def _page_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links are passed on every so many rows, so a worker never holds those of a whole batch."""
+    columns = ["page_id", "url", "pos", "href", "doc_url", "label", "near"]
     for batch in batches:
         rows = []
         for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
             for pos, (href, label, near) in enumerate(_anchors(html or "")):
                 full = href if href.startswith("http") else urljoin(url, href)
                 rows.append((page_id, url, pos, href, full, label, near))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "pos", "href", "doc_url", "label", "near"])
+            if len(rows) >= LINKS_AT_ONCE:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> every link. Which element surrounds a link takes a scan of the open tags, which no
     column expression can do."""
     schema = "page_id long, url string, pos long, href string, doc_url string, label string, near string"
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(_page_links, schema)
+    linked = pages.filter(F.col("html").rlike(r"(?i)<a\s"))  # a page without a link needs no Python
+    return linked.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(_page_links, schema)
 
 
 def harvest(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pregonero.functions.jsons import field
 from pregonero.operators.upsert import create_table, insert_if_absent, read_table, run_metrics
-from pregonero.sources import files, ocds, portal, registry, sites
+from pregonero.sources import files, ocds, portal, registry, rejects, sites
 
 AS_OF = "2025-09-01"
 
@@ -44,7 +44,7 @@ def test_portal_envelopes(spark, tmp_path):
     assert sorted((r.file_name, r.pos, r.c) for r in got.collect()) == [
         ("a.json", 0, "1"), ("b.json", 0, "2"), ("b.json", 1, "3"), ("c.json", 0, "4"), ("d.json", 0, "5"), ("e.json", 0, "6"),
         ("f.json", 0, "7"), ("todos_expedientes_1.json", 0, "8")]
-    assert [r.file_name for r in portal.unreadable(docs).collect()] == ["roto.json"]
+    assert [r.archivo for r in rejects.portal_rejects(docs).collect()] == ["roto.json"]
 
 
 def test_portal_details_newest_wins_and_enrich(spark, tmp_path):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .store import columns_clear_of, stage
+from .store import broadcast_if_small, columns_clear_of, slices, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -145,7 +145,8 @@ def fit(learn: DataFrame, sample: int = SAMPLE, dim: int = DIM, clusters: int =
         known.select("lang", hashed).withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= sample)
         .groupBy("lang").agg(F.max("h").alias("limit"))
     )
-    near = known.select("lang", "text", hashed).join(limits, "lang").filter("h <= limit")
+    limits = stage(limits, "language-limits")
+    near = known.select("lang", "text", hashed).join(broadcast_if_small(limits), "lang").filter("h <= limit")
     picked = stage(near.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= sample).select("lang", "text"), "language-sample")
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
@@ -167,19 +168,21 @@ def fit(learn: DataFrame, sample: int = SAMPLE, dim: int = DIM, clusters: int =
     return Model([r[0] for r in found], centroids, np.array([r[2] for r in found]), idf)
 
 
-def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The columns of docs, then lang_pred, score and accepted."""
-    names = columns_clear_of(docs, "lang_pred", "score", "accepted")
+def identify(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (or those named in keep), then lang_pred, score and accepted."""
+    keep = docs.columns if keep is None else keep
+    names = columns_clear_of(docs.select(*[f"`{c}`" for c in keep]), "lang_pred", "score", "accepted")
     schema = T.StructType(
-        [*docs.schema.fields, T.StructField(names["lang_pred"], T.StringType()), T.StructField(names["score"], T.DoubleType()),
+        [*[docs.schema[c] for c in keep], T.StructField(names["lang_pred"], T.StringType()), T.StructField(names["score"], T.DoubleType()),
          T.StructField(names["accepted"], T.BooleanType())]
     )
     at, shared = docs.columns.index(text_column), docs.sparkSession.sparkContext.broadcast(model)
+    kept = [docs.columns.index(c) for c in keep]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = list(zip(*(shared.value.predict(t.as_py()) for t in batch.column(at)))) or [(), (), ()]
             new = [pa.array(c, k) for c, k in zip(found, (pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names.values()])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new], [*keep, *names.values()])
 
     return docs.mapInArrow(judge, schema)

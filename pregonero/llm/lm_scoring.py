@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .store import stage
+from .store import slices, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, row = shared.value, TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text in batch.column(at_text):
                 at, classes, missing = lookup.read(text.as_py())

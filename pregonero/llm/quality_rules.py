@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .store import columns_clear_of
+from .store import columns_clear_of, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -136,26 +136,33 @@ def judge_text(text: str | None, most_lost: float = MOST_LOST, long_line: int =
 
 
 def apply_rules(
-    docs: DataFrame, text_column: str = "text", most_lost: float = MOST_LOST, long_line: int = LONG_LINE
+    docs: DataFrame, text_column: str = "text", most_lost: float = MOST_LOST, long_line: int = LONG_LINE,
+    keep: list[str] | None = None, cleaned: bool = True,
 ) -> DataFrame:
-    """The columns of docs, then those of FIELDS; `cleaned` is the text without its failing lines."""
-    names = columns_clear_of(docs, *[n for n, _ in FIELDS])
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(names[n], t) for n, t in FIELDS]])
-    at = docs.columns.index(text_column)
+    """The columns of docs (or those named in keep), then those of FIELDS; `cleaned` is the text without its failing lines
+    (null if not asked for)."""
+    keep = docs.columns if keep is None else keep
+    names = columns_clear_of(docs.select(*[f"`{c}`" for c in keep]), *[n for n, _ in FIELDS])
+    schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(names[n], t) for n, t in FIELDS]])
+    at, kept = docs.columns.index(text_column), [docs.columns.index(c) for c in keep]
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 3 + [pa.string()] * 2
     labels = [names[n] for n, _ in FIELDS]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             results = [judge_text(t.as_py(), most_lost, long_line) for t in batch.column(at)]
-            columns = [pa.array(c, k) for c, k in zip(zip(*results), kinds)] if results else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *labels])
+            columns = list(zip(*results)) or [()] * len(kinds)
+            if not cleaned:
+                columns[-1] = [None] * len(results)
+            columns = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *columns], [*keep, *labels])
 
     return docs.mapInArrow(judge, schema)
 
 
 def clean(docs: DataFrame, text_column: str = "text", most_lost: float = MOST_LOST, long_line: int = LONG_LINE) -> DataFrame:
     """The kept documents, without their failing lines; the columns of docs."""
-    names = columns_clear_of(docs, *[n for n, _ in FIELDS])
-    judged = apply_rules(docs, text_column, most_lost, long_line).filter(F.col(names["kept"]))
+    others = [c for c in docs.columns if c != text_column]
+    names = columns_clear_of(docs.select(*[f"`{c}`" for c in others]), *[n for n, _ in FIELDS])
+    judged = apply_rules(docs, text_column, most_lost, long_line, others).filter(F.col(names["kept"]))
     return judged.select(*[F.col(names["cleaned"]).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])

@@ -30,9 +30,49 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+_PHRASES = ", ".join(f"'{p}'" for p in (
+    "enable javascript", "javascript is disabled", "cookie policy", "use cookies", "accept cookies", "privacy policy", "terms of use",
+    "terms of service", "all rights reserved", "skip to content", "read more", "sign in", "log in", "click here", "lorem ipsum",
+))
+
+
+@query(
+    f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, list_slice(w, i, i + 4) AS win FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d) x),
+rep AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM win) x WHERE c > 1) y GROUP BY r),
+l AS (
+  SELECT r, pos, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d) x),
+m AS (
+  SELECT r, pos, line, len(w) AS n, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS again,
+    len(regexp_extract_all(line, '[|»›·]')) AS seps, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+    list_sum(list_transform(w, lambda x: strlen(x))) AS bytes, len(regexp_extract_all(line, '\\p{{Lu}}')) AS capitals, len(regexp_extract_all(line, '\\p{{Ll}}')) AS smalls,
+    len(list_filter(w, lambda x: ends_with(x, '!'))) AS cries, list_max(map_values(list_histogram(w))) AS most,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutter
+  FROM l WHERE len(w) > 0),
+f AS (
+  SELECT *, CASE WHEN seps >= 3 AND 3 * seps >= n THEN 'navigation' WHEN symbols >= 3 AND 4 * symbols >= bytes THEN 'symbols'
+    WHEN n >= 3 AND 10 * capitals >= length(line) AND capitals + smalls >= 10 AND 10 * capitals >= 7 * (capitals + smalls) THEN 'shouting'
+    WHEN n >= 3 AND 2 * cries >= n THEN 'exclamation' WHEN n >= 5 AND (2 * most > n OR 3 * stutter >= n) THEN 'repeat'
+    WHEN len(list_filter([{_PHRASES}], lambda x: contains(lower(line), x))) > 0 THEN 'boilerplate'
+    WHEN n >= 40 AND NOT regexp_matches(line, '[.!?:;,”»]') THEN 'unpunctuated' END AS fault
+  FROM m),
+g AS (
+  SELECT r, count(*) FILTER (again) AS n_dup_lines, count(fault) AS n_failed_lines, coalesce(sum(n) FILTER (fault IS NOT NULL), 0) AS lost_words,
+    string_agg(DISTINCT fault, ',' ORDER BY fault) AS failed_rules FROM f GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (length(text) - len(regexp_extract_all(text, '[\\x20\\x09-\\x0D]')))::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+  len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed,
+  NOT (len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w)) AND coalesce(lost_words, 0) <= 0.3::DOUBLE * len(w) AS kept,
+  coalesce(n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(lost_words, 0)::BIGINT AS lost_words, coalesce(failed_rules, '') AS failed_rules
+FROM d LEFT JOIN rep USING (r) LEFT JOIN g USING (r)
+"""
+)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], cleaned=False)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_failed_lines", "lost_words", "failed_rules",
@@ -85,7 +125,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = language_id.fit(docs.filter(~held_out & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text", "lang"))
-    judged = language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    judged = language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
     return judged.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import work_dir
+from ..session import written as stage  # noqa: F401
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Java pattern of a word: everything but space and the five control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes to the shared folder and reads back: cuts the lineage, survives lost executors, fixes generated row numbers.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows, so that results for long texts leave the task bit by bit."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
 
-    The folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = work_dir(spark, label)
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A broadcast hint if the table (written, of short rows) has no more than so many rows; else it is left to a shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,14 +43,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_key(id_column: str, text_column: str) -> Column:
-    """Rows equal in id and text share this key: (id, 64-bit hash of the text, which tells null from empty)."""
-    return F.struct(
-        F.col(id_column).alias("id"),
-        F.when(F.col(text_column).isNotNull(), F.xxhash64(F.col(text_column))).alias("text_hash"),
-    )
-
-
 def columns_clear_of(df: DataFrame, *names: str) -> dict[str, str]:
     """For each name one that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -345,20 +345,20 @@ AGENCY_SQL = "COALESCE(dependencia, CASE WHEN segunda = 'INSTITUTO DE VIVIENDA'
 CHARACTER_SQL = "CASE WHEN k % 8 = 0 OR k % 5 = 1 THEN 'Nacional' ELSE 'Internacional' END"
 FACET_ROWS = f"""SELECT archivo, 'entidad' AS faceta, estado_nombre AS valor FROM blocks WHERE {GATE}
     UNION ALL SELECT archivo, 'caracter', {CHARACTER_SQL} FROM blocks WHERE {GATE}
-    UNION ALL SELECT archivo, 'dependencia', substr({AGENCY_SQL}, 1, 50) FROM blocks WHERE {GATE}
+    UNION ALL SELECT archivo, 'dependencia', {AGENCY_SQL} FROM blocks WHERE {GATE}
     UNION ALL SELECT archivo, 'tipo', {contract_kind('t')} FROM (SELECT *, CASE WHEN pagina_aprox = 10 AND substr(archivo, 4, 1) IN ('3','6','9')
       AND k = MIN(k) OVER (PARTITION BY archivo, pagina_aprox) THEN 'CONVOCATORIAS PARA CONCURSOS DE OBRA' || texto ELSE texto END AS t FROM blocks) b WHERE {GATE}"""
 register(
     "a34_extraction_facets_by_file",
     lambda spark, sf: quality.extraction_facets(notices(spark, sf)),
-    f"SELECT archivo, faceta, valor, COUNT(*) AS cantidad FROM ({FACET_ROWS}) f WHERE valor IS NOT NULL GROUP BY 1, 2, 3",
+    f"SELECT archivo, faceta, CASE WHEN faceta = 'dependencia' THEN substr(valor, 1, 50) ELSE valor END AS valor, COUNT(*) AS cantidad FROM ({FACET_ROWS}) f WHERE f.valor IS NOT NULL GROUP BY archivo, faceta, f.valor",
     "blocks",
 )
 register(
     "a35_extraction_facets",
     lambda spark, sf: quality.extraction_facets(notices(spark, sf), per_file=False),
-    f"""SELECT faceta, valor, COUNT(*) AS cantidad FROM ({FACET_ROWS} UNION ALL SELECT archivo, 'fecha_ejemplar',
-    substr(archivo, 5, 4) || '-' || substr(archivo, 3, 2) || '-' || substr(archivo, 1, 2) FROM blocks WHERE {GATE}) f WHERE valor IS NOT NULL GROUP BY 1, 2""",
+    f"""SELECT faceta, CASE WHEN faceta = 'dependencia' THEN substr(valor, 1, 50) ELSE valor END AS valor, COUNT(*) AS cantidad FROM ({FACET_ROWS} UNION ALL SELECT archivo, 'fecha_ejemplar',
+    substr(archivo, 5, 4) || '-' || substr(archivo, 3, 2) || '-' || substr(archivo, 1, 2) FROM blocks WHERE {GATE}) f WHERE f.valor IS NOT NULL GROUP BY faceta, f.valor""",
     "blocks",
 )
 

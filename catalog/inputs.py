@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pregonero.session import work_dir
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -423,8 +425,23 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+_prepared: dict[tuple[str, str], str] = {}
+
+
+def prepare(spark: SparkSession, sf_dir: str, name: str) -> None:
+    """Writes a derived input once; from then on `view` reads it instead of composing it."""
+    if (sf_dir, name) not in _prepared:
+        path = work_dir(spark, name)
+        view(spark, sf_dir, name).write.parquet(path)
+        _prepared[sf_dir, name] = path
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame."""
+    if (sf_dir, name) in _prepared:
+        df = spark.read.parquet(_prepared[sf_dir, name])
+        df.createOrReplaceTempView(name)
+        return df
     for base in ("customer", "nation", "region"):
         table(spark, sf_dir, base).createOrReplaceTempView(base)
     orders = table(spark, sf_dir, "orders")

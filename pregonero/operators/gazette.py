@@ -24,6 +24,7 @@ from .filters import filter_computed
 from .windows import first_per_key
 
 MIN_BLOCK = 100
+TITLE_LENGTH, BODY_LENGTH = 500, 1000  # of stored texts
 
 
 # --- pages -----------------------------------------------------------------------------------------------------
@@ -76,7 +77,7 @@ def split_pages(texts: DataFrame, text: str = "texto") -> DataFrame:
     )
 
 
-def call_range(pages: DataFrame, loose: bool = False) -> DataFrame:
+def call_range(pages: DataFrame, loose: bool = False, index_pages: int = P.INDEX_PAGES) -> DataFrame:
     """archivo, inicio, fin: the pages of the calls section.
 
     From the index on the first pages; else from the section heads in the body; else the whole edition. Page text is
@@ -84,7 +85,7 @@ def call_range(pages: DataFrame, loose: bool = False) -> DataFrame:
     """
     calls, notices = (P.LOOSE_INDEX_CALLS, P.LOOSE_INDEX_NOTICES) if loose else (P.INDEX_CALLS, P.INDEX_NOTICES)
     text = F.col("contenido")
-    early = F.col("pagina") <= P.INDEX_PAGES
+    early = F.col("pagina") <= index_pages
     marks = pages.select(
         "archivo",
         "pagina",
@@ -167,9 +168,9 @@ def number_of(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(grab(text, P.NUMBER)), r"(?U)\s+", ""), r"-+", "-")
 
 
-def with_agency(df: DataFrame) -> DataFrame:
-    """dependencia and subdependencia from the first 15 lines."""
-    lines = F.transform(F.slice(F.split("texto", "\n", 16), 1, 15), strip)
+def with_agency(df: DataFrame, head_lines: int = 15) -> DataFrame:
+    """dependencia and subdependencia from the first lines."""
+    lines = F.transform(F.slice(F.split("texto", "\n", head_lines + 1), 1, head_lines), strip)
     pairs = F.transform(
         F.col("_lineas"), lambda x, i: F.struct(x.alias("linea"), F.get(F.col("_lineas"), i + 1).alias("siguiente"))
     )
@@ -184,7 +185,7 @@ def with_agency(df: DataFrame) -> DataFrame:
     )
 
 
-def with_object(df: DataFrame) -> DataFrame:
+def with_object(df: DataFrame, title_length: int = TITLE_LENGTH, body_length: int = BODY_LENGTH) -> DataFrame:
     """titulo and descripcion from the object label."""
     content = normspace(strip(grab_first(F.col("texto"), P.OBJECT)))
     head = strip(F.regexp_extract("_objeto", rf"(?s)\A(.*?)(?:{P.OBJECT_CUT}|\z)", 1))
@@ -193,10 +194,10 @@ def with_object(df: DataFrame) -> DataFrame:
     volume = strip(grab(F.col("texto"), P.VOLUME_TAIL))
     return (
         df.withColumn("_objeto", content)
-        .withColumn("titulo", blank_to_null(truncate(head, 500)))
+        .withColumn("titulo", blank_to_null(truncate(head, title_length)))
         .withColumn(
             "descripcion",
-            F.when(F.col("titulo").isNotNull(), truncate(F.coalesce(blank_to_null(joined), volume), 1000)),
+            F.when(F.col("titulo").isNotNull(), truncate(F.coalesce(blank_to_null(joined), volume), body_length)),
         )
         .drop("_objeto")
     )
@@ -227,13 +228,13 @@ def _clock_text(c: Column) -> Column:
     return F.regexp_replace(c, r"(?iu)[\s,]+(?:a\s+las?\s+)?(\d{1,2}:\d{2})$", " $1")
 
 
-def with_technical(df: DataFrame) -> DataFrame:
+def with_technical(df: DataFrame, specifications_length: int = 500) -> DataFrame:
     """Volume, quantity and unit, specifications and place of the events."""
     text = F.col("texto")
     volume = strip(grab_hinted(text, P.VOLUME))
     place = strip(grab_hinted(text, P.EVENT_PLACE))
     specifications = F.when(text.contains(P.DETAILS_IN_CALL), P.DETAILS_IN_CALL).when(
-        F.lower(text).contains("especificaciones"), truncate(strip(grab(text, P.SPECIFICATIONS)), 500)
+        F.lower(text).contains("especificaciones"), truncate(strip(grab(text, P.SPECIFICATIONS)), specifications_length)
     )
     return df.withColumn(
         "volumen_obra", F.when((F.length(volume) > 5) & (F.length(volume) < 500), volume)
@@ -286,7 +287,7 @@ def is_notice(n: Column) -> Column:
     return n["numero_licitacion"].isNotNull() | (n["dependencia"].isNotNull() & n["titulo"].isNotNull())
 
 
-def extract_notices(blocks: DataFrame) -> DataFrame:
+def extract_notices(blocks: DataFrame, raw_length: int = BODY_LENGTH) -> DataFrame:
     """Blocks (texto, referencia and edition columns) -> notices with all extracted fields. The gate comes right after
     the fields it needs, so the other fields are only extracted from notices."""
     text = F.col("texto")
@@ -307,12 +308,12 @@ def extract_notices(blocks: DataFrame) -> DataFrame:
         {
             "tipo_procedimiento": F.coalesce("tipo_procedimiento", F.lit("Licitación Pública")),
             "caracter_procedimiento": F.coalesce("caracter_procedimiento", F.lit("Nacional")),
-            "raw_text": truncate(text, 1000),
+            "raw_text": truncate(text, raw_length),
         }
     ).drop("texto")
 
 
-def to_canonical(notices: DataFrame) -> DataFrame:
+def to_canonical(notices: DataFrame, title_length: int = TITLE_LENGTH) -> DataFrame:
     """Notices -> canonical rows with original and specific data as JSON."""
     originals = build(
         **{
@@ -346,7 +347,7 @@ def to_canonical(notices: DataFrame) -> DataFrame:
         notices.withColumns(
             {
                 "numero_procedimiento": F.coalesce("numero_licitacion", F.lit("")),
-                "titulo": truncate(F.coalesce("titulo", F.lit("")), 500),
+                "titulo": truncate(F.coalesce("titulo", F.lit("")), title_length),
                 "descripcion": F.coalesce("descripcion", F.lit("")),
                 "entidad_compradora": F.coalesce("dependencia", F.lit("No especificada")),
                 "unidad_compradora": F.col("subdependencia"),
@@ -387,13 +388,13 @@ def with_object_v2(df: DataFrame) -> DataFrame:
     )
 
 
-def with_agency_v2(df: DataFrame) -> DataFrame:
-    """Agency: first fully capital line of a known kind in 15. Sub-agency: first capital line after one, in 20."""
-    lines = F.transform(F.slice(F.split("texto", "\n", 21), 1, 20), strip)
+def with_agency_v2(df: DataFrame, agency_lines: int = 15, head_lines: int = 20) -> DataFrame:
+    """Agency: first fully capital line of a known kind in the first lines. Sub-agency: first capital line after one."""
+    lines = F.transform(F.slice(F.split("texto", "\n", head_lines + 1), 1, head_lines), strip)
     ls = F.col("_lineas")
-    agency = F.get(F.filter(F.slice(ls, 1, 15), lambda x: x.rlike(P.AGENCY_2)), F.lit(0))
+    agency = F.get(F.filter(F.slice(ls, 1, agency_lines), lambda x: x.rlike(P.AGENCY_2)), F.lit(0))
     at = F.array_position(F.transform(ls, lambda x: x.rlike(P.AGENCY_START_2)), True)
-    after = F.slice(ls, at.cast("int") + 1, 20)
+    after = F.slice(ls, at.cast("int") + 1, head_lines)
     sub = F.get(
         F.filter(after, lambda x: x.rlike(P.CAPITALS_2) & (F.length(x) > 10) & ~x.rlike(P.NOT_SUBAGENCY_2)), F.lit(0)
     )
@@ -452,7 +453,7 @@ def extract_notices_v2(blocks: DataFrame) -> DataFrame:
 
 # --- older notices ---------------------------------------------------------------------------------------------
 
-def old_notices(texts: DataFrame, text: str = "texto") -> DataFrame:
+def old_notices(texts: DataFrame, text: str = "texto", body_length: int = TITLE_LENGTH) -> DataFrame:
     """Notices found only by their head words, for each of the three kinds. The text is cut at the head words; a piece
     that lacks the word its kind needs runs on into the next, and is no notice if none is left."""
     def of_kind(kind: str, head: str, needed: str) -> Column:
@@ -480,7 +481,7 @@ def old_notices(texts: DataFrame, text: str = "texto") -> DataFrame:
         *keep,
         "n",
         F.coalesce(F.get(titles, F.lit(0)), F.lit("Licitación DOF")).alias("titulo"),
-        truncate(body, 500).alias("descripcion"),
+        truncate(body, body_length).alias("descripcion"),
         F.coalesce(grab_first(body, P.OLD_AGENCIES, 0), F.lit("Entidad DOF")).alias("entidad_compradora"),
         F.col("h.tipo").alias("tipo_procedimiento"),
         body.alias("texto_completo"),

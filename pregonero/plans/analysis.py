@@ -166,16 +166,17 @@ def cumulative_labels(df: DataFrame, year: int) -> DataFrame:
 
 
 def dashboard_rollup(df: DataFrame) -> DataFrame:
-    """Roll-ups over the source report, with both the sum of per-source buyers and the true number of buyers."""
-    return (
-        by_source(df)
-        .agg(
-            F.sum("total_licitaciones").alias("total_licitaciones"),
-            F.sum("entidades_unicas").alias("entidades_suma"),
-            F.sum("con_monto").alias("con_monto"),
-        )
-        .crossJoin(F.broadcast(df.agg(m.distinct("entidad_compradora", "entidades_distintas"))))
-        .crossJoin(F.broadcast(df.agg(m.distinct("tipo_contratacion", "tipos_contratacion"))))
+    """Roll-ups over the sources, with both the sum of per-source buyers and the true number of buyers. One scan: rows are
+    first folded to combinations of source, buyer and contract type."""
+    folded = df.groupBy("fuente", "entidad_compradora", "tipo_contratacion").agg(
+        m.rows("n"), F.count_if(F.col("monto_estimado") > 0).alias("con_monto")
+    )
+    return folded.agg(
+        F.sum("n").alias("total_licitaciones"),
+        F.count_distinct(F.coalesce("fuente", F.lit("")), F.col("entidad_compradora")).alias("entidades_suma"),
+        F.sum("con_monto").alias("con_monto"),
+        m.distinct("entidad_compradora", "entidades_distintas"),
+        m.distinct("tipo_contratacion", "tipos_contratacion"),
     )
 
 

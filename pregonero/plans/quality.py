@@ -133,13 +133,14 @@ def extraction_overall(notices: DataFrame) -> DataFrame:
     return notices.agg(*_extraction_measures())
 
 
-def extraction_facets(notices: DataFrame, per_file: bool = True) -> DataFrame:
-    """Counts by state, type, character, agency (50 characters) and, overall, edition date, in one shuffle."""
+def extraction_facets(notices: DataFrame, per_file: bool = True, agency_label: int = 50) -> DataFrame:
+    """Counts by state, type, character, agency and, overall, edition date, in one shuffle. Agencies are told apart by their
+    whole names; only the label is cut."""
     values = {
         "entidad": F.col("entidad_federativa"),
         "tipo": F.col("tipo_contratacion"),
         "caracter": F.col("caracter_procedimiento"),
-        "dependencia": F.substring("dependencia", 1, 50),
+        "dependencia": F.col("dependencia"),
     }
     if not per_file:
         values["fecha_ejemplar"] = F.col("fecha_ejemplar")
@@ -150,6 +151,7 @@ def extraction_facets(notices: DataFrame, per_file: bool = True) -> DataFrame:
         .filter("valor is not null")
         .groupBy(*keys, "faceta", "valor")
         .agg(m.rows())
+        .withColumn("valor", F.when(F.col("faceta") == "dependencia", F.substring("valor", 1, agency_label)).otherwise(F.col("valor")))
     )
 
 

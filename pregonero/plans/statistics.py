@@ -129,24 +129,37 @@ def detail_coverage(df: DataFrame) -> DataFrame:
     )
 
 
-def as_map(counts: DataFrame, key: str, name: str) -> DataFrame:
-    """A short count report (sources, status, top states) as one map."""
-    return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "cantidad")))).alias(name))
-
-
-def library_statistics(df: DataFrame) -> DataFrame:
-    """One row: total, counts by source, status and top-10 state as maps, detail coverage."""
-    parts = [
-        total(df),
-        as_map(counts_by(df, "fuente"), "fuente", "por_fuente"),
-        as_map(counts_by(df, "estado"), "estado", "por_estado"),
-        as_map(top_counts(df, TOP_STATES, "entidad_federativa"), "entidad_federativa", "por_entidad_federativa"),
-        detail_coverage(df),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(F.broadcast(part))  # one-row reports
-    return out
+def library_statistics(df: DataFrame, top_states: int = TOP_STATES) -> DataFrame:
+    """One row: total, counts by source, status and leading states as maps, detail coverage. One scan counts the
+    combinations of source, status and state; the rest is added up from these."""
+    keys = ["fuente", "estado", "entidad_federativa"]
+    portal = F.col("fuente") == PORTAL
+    detailed = portal & F.col("datos_especificos").contains("detalle_individual")
+    combinations = df.groupBy(*keys).agg(m.rows("n"), F.count_if(portal).alias("portal"), F.count_if(detailed).alias("detalle"))
+    entry = lambda facet, value, n: F.struct(F.lit(facet).alias("faceta"), value.alias("valor"), F.col(n).alias("n"))
+    none = F.lit(None).cast("string")
+    sums = (
+        combinations.select(F.inline(F.array(*[entry(k, F.col(k), "n") for k in keys], *[entry(c, none, c) for c in ("n", "portal", "detalle")])))
+        .filter(F.col("valor").isNotNull() | ~F.col("faceta").isin(keys))
+        .groupBy("faceta", "valor")
+        .agg(F.sum("n").alias("n"))
+    )
+
+    def number(facet: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("faceta") == facet, F.col("n"))), F.lit(0))
+
+    def entries(facet: str, most: int | None = None) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col("faceta") == facet, F.struct((-F.col("n")).alias("minus"), "valor", "n"))))
+        pairs = F.transform(found if most is None else F.slice(found, 1, most), lambda e: F.struct(e["valor"], e["n"].alias("cantidad")))
+        return F.map_from_entries(F.sort_array(pairs))
+
+    row = sums.agg(
+        number("n").alias("total"), entries("fuente").alias("por_fuente"), entries("estado").alias("por_estado"),
+        entries("entidad_federativa", top_states).alias("por_entidad_federativa"),
+        number("detalle").alias("comprasmx_con_detalles"), number("portal").alias("comprasmx_total"),
+    )
+    share = F.try_divide(F.col("comprasmx_con_detalles").cast("double"), F.col("comprasmx_total")) * 100
+    return row.withColumn("porcentaje_detalles_comprasmx", F.coalesce(share, F.lit(0.0)))
 
 
 def status_overview(df: DataFrame, n: int = 5) -> DataFrame:

@@ -163,6 +163,7 @@ def harvest(
     since: Column | None = None,
     until: Column | None = None,
     keywords: list[str] | None = None,
+    title_length: int = 220,
 ) -> DataFrame:
     """Links whose text or address names a keyword or a PDF, as items; the first of equal items per page is kept."""
     words = [w.lower() for w in (keywords or LINK_KEYWORDS)]
@@ -174,7 +175,7 @@ def harvest(
         source.alias("source"),
         jurisdiction.alias("jurisdiction"),
         keys.longest_code(F.col("label")).alias("code"),
-        truncate(F.coalesce(blank_to_null(F.col("label")), F.col("doc_url")), 220).alias("title"),
+        truncate(F.coalesce(blank_to_null(F.col("label")), F.col("doc_url")), title_length).alias("title"),
         "date",
         "url",
         "doc_url",

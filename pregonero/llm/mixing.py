@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import columns_clear_of, stage, word_count
+from .store import broadcast_if_small, columns_clear_of, stage, word_count
 
 HASH_BITS = 60
 LEVEL_BITS = (12, 12, 12, 24)
@@ -89,16 +89,13 @@ def mix(
     repeats: how often the mix holds the document; taken: size * repeats.
     """
     names = columns_clear_of(docs, "size", "source_size", "target", "repeats", "taken") if keep_columns else {}
-    kept = [F.col(f"`{c}`") for c in docs.columns] if keep_columns else [F.col(id_column)]
-    narrow = stage(
-        docs.select(
-            *([F.struct(*kept).alias("row")] if keep_columns else [F.struct(F.col(id_column)).alias("row")]),
-            F.col(source_column).alias("source"),
-            word_count(F.col(text_column)).alias("size"),
-            hash_bits(id_column, text_column).alias("hash"),
-        ),
-        "mix",
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep_columns else [id_column])]
+    sized = docs.select(
+        F.struct(*kept).alias("row"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"),
+        hash_bits(id_column, text_column).alias("hash"),
     )
+    # what the histograms need is written; the texts are neither written nor shuffled, their hashes are made again at the end
+    narrow = stage(sized if not keep_columns else sized.drop("row"), "mix")
     numbers = narrow.select("source", "size", "hash")
     plan = stage(targets(numbers.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_repeats), "mix-targets")
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -106,14 +103,16 @@ def mix(
         "budget", F.floor(F.col("target") - F.col("full") * F.col("source_size")).cast("long")
     )
     at = budgets.select("source", F.lit(0).cast("long").alias("prefix"), "budget")
+    small = F.broadcast if broadcast_if_small(plan) is not plan else (lambda df: df)  # one row per source
     for level in range(len(LEVEL_BITS)):
-        at = _refine(numbers, at, level)
+        at = _refine(numbers, small(at), level)
+    at = stage(at, "mix-thresholds")
     limits = budgets.join(
         at.select(F.col("source").alias("at"), F.col("prefix").alias("threshold")), F.col("source").eqNullSafe(F.col("at")), "left"
     ).select(F.col("source").alias("at"), "source_size", "target", "full", "threshold")
     # the threshold is the first hash that no longer fits; without one the whole source fits
     extra = F.when(F.col("threshold").isNull() | (F.col("hash") < F.col("threshold")), 1).otherwise(0)
-    mixed = narrow.join(limits, F.col("source").eqNullSafe(F.col("at"))).withColumn(
+    mixed = (sized if keep_columns else narrow).join(small(limits), F.col("source").eqNullSafe(F.col("at"))).withColumn(
         "repeats", F.least(F.col("full") + extra, F.lit(most_repeats)).cast("long")
     )
     return mixed.select(

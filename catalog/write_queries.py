@@ -72,12 +72,13 @@ on_tenders(
 
 # The batch names each buyer and number again and again; every fifth order's key is already in the table.
 BATCH_NUMBER = "'B-' || CAST(id % 4000 AS VARCHAR)"
+BATCH_SOURCE = "CASE WHEN id % 4000 % 3 = 0 THEN 'Tianguis Digital' ELSE 'DOF' END"
 
 
 def batch(spark, sf):
     t = tenders(spark, sf).withColumns({
         "numero_procedimiento": F.when(F.col("id") % 97 == 0, "").otherwise(F.concat(F.lit("B-"), (F.col("id") % 4000).cast("string"))),
-        "entidad_compradora": F.col("estado"), "fuente": F.lit("DOF"),
+        "entidad_compradora": F.col("estado"), "fuente": F.expr(BATCH_SOURCE),
     })
     return backfill.with_key(t).withColumn("_ord", F.col("id"))
 
@@ -93,16 +94,16 @@ def insert(spark, sf):
     return upsert.insert_if_absent(batch(spark, sf), path)
 
 
-STATUS_SQL = f"""SELECT id, CASE WHEN id % 97 = 0 THEN 'rechazado' WHEN en_tabla OR rn > 1 THEN 'duplicado' ELSE 'insertado' END AS estatus FROM (
+STATUS_SQL = f"""SELECT id, {BATCH_SOURCE} AS fuente, CASE WHEN id % 97 = 0 THEN 'rechazado' WHEN en_tabla OR rn > 1 THEN 'duplicado' ELSE 'insertado' END AS estatus FROM (
     SELECT id, id % 4000 % 5 = 0 AS en_tabla, ROW_NUMBER() OVER (PARTITION BY id % 97 = 0, numero, estado ORDER BY id) AS rn
     FROM (SELECT id, estado, {BATCH_NUMBER} AS numero FROM tenders) x) y"""
-register("u1_j7_insert_if_absent", lambda spark, sf: insert(spark, sf).select("id", "estatus"), STATUS_SQL, "tenders")
+register("u1_j7_insert_if_absent", lambda spark, sf: insert(spark, sf).select("id", "fuente", "estatus"), STATUS_SQL, "tenders")
 register(
     "a39_u8_run_metrics",
     lambda spark, sf: upsert.run_metrics(insert(spark, sf)),
     f"""SELECT f AS fuente, COUNT(*) AS extraidos, COUNT(*) FILTER (WHERE estatus = 'insertado') AS insertados, COUNT(*) FILTER (WHERE estatus = 'duplicado') AS duplicados,
     COUNT(*) FILTER (WHERE estatus = 'error') AS errores, COUNT(*) FILTER (WHERE estatus = 'rechazado') AS rechazados
-    FROM (SELECT estatus, unnest(['DOF', 'TOTAL']) AS f FROM ({STATUS_SQL}) s) z GROUP BY 1""",
+    FROM (SELECT estatus, unnest([fuente, 'TOTAL']) AS f FROM ({STATUS_SQL}) s) z GROUP BY 1""",
     "tenders",
 )
 
@@ -167,9 +168,9 @@ def upserted_table(spark, sf):
 register(
     "u2_upsert_stored_table",
     lambda spark, sf: upserted_table(spark, sf).select("numero_procedimiento", "entidad_compradora", "fuente", "titulo", "municipio"),
-    f"""WITH b AS (SELECT id, estado, {BATCH_NUMBER} AS numero, id % 4000 % 5 = 0 AS en_tabla FROM tenders WHERE id % 97 <> 0),
-    k AS (SELECT numero, estado, en_tabla, MIN(id) FILTER (WHERE id % 89 <> 0) AS primero, MAX(id) FILTER (WHERE id % 89 <> 0) AS ultimo FROM b GROUP BY 1, 2, 3)
-    SELECT numero AS numero_procedimiento, estado AS entidad_compradora, 'DOF' AS fuente, CASE WHEN en_tabla THEN 'viejo' ELSE 't' || CAST(primero AS VARCHAR) END AS titulo,
+    f"""WITH b AS (SELECT id, estado, {BATCH_SOURCE} AS origen, {BATCH_NUMBER} AS numero, id % 4000 % 5 = 0 AS en_tabla FROM tenders WHERE id % 97 <> 0),
+    k AS (SELECT numero, estado, en_tabla, origen, MIN(id) FILTER (WHERE id % 89 <> 0) AS primero, MAX(id) FILTER (WHERE id % 89 <> 0) AS ultimo FROM b GROUP BY 1, 2, 3, 4)
+    SELECT numero AS numero_procedimiento, estado AS entidad_compradora, origen AS fuente, CASE WHEN en_tabla THEN 'viejo' ELSE 't' || CAST(primero AS VARCHAR) END AS titulo,
     CASE WHEN ultimo IS NULL THEN 'viejo' ELSE 'm' || CAST(ultimo AS VARCHAR) END AS municipio FROM k WHERE en_tabla OR primero IS NOT NULL
     UNION ALL SELECT numero_procedimiento, entidad_compradora, fuente, titulo, municipio FROM tenders WHERE fuente <> 'DOF'""",
     "tenders",
@@ -323,9 +324,11 @@ on_tenders(
 )
 on_tenders(
     "a43_field_profile",
-    lambda t: quality.field_profile(t).drop("ejemplo"),
-    """SELECT fuente, campo, COUNT(*) AS registros, COUNT(*) AS con_valor, CASE WHEN campo = 'tender' THEN 'OBJECT' ELSE 'STRING' END AS tipos FROM (
-    SELECT fuente, unnest(json_keys(datos_originales)) AS campo FROM tenders WHERE datos_originales IS NOT NULL) x GROUP BY 1, 2""",
+    # members of objects come in another order on the checking engine, so only examples of texts are compared
+    lambda t: quality.field_profile(t).withColumn("ejemplo", F.when(F.col("tipos") == "STRING", F.col("ejemplo"))),
+    """SELECT fuente, campo, COUNT(*) AS registros, COUNT(*) AS con_valor, CASE WHEN campo = 'tender' THEN 'OBJECT' ELSE 'STRING' END AS tipos,
+    CASE WHEN campo <> 'tender' THEN MIN(json_extract_string(datos_originales, '$."' || campo || '"')) END AS ejemplo FROM (
+    SELECT fuente, datos_originales, unnest(json_keys(datos_originales)) AS campo FROM tenders WHERE datos_originales IS NOT NULL) x GROUP BY 1, 2""",
 )
 register(
     "a43_field_profile_of_events",
@@ -401,7 +404,7 @@ register(
         view(spark, sf, "site_lines").select(F.lit("a.jsonl").alias("file_name"), F.col("line").alias("value")))),
     f"""SELECT f AS fuente, COUNT(*) AS extraidos, COUNT(*) FILTER (WHERE estatus = 'insertado') AS insertados, COUNT(*) FILTER (WHERE estatus = 'duplicado') AS duplicados,
     COUNT(*) FILTER (WHERE estatus = 'error') AS errores, COUNT(*) FILTER (WHERE estatus = 'rechazado') AS rechazados
-    FROM (SELECT estatus, unnest(['DOF', 'TOTAL']) AS f FROM ({STATUS_SQL}) s
+    FROM (SELECT estatus, unnest([fuente, 'TOTAL']) AS f FROM ({STATUS_SQL}) s
     UNION ALL SELECT 'rechazado', unnest(['SITIOS_MASIVOS', 'TOTAL']) FROM site_lines WHERE k % 50 = 48) z GROUP BY 1""",
     "tenders", "site_lines",
 )

@@ -415,12 +415,15 @@ on_tenders(
 )
 
 
-def event_stream(spark, sf):
-    """The events as a stream of several files, one file a batch."""
+def event_stream(spark, sf, batches=1):
+    """The events as a stream; with several batches, of as many files, one file a batch."""
     events = table(spark, sf, "events")
-    path = work_dir(spark, "events")
-    events.repartitionByRange(4, "ts").write.parquet(path)
-    stream = ingest.landing_stream(spark, path, events.schema, "parquet", 1)
+    if batches == 1:
+        stream = ingest.landing_stream(spark, sf, events.schema, "parquet", pathGlobFilter="events.parquet")
+    else:
+        path = work_dir(spark, "events")
+        events.repartitionByRange(batches, "ts").write.parquet(path)
+        stream = ingest.landing_stream(spark, path, events.schema, "parquet", 1)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -458,7 +461,7 @@ register(
 register(
     "t3_overlap_dedup",
     lambda spark, sf: run_to_folder(
-        ingest.overlap_dedup(event_stream(spark, sf).withColumn("clave", F.concat_ws("-", "user_id", "event_type")), "clave", "ts", "60 days"), "append"
+        ingest.overlap_dedup(event_stream(spark, sf, 4).withColumn("clave", F.concat_ws("-", "user_id", "event_type")), "clave", "ts", "60 days"), "append"
     ).select("clave"),
     "SELECT DISTINCT CAST(user_id AS VARCHAR) || '-' || event_type AS clave FROM events",
 )

@@ -6,7 +6,8 @@ transitions between them, distinct characters, the share of the value's letter t
 whether the path looks like tests or documentation, and whether the neighbouring words name a secret or an example. The
 dictionary is the corpus's own: all words of letters that make up at least FREQUENT of its words (so at most 1 / FREQUENT).
 
-The forest (pyspark.ml) is fitted on labelled findings, at most FIT_FINDINGS of each label, those with the smallest hashes.
+The forest (pyspark.ml) is fitted on labelled findings: of each label those distinct feature rows whose hash lies under a
+share that lets about FIT_FINDINGS of them in.
 `format_labels` labels findings whose format leaves no doubt; findings without a label take no part in the fit but are
 judged like all others. The formats themselves are no features.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import stage
 
@@ -124,11 +125,13 @@ def format_labels(found: DataFrame) -> Column:
 
 def fit(labelled: DataFrame, most: int = FIT_FINDINGS, seed: int = 11) -> RandomForestClassificationModel | None:
     """labelled: columns of FEATURES and label. None if there are not two labels."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("value", "before", "place"))
-    sample = labelled.filter("label is not null").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
-    sample = stage(sample.select("label", *FEATURES), "findings")
-    if sample.select("label").distinct().count() < 2:
+    distinct = stage(labelled.filter("label is not null").select("label", *FEATURES).distinct(), "findings")
+    counts = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
+    if len(counts) < 2:
         return None
+    place = F.pmod(F.xxhash64(*FEATURES), F.lit(1 << 30)) / float(1 << 30)
+    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(most / n)) for k, n in counts.items()])
+    sample = distinct.filter(place < share)
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, labelCol="label").fit(ready)
 

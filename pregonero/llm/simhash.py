@@ -9,7 +9,7 @@ masked keys. Fingerprints with equal key are compared bit-sliced: 64 bit planes
 is compared with lane i + d by shifting the planes by d, and carry-save counters add up the differing bits of all lanes at
 once; blocks of 64 lanes are abandoned when every lane is over the radius. A large bucket is cut into chunks, and pairs of
 chunks are dealt out as buckets of their own, so no task holds more than two chunks; tasks return a spanning forest, not
-all pairs. Components come from rounds of large-star and small-star steps over the links.
+all pairs. Components of the links come from `operators.components`.
 
 Defined cases: null text counts as empty; rows without words are all linked; ties and repeated rows belong to one
 component; component_id is the smallest id, null only if all ids of the component are null; an empty table gives an empty
@@ -27,7 +27,8 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .store import columns_clear_of, stage
+from ..operators.components import connected
+from .store import columns_clear_of, slices, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, text_column: str = "text", shingle: int = 3, n
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
 
@@ -189,27 +190,10 @@ def links(distinct: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame
     return compared.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, root): every node of an edge but the roots, with the smallest node of its component."""
-    now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
-    while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stage(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = stage(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == new:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = new
-
-
 def group(marked: DataFrame, id_column: str = "doc_id", radius: int = 3) -> DataFrame:
     """marked (a written table with id and fp) -> (fp, root, component_id), one row per distinct fingerprint."""
     distinct = stage(marked.groupBy("fp").agg(F.min(id_column).alias("first_id")), "fingerprints")
-    star = components(links(distinct.select("fp"), radius))
+    star = connected(links(distinct.select("fp"), radius))
     rooted = distinct.join(star, distinct.fp == star.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )

@@ -7,6 +7,7 @@ import numpy as np
 import xxhash
 
 from pregonero.llm import simhash
+from pregonero.operators.components import connected
 
 
 def plain_fingerprint(text, n=3):
@@ -77,7 +78,7 @@ def test_components_equal_pairwise_comparison(spark):
         old, simhash.CHUNK = simhash.CHUNK, chunk
         try:
             edges = simhash.links(marked.select("fp").distinct(), 3, chunk)
-            star = {r.node: r.root for r in simhash.components(edges).collect()}
+            star = {r.node: r.root for r in connected(edges).collect()}
         finally:
             simhash.CHUNK = old
         roots = {}

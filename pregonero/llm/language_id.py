@@ -138,16 +138,12 @@ def fit(learn: DataFrame, sample: int = SAMPLE, dim: int = DIM, clusters: int =
     """learn: (id, text, lang). Each language's centroids are fitted in a task of its own."""
     known = learn.filter("lang is not null")
     idf = inverse_frequencies(known, dim)
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    hashed = F.xxhash64("id").alias("h")
-    # the hash up to which a language is sampled is found on narrow rows, the texts are fetched afterwards
-    limits = (
-        known.select("lang", hashed).withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= sample)
-        .groupBy("lang").agg(F.max("h").alias("limit"))
-    )
-    limits = stage(limits, "language-limits")
-    near = known.select("lang", "text", hashed).join(broadcast_if_small(limits), "lang").filter("h <= limit")
-    picked = stage(near.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= sample).select("lang", "text"), "language-sample")
+    # documents whose hash lies under a share that lets about twice the sample in; the smallest hashes of these are taken
+    counts = stage(known.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    near = known.select("lang", "text", place.alias("h")).join(broadcast_if_small(counts), "lang").filter(F.col("h") * F.col("n") < 2 * sample)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = stage(near.withColumn("nth", nth).filter(F.col("nth") <= sample).select("lang", "text"), "language-sample")
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         vectors = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .store import broadcast_if_small, columns_clear_of, slices, stage
+from .store import broadcast_if_small, columns_clear_of, shipped, slices, stage, unpacked
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -172,12 +172,13 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text", keep: lis
         [*[docs.schema[c] for c in keep], T.StructField(names["lang_pred"], T.StringType()), T.StructField(names["score"], T.DoubleType()),
          T.StructField(names["accepted"], T.BooleanType())]
     )
-    at, shared = docs.columns.index(text_column), docs.sparkSession.sparkContext.broadcast(model)
+    at, shared = docs.columns.index(text_column), shipped(docs.sparkSession, model)
     kept = [docs.columns.index(c) for c in keep]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = unpacked(Model, shared)
         for batch in slices(batches):
-            found = list(zip(*(shared.value.predict(t.as_py()) for t in batch.column(at)))) or [(), (), ()]
+            found = list(zip(*(known.predict(t.as_py()) for t in batch.column(at)))) or [(), (), ()]
             new = [pa.array(c, k) for c, k in zip(found, (pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new], [*keep, *names.values()])
 

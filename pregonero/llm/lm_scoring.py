@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .store import slices, stage
+from .store import shipped, slices, stage, unpacked
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -198,11 +198,12 @@ def fit(learn: DataFrame, words: int = WORDS, head: int = HEAD, fit_tokens: int
     lookup = Lookup(rows, words, sums)
     share = min(1.0, fit_tokens / max(n, 1))
     picked = learn.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("text")
-    shared = spark.sparkContext.broadcast(lookup)
+    shared = shipped(spark, lookup)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = unpacked(Lookup, shared)
         for batch in batches:
-            found = [shared.value.windows(shared.value.read(t.as_py())[1]).astype(np.int16).tobytes() for t in batch.column(0)]
+            found = [known.windows(known.read(t.as_py())[1]).astype(np.int16).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["windows"])
 
     seen = b"".join(r[0] for r in picked.mapInArrow(windows, "windows binary").toLocalIterator())
@@ -234,11 +235,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         ]
     )
     floor = float(np.log10(model.n + SMOOTH * (model.v + 1)))
-    shared = spark.sparkContext.broadcast(model.lookup)
+    shared = shipped(spark, model.lookup)
     rest_type = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, row = shared.value, TaskContext.get().partitionId() << 33
+        lookup, row = unpacked(Lookup, shared), TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             found = []
             for text in batch.column(at_text):

@@ -6,7 +6,7 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import written as stage  # noqa: F401
@@ -30,6 +30,19 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def shipped(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcasts an object's attributes. Broadcasts are pickled by reference, so the object itself would need this package
+    on the executors; plain values don't."""
+    return spark.sparkContext.broadcast(dict(vars(thing)))
+
+
+def unpacked(kind: type, shared: Broadcast):
+    """The object again, in a task; its class comes with the task."""
+    thing = object.__new__(kind)
+    thing.__dict__.update(shared.value)
+    return thing
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,18 +1,16 @@
-"""Pairwise line alignment: common blocks of lines go from the later of two documents.
+"""Line dedup: common blocks of lines go from the later of two documents.
 
 1. Texts are cut into lines; a line is cut further after each sentence of at least `sentence_words` words, so passages that
    begin or end within a long line, and near copies of it, are found too. "Line" below means such a piece.
 2. Every line with a word gets a token: the hash of its words, with that of the line before if it has fewer than
-   `context_words`, and with a running number if the token stood in the document before. So a token stands once in a
-   document, and a short line counts as shared only where its neighbour is shared too.
-3. Tokens found in two or more documents link each later document with the first holder of the token. A common line so
-   gives one link per document, not one per pair; no line is too common to count.
-4. For each later document its partners are taken by their rarest shared token, rarest first. The shared tokens are
-   aligned by patience (the longest run of tokens that stand in the same order in both), and lines that follow each other
-   directly in both documents form a block. Lines that crossed the run form blocks of their own in the same way, so a
-   passage that was moved is found as well.
-5. Blocks of at least `min_block_words` words are deleted from the later document, with the line breaks of lines that go
-   as a whole.
+   `context_words`. So a short line counts as shared only where its neighbour is shared too.
+3. From every line the shortest window of lines in a row with `min_block_words` words or more begins, and at every line the
+   shortest such window ends. The windows within any run of that many words cover all of the run.
+4. Each window elects its first holder. A window that an earlier document holds goes from the later one, so of every run of
+   `min_block_words` words or more that stands in a row in an earlier document nothing is left, whoever else holds single
+   lines of it and in whatever order its passages stand. A common passage gives one link per document, not one per pair; no
+   window is too common to count.
+5. Windows that overlap or touch form a block. Blocks are deleted, with the line breaks of lines that go as a whole.
 
 Documents are ordered by id (nulls last), those of equal id by the hash of their text. Rows equal in id and text are one
 document: they are never compared with each other and get the same result.
@@ -43,7 +41,8 @@ CONTEXT_WORDS = 5
 MIN_BLOCK_WORDS = 20
 MASK = (1 << 63) - 1
 SENTENCE_END = re.compile(r"[.!?]+(?=[\x20\x09-\x0D])")
-LINE_FIRST, LINE_LAST, AGAIN = 1, 2, 4
+LINE_FIRST, LINE_LAST = 1, 2
+FIELDS = ["token", "place", "last", "before", "after", "start", "end", "flags"]
 
 
 def line_spans(text: str, sentence_words: int = SENTENCE_WORDS) -> list[tuple[int, int, int]]:
@@ -65,30 +64,56 @@ def line_spans(text: str, sentence_words: int = SENTENCE_WORDS) -> list[tuple[in
 
 
 def line_tokens(text: str | None, sentence_words: int = SENTENCE_WORDS, context_words: int = CONTEXT_WORDS) -> list[tuple]:
-    """(token, place, words, start, end, flags) of the lines with a word; a line seen before has two rows, one flagged AGAIN."""
+    """(token, words, start, end, flags) of the lines with a word."""
     found: list[tuple] = []
     text = text or ""
-    place = -1
-    seen: dict[int, int] = {}
     before = b""
     for start, end, flags in line_spans(text, sentence_words):
         words = text[start:end].encode().split()
         if not words:
             continue
         whole = b" ".join(words)
-        token = xxhash.xxh64_intdigest(whole if len(words) >= context_words else before + b"\n" + whole) & MASK
+        token = xxhash.xxh64_digest(whole if len(words) >= context_words else before + b"\n" + whole)
         before = whole
-        place += 1
-        seen[token] = again = seen.get(token, -1) + 1
-        if again:
-            found.append((token, place, len(words), start, end, flags | AGAIN))
-            token = xxhash.xxh64_intdigest(b"%d %d" % (token, again)) & MASK
-        found.append((token, place, len(words), start, end, flags))
+        found.append((token, len(words), start, end, flags))
     return found
 
 
+def line_windows(
+    text: str | None, sentence_words: int = SENTENCE_WORDS, context_words: int = CONTEXT_WORDS, min_block_words: int = MIN_BLOCK_WORDS
+) -> list[tuple]:
+    """The values of FIELDS for each window: its token, first and last line, words of the text before it and up to its end,
+    start, end, and flags of its first and last line."""
+    lines = line_tokens(text, sentence_words, context_words)
+    tokens = b"".join(line[0] for line in lines)
+    upto = [0]
+    for line in lines:
+        upto.append(upto[-1] + line[1])
+    bounds = set()
+    last = 0
+    for first in range(len(lines)):  # shortest window that begins here
+        while last < len(lines) and upto[last + 1] - upto[first] < min_block_words:
+            last += 1
+        if last == len(lines):
+            break
+        bounds.add((first, last))
+    first = 0
+    for last in range(len(lines)):  # shortest window that ends here
+        while first < last and upto[last + 1] - upto[first + 1] >= min_block_words:
+            first += 1
+        if upto[last + 1] - upto[first] >= min_block_words:
+            bounds.add((first, last))
+    return [
+        (
+            xxhash.xxh64_intdigest(tokens[8 * a : 8 * (b + 1)]) & MASK, a, b, upto[a], upto[b + 1], lines[a][2], lines[b][3],
+            lines[a][4] & LINE_FIRST | lines[b][4] & LINE_LAST,
+        )
+        for a, b in sorted(bounds)
+    ]
+
+
 def longest_run(places: list[int]) -> list[int]:
-    """Indices of a longest strictly rising subsequence, by patience piles."""
+    """Indices of a longest strictly rising subsequence, by patience piles. Blocks come from windows and don't need it."""
     tops: list[int] = []
     pile_of: list[int] = []
     back: list[int] = []
@@ -107,56 +132,42 @@ def longest_run(places: list[int]) -> list[int]:
     return run[::-1]
 
 
-def aligned_blocks(shared: list[dict], min_block_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the blocks to delete. shared: place, start, end, flags, words, n, partner, partner_place."""
-    chosen = {s["place"]: s for s in sorted(shared, key=lambda s: -(s["flags"] & AGAIN))}
-    partners: dict[object, list[dict]] = {}
-    for s in chosen.values():
-        partners.setdefault(tuple(s["partner"].values()), []).append(s)
-    blocks = []
-    for common in sorted(partners.values(), key=lambda c: min(s["n"] for s in c)):
-        common.sort(key=lambda s: s["place"])
-        run = longest_run([s["partner_place"] for s in common])
-        in_run = set(run)
-        for order in ([common[i] for i in run], [s for i, s in enumerate(common) if i not in in_run]):
-            block = order[:1]
-            for s in [*order[1:], None]:
-                if s and s["place"] == block[-1]["place"] + 1 and s["partner_place"] == block[-1]["partner_place"] + 1:
-                    block.append(s)
-                    continue
-                words = sum(b["words"] for b in block)
-                if words >= min_block_words:
-                    first, last = block[0], block[-1]
-                    # the break after a line stays if the text before the block stands in front of it
-                    stays = last["flags"] & LINE_LAST and not first["flags"] & LINE_FIRST
-                    blocks.append((first["start"], last["end"] - bool(stays), words))
-                block = [s]
-    return sorted(blocks)
-
-
-def _tokenise(docs: DataFrame, sentence_words: int, context_words: int) -> DataFrame:
-    """(id, hash, text) -> (id, hash, lines)."""
-    names = ["token", "place", "words", "start", "end", "flags"]
-    line = T.StructType([T.StructField(n, T.IntegerType() if i else T.LongType()) for i, n in enumerate(names)])
-    schema = T.StructType([*docs.schema.fields[:2], T.StructField("lines", T.ArrayType(line))])
+def joined_blocks(shared: list[dict]) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the blocks to delete: windows (dicts of FIELDS) that overlap or touch, joined."""
+    blocks: list[dict] = []
+    for s in sorted(shared, key=lambda s: s["place"]):
+        if blocks and s["place"] <= blocks[-1]["last"] + 1:
+            block = blocks[-1]
+            if s["last"] > block["last"]:
+                block.update(last=s["last"], after=s["after"], end=s["end"], flags=block["flags"] & LINE_FIRST | s["flags"] & LINE_LAST)
+        else:
+            blocks.append(dict(s))
+    # the break after a line stays if the text before the block stands in front of it
+    return [(b["start"], b["end"] - (b["flags"] == LINE_LAST), b["after"] - b["before"]) for b in blocks]
+
+
+def _windows(docs: DataFrame, sentence_words: int, context_words: int, min_block_words: int) -> DataFrame:
+    """(id, hash, text) -> (id, hash, windows)."""
+    window = T.StructType([T.StructField(n, T.IntegerType() if i else T.LongType()) for i, n in enumerate(FIELDS)])
+    schema = T.StructType([*docs.schema.fields[:2], T.StructField("windows", T.ArrayType(window))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, columns = [0], [[] for _ in names]
+            offsets, columns = [0], [[] for _ in FIELDS]
             for text in batch.column(2):
-                found = line_tokens(text.as_py(), sentence_words, context_words)
+                found = line_windows(text.as_py(), sentence_words, context_words, min_block_words)
                 for column, values in zip(columns, zip(*found)):
                     column.extend(values)
                 offsets.append(offsets[-1] + len(found))
-            kinds = [pa.int64(), *[pa.int32()] * 5]
-            structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-            lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines], ["id", "hash", "lines"])
+            kinds = [pa.int64(), *[pa.int32()] * (len(FIELDS) - 1)]
+            structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], FIELDS)
+            windows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), windows], ["id", "hash", "windows"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _align(shared: DataFrame, min_block_words: int) -> DataFrame:
+def _join(shared: DataFrame) -> DataFrame:
     """(id, hash, shared) -> (id, hash, blocks)."""
     block = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())])
     id_type = shared.schema["id"].dataType
@@ -169,7 +180,7 @@ def _align(shared: DataFrame, min_block_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [aligned_blocks(s.as_py(), min_block_words) for s in batch.column(2)]
+            found = [joined_blocks(s.as_py()) for s in batch.column(2)]
             columns = [
                 batch.column(0), batch.column(1),
                 pa.array([[{"start": a, "end": b, "words": w} for a, b, w in f] for f in found], pa.list_(block)),
@@ -185,18 +196,13 @@ def duplicate_blocks(
 ) -> DataFrame:
     """(id, hash, blocks): the blocks to delete, for documents that have any; hash as text_hash() gives it."""
     keyed = docs.select(F.col(id_column).alias("id"), text_hash(text_column).alias("hash"), F.col(text_column).alias("text"))
-    cut = stage(_tokenise(keyed, sentence_words, context_words), "line-tokens")
-    lines = cut.select("id", "hash", F.explode("lines").alias("line")).select("id", "hash", "line.*")
-    holder = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "place")
-    first = lines.groupBy("token").agg(F.min(holder).alias("first"), F.count("*").cast("int").alias("n")).filter("n > 1")
+    cut = stage(_windows(keyed, sentence_words, context_words, min_block_words), "line-windows")
+    windows = cut.select("id", "hash", F.explode("windows").alias("window")).select("id", "hash", "window.*")
+    holder = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    first = windows.groupBy("token").agg(F.min(holder).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     own = F.col("id").eqNullSafe(F.col("first.id")) & F.col("hash").eqNullSafe(F.col("first.hash"))
-    shared = lines.join(first, "token").filter(~own).select(
-        "id", "hash",
-        F.struct(
-            "place", "start", "end", "flags", "words", "n", F.struct("first.id", "first.hash").alias("partner"), F.col("first.place").alias("partner_place")
-        ).alias("one"),
-    )
-    return _align(shared.groupBy("id", "hash").agg(F.collect_list("one").alias("shared")), min_block_words)
+    shared = windows.join(first, "token").filter(~own).select("id", "hash", F.struct(*FIELDS[1:]).alias("one"))
+    return _join(shared.groupBy("id", "hash").agg(F.collect_list("one").alias("shared")))
 
 
 def text_hash(text_column: str) -> Column:

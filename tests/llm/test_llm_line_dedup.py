@@ -113,3 +113,24 @@ def test_no_long_shared_block_is_left(spark):
                 assert line in kept  # so does the first holder's line
             else:
                 assert line not in kept
+
+
+def test_block_goes_whole_where_its_lines_stand_apart_in_earlier_documents(spark):
+    lines = [" ".join(f"s{k}w{i}" for i in range(15)) + "." for k in range(5)]
+    apart = f"{lines[1]}\nAnother line stands between the two of them here.\n{lines[3]}"
+    rows = [(0, apart)] + [(i, f"Only document {i} begins like this.\n" + "\n".join(lines) + f"\nOnly document {i} ends so.") for i in (1, 2, 3)]
+    got = cleaned(spark, rows)
+    assert got[0] == apart and got[1] == rows[1][1]
+    for i in (2, 3):
+        assert got[i] == f"Only document {i} begins like this.\nOnly document {i} ends so."
+
+
+def test_windows_cover_every_run_of_enough_words():
+    rng = random.Random(8)
+    for _ in range(300):
+        counts = [rng.choice([1, 2, 5, 9, 19, 20, 30]) for _ in range(rng.randint(1, 9))]
+        text = "\n".join(" ".join(f"l{i}w{j}" for j in range(n)) for i, n in enumerate(counts))
+        bounds = [w[1:3] for w in ld.line_windows(text)]
+        for a, b in itertools.combinations_with_replacement(range(len(counts)), 2):
+            inside = {p for x, y in bounds if a <= x and y <= b for p in range(x, y + 1)}
+            assert inside == (set(range(a, b + 1)) if sum(counts[a : b + 1]) >= 20 else set())

@@ -11,11 +11,14 @@ again. In roles a backslash is doubled and a line break written as backslash n.
 
 Defined cases: null text is empty, null role is the empty role; turns are ordered by turn number (nulls first), ties by
 role and text; rows without conversation id form one conversation; a record that is null, not JSON or of unknown layout
-has `layout` null and no turns; a conversation is one row, as its formatted text is.
+has `layout` null and no turns (so has one with anything behind the object); of a field that stands twice the last counts;
+records are read by the JSON functions on strings, whose limit is that of a string (2 GB); a conversation is one row, as its formatted text is.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .store import columns_clear_of
@@ -23,59 +26,61 @@ from .store import columns_clear_of
 START, END, LOSS_ROLE = "<|im_start|>", "<|im_end|>\n", "assistant"
 TURNS = "array<struct<role:string,text:string>>"
 
-#: Layouts in order of choice: name, field paths a record must have, expression of its turns over the variant `v`.
+#: Layouts in order of choice: name, field paths a record must have, expression of its turns over the record `v` read as RECORD.
 LAYOUTS: list[tuple[str, list[str], str]] = [
     (
         "messages", ["messages[].content", "messages[].role"],
-        "transform(variant_get(v, '$.messages', 'array<struct<role:string,content:string>>'), m -> struct(m.role as role, m.content as text))",
+        "transform(v.messages, m -> struct(m['role'] as role, m['content'] as text))",
     ),
     (
         "from_value", ["conversations[].from", "conversations[].value"],
-        "transform(variant_get(v, '$.conversations', 'array<struct<from:string,value:string>>'), m -> struct("
-        "case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end as role, m.value as text))",
+        "transform(v.conversations, m -> struct("
+        "case m['from'] when 'human' then 'user' when 'gpt' then 'assistant' else m['from'] end as role, m['value'] as text))",
     ),
     (
         "instruction", ["instruction", "output"],
-        "array(struct('user' as role, concat(variant_get(v, '$.instruction', 'string'),"
-        " if(coalesce(try_variant_get(v, '$.input', 'string'), '') = '', '', concat('\\n', try_variant_get(v, '$.input', 'string')))) as text),"
-        " struct('assistant' as role, variant_get(v, '$.output', 'string') as text))",
+        "array(struct('user' as role, concat(v.instruction, if(coalesce(v.input, '') = '', '', concat('\\n', v.input))) as text),"
+        " struct('assistant' as role, v.output as text))",
     ),
     (
         "prompt_response", ["prompt", "response"],
-        "array(struct('user' as role, variant_get(v, '$.prompt', 'string') as text),"
-        " struct('assistant' as role, variant_get(v, '$.response', 'string') as text))",
+        "array(struct('user' as role, v.prompt as text), struct('assistant' as role, v.response as text))",
     ),
     (
         "prompt_completion", ["prompt", "completion"],
-        "array(struct('user' as role, variant_get(v, '$.prompt', 'string') as text),"
-        " struct('assistant' as role, variant_get(v, '$.completion', 'string') as text))",
+        "array(struct('user' as role, v.prompt as text), struct('assistant' as role, v.completion as text))",
     ),
     (
         "question_answer", ["question", "answer"],
-        "array(struct('user' as role, variant_get(v, '$.question', 'string') as text),"
-        " struct('assistant' as role, variant_get(v, '$.answer', 'string') as text))",
+        "array(struct('user' as role, v.question as text), struct('assistant' as role, v.answer as text))",
     ),
 ]
-
-
-def field_paths(v: Column) -> Column:
-    """Sorted nested field paths of a variant, two levels deep and through arrays: `messages[].role`, `prompt`."""
-    # schema_of_variant is one string; an inner OBJECT's fields are taken with the field that holds it
-    schema = F.schema_of_variant(v)
-    body = F.regexp_extract(schema, r"^OBJECT<(.*)>$", 1)
-    inner = r"([^,:<> ]+): ARRAY<OBJECT<([^<>]*)>>"
-    holders = F.regexp_extract_all(body, F.lit(inner), F.lit(1))
-    fields = F.regexp_extract_all(body, F.lit(inner), F.lit(2))
-    nested = F.flatten(
-        F.zip_with(
-            holders, fields,
-            lambda h, f: F.transform(
-                F.regexp_extract_all(f, F.lit(r"([^,:<> ]+): "), F.lit(1)), lambda x: F.concat(h, F.lit("[]."), x)
-            ),
+PATHS = sorted({p for _, needed, _ in LAYOUTS for p in needed})
+LISTS = sorted({p.split("[].")[0] for p in PATHS if "[]." in p})
+#: What is read of a record. Fields of list elements are a map, so further fields of any depth are in no one's way.
+RECORD = ", ".join([*[f"{n} array<map<string,string>>" for n in LISTS], *[f"{p} string" for p in PATHS if "[]." not in p], "input string"])
+NO_LIMIT = {"maxStringLen": str((1 << 31) - 1)}
+
+
+def read_record(record: Column) -> Column:
+    """The record's RECORD fields; null if it isn't one JSON object. Values that are no strings are their JSON text."""
+    # an array of one value: nothing stands behind the object
+    whole = F.json_object_keys(record).isNotNull() & (F.json_array_length(F.concat(F.lit("["), record, F.lit("]"))) == 1)
+    return F.when(whole, F.from_json(record, RECORD, NO_LIMIT))
+
+
+def field_paths(record: Column, v: Column) -> Column:
+    """Those of PATHS that a record (read as v) has, sorted; a field of list elements counts if one of them has it."""
+    nested = [
+        F.flatten(
+            F.transform(
+                F.coalesce(v[n], F.array()), lambda m: F.coalesce(F.transform(F.map_keys(m), lambda k: F.concat(F.lit(f"{n}[]."), k)), F.array())
+            )
         )
-    )
-    flat = F.regexp_extract_all(F.regexp_replace(body, r"<[^<>]*(<[^<>]*>)?[^<>]*>", ""), F.lit(r"([^,:<> ]+): "), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(flat, nested)))
+        for n in LISTS
+    ]
+    named = F.array(*[F.lit(p) for p in PATHS])
+    return F.when(v.isNotNull(), F.array_intersect(named, F.concat(F.json_object_keys(record), *nested)))
 
 
 def canonical_turns(records: DataFrame, record_column: str = "record") -> DataFrame:
@@ -85,10 +90,7 @@ def canonical_turns(records: DataFrame, record_column: str = "record") -> DataFr
     """
     names = columns_clear_of(records, "layout", "turns", "v", "fingerprint", "paths", "known")
     v, fingerprint, paths = names["v"], names["fingerprint"], names["paths"]
-    named = F.array(*[F.lit(p) for p in sorted({p for _, needed, _ in LAYOUTS for p in needed})])
-    parsed = records.withColumn(v, F.try_parse_json(F.col(record_column))).withColumn(
-        paths, F.array_intersect(field_paths(F.col(v)), named)
-    )
+    parsed = records.withColumn(v, read_record(F.col(record_column))).withColumn(paths, field_paths(F.col(record_column), F.col(v)))
     parsed = parsed.withColumn(fingerprint, F.xxhash64(F.col(paths)))
     # one row per fingerprint: its mapping is chosen once, not per record
     choice = F.coalesce(
@@ -104,7 +106,7 @@ def canonical_turns(records: DataFrame, record_column: str = "record") -> DataFr
     joined = parsed.drop(paths).join(F.broadcast(known), F.col(fingerprint) == F.col(names["known"]), "left")
     turns = F.coalesce(
         *[
-            F.when(F.col(names["layout"]) == name, F.expr(how.replace("(v,", f"(`{v}`,"))).cast(TURNS)
+            F.when(F.col(names["layout"]) == name, F.expr(re.sub(r"\bv\.", f"`{v}`.", how))).cast(TURNS)
             for name, _, how in LAYOUTS
         ],
         F.array().cast(TURNS),

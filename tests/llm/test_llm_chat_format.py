@@ -1,5 +1,6 @@
 """Chat formatting: layouts, exact round trip, mask, and the defined cases."""
 
+import hashlib
 import json
 
 from hypothesis import given, settings, strategies as st
@@ -82,3 +83,22 @@ def test_rows_by_turn_order_nulls_and_clashing_names(spark):
 def test_long_conversation(spark):
     turns = [("user" if i % 2 == 0 else "assistant", f"text {i} <|") for i in range(3000)]
     round_trip(spark, [turns])
+
+
+def test_conversation_above_16_mib_whole(spark):
+    rows = spark.range(40).selectExpr(
+        "cast(null as long) as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat(id, repeat(' <|word', 100000)) as text"
+    )
+    texts = rows.unionAll(rows.limit(1).selectExpr("7L", "0L", "'assistant'", "repeat('x', 21000000)"))
+    turned = c.canonical_turns(c.records_of_rows(texts))
+    out = c.format_chats(turned.select("conv_id", "turns"), "conv_id").withColumn("back", c.read_turns(F.col("formatted"))).select(
+        "conv_id", F.size("back").alias("n"), F.length("formatted").alias("chars"), F.size("loss_mask").alias("spans"),
+        F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("/"), t["text"])), ""), 256).alias("digest"),
+        F.length(c.read_masked(F.col("formatted"), F.col("loss_mask"))).alias("masked"),
+    )
+    got = {r.conv_id: r for r in out.collect()}
+    want = hashlib.sha256()
+    for i in range(40):
+        want.update(f"{'assistant' if i % 2 else 'user'}/{i}{' <|word' * 100_000}".encode())
+    assert (got[None].n, got[None].spans, got[None].digest) == (40, 20, want.hexdigest())
+    assert got[None].chars > 16 << 20 and (got[7].n, got[7].spans, got[7].masked) == (1, 1, 21_000_000)

@@ -40,6 +40,25 @@ def test_layouts(spark):
     assert all(got[i] == (None, []) for i in range(8, 13))
 
 
+def test_layouts_with_nested_extra_fields(spark):
+    deep = {"x": {"y": [{"z": 1}, "<:,>"]}}
+    records = [
+        {"messages": [{"role": "user", "content": "a", "meta": deep}, {"role": "assistant", "content": "b", "tool_calls": [{"f": {"g": [1]}}]}]},
+        {"meta": deep, "conversations": [{"from": "human", "value": "q", "meta": [deep]}, {"from": "gpt", "value": "r"}]},
+        {"instruction": "do", "input": "this", "output": "done", "meta": [deep]},
+        {"prompt": "p", "response": "r", "meta": deep},
+        {"prompt": "p", "completion": "c", "meta": deep},
+        {"question": "q", "answer": "a", "meta": deep},
+        {"meta": {"messages": [{"role": "user", "content": "a"}], "prompt": "p", "response": "r"}},
+    ]
+    got = canonical(spark, [json.dumps(r) for r in records] + ['{"prompt": "p", "response": "r"} x'])
+    assert got[0] == ("messages", [("user", "a"), ("assistant", "b")])
+    assert got[1] == ("from_value", [("user", "q"), ("assistant", "r")])
+    assert got[2] == ("instruction", [("user", "do\nthis"), ("assistant", "done")])
+    assert [got[i][0] for i in (3, 4, 5)] == ["prompt_response", "prompt_completion", "question_answer"]
+    assert got[6] == got[7] == (None, [])
+
+
 def round_trip(spark, chats):
     rows = spark.createDataFrame(
         [(i, [{"role": r, "text": t} for r, t in turns]) for i, turns in enumerate(chats)], "id long, turns array<struct<role:string,text:string>>"

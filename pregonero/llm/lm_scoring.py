@@ -4,7 +4,9 @@ Tokens are words (A-Z lower-cased) and one end per text. Counts are taken over a
 predicts the next token's class from the two before it: the WORDS most frequent tokens are classes of their own, all others
 share TAIL_CLASSES classes by their last three bytes. With context vectors r, output vectors q, a diagonal matrix per
 position and a bias, the score of class w after u, v is (c1 * r[v] + c2 * r[u]) . q[w] + b[w]. It is trained in numpy by
-noise-contrastive estimation on about FIT_TOKENS tokens of documents picked by hash (that bound is for the fit only). For
+noise-contrastive estimation on all learning tokens: their classes are written, dealt into ROUNDS slices, and in each round
+the tasks go on from common parameters over their part of a slice; the parameters they arrive at are averaged by tokens. A
+corpus of fewer than STEPS * BATCH tokens is passed over several times. The driver holds parameters only, no text. For
 scoring it is normalised exactly: batched matrix products give the log of the sum over all classes for each pair of context
 classes, once. A tail token's probability is its class's times its share of the class, (c + 0.1) over the class's sum.
 
@@ -41,6 +43,8 @@ FIT_TOKENS = 400_000
 BATCH = 512
 STEPS, MOST_EPOCHS = 3000, 20
 NOISE = 128
+ROUNDS = 8
+PIECE = 1 << 16  # tokens a cell holds
 RATE = 0.15
 SMOOTH = 0.1
 FLUSH = 1 << 19  # distinct words a task holds before it passes its counts on
@@ -76,26 +80,42 @@ def count_tokens(learn: DataFrame) -> DataFrame:
     return stage(learn.mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
 
 
-def train(windows: np.ndarray, n_classes: int, width: int = WIDTH, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
-    """windows: rows of (class two before, class before, class), n_classes standing for the start of a text."""
+def start_state(class_counts: np.ndarray, width: int = WIDTH, seed: int = 7) -> dict[str, np.ndarray]:
+    """Parameters and, under `power_` names, the sums of their squared gradients."""
     rng = np.random.default_rng(seed)
-    counts = np.bincount(windows[:, 2], minlength=n_classes) + 0.5
-    noise = counts / counts.sum()
+    n_classes = len(class_counts)
     p = {
-        "r": rng.normal(0, 0.1, (n_classes + 1, width)), "q": rng.normal(0, 0.1, (n_classes, width)), "b": np.log(noise),
+        "r": rng.normal(0, 0.1, (n_classes + 1, width)), "q": rng.normal(0, 0.1, (n_classes, width)), "b": np.log(class_counts / class_counts.sum()),
         "c1": np.ones(width), "c2": np.full(width, 0.5),
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    power = {k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
+    return p | {f"power_{k}": np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
+
+
+def packed(state: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in state.values()])
+
+
+def spread(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A state again, from its packed values."""
+    parts = np.split(values.astype(np.float32), np.cumsum([v.size for v in like.values()])[:-1])
+    return {k: part.reshape(v.shape) for (k, v), part in zip(like.items(), parts)}
+
+
+def train(windows: np.ndarray, p: dict[str, np.ndarray], class_counts: np.ndarray, passes: int, rng: np.random.Generator) -> None:
+    """Moves the state p on. windows: rows of (class two before, class before, class), n_classes standing for the start of a text."""
+    n_classes = len(class_counts)
+    noise = class_counts / class_counts.sum()
     log_noise = np.log(NOISE * noise).astype(np.float32)
     cumulated = np.cumsum(noise)
 
     def step(name: str, at, gradient: np.ndarray) -> None:
-        power[name][at] += gradient * gradient
-        p[name][at] -= RATE * gradient / np.sqrt(power[name][at])
+        power = p[f"power_{name}"]
+        power[at] += gradient * gradient
+        p[name][at] -= RATE * gradient / np.sqrt(power[at])
 
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for _ in range(min(MOST_EPOCHS, -(-steps * BATCH // len(windows)))):
+    for _ in range(passes):
         order = rng.permutation(len(windows))
         for start in range(0, len(windows), BATCH):
             two, one, word = windows[order[start : start + BATCH]].T
@@ -119,7 +139,50 @@ def train(windows: np.ndarray, n_classes: int, width: int = WIDTH, steps: int =
             step("q", outputs, gradient_q[outputs])
             step("b", outputs, gradient_b[outputs])
             step("r", inputs, gradient_r[inputs])
-    return p
+
+
+def train_everywhere(held: DataFrame, n: int, class_counts: np.ndarray, fit_tokens: int) -> dict[str, np.ndarray]:
+    """held (written): (slice, windows) of all n learning tokens. A task trains on `fit_tokens` at a time."""
+    spark = held.sparkSession
+    state = start_state(class_counts)
+    if not n:
+        return state
+    epochs = min(MOST_EPOCHS, -(-STEPS * BATCH // n))
+    # a corpus of few tokens is one task's, whose steps follow each other
+    dealt = held.coalesce(max(1, n // fit_tokens))
+    for number in range(ROUNDS):
+        given = spark.sparkContext.broadcast((state, class_counts))
+        slices_now = sorted({(number * epochs + k) % ROUNDS for k in range(min(epochs, ROUNDS))})
+
+        def run(batches: Iterator[pa.RecordBatch], given=given, number=number) -> Iterator[pa.RecordBatch]:
+            state, counts = given.value
+            mine = {k: v.copy() for k, v in state.items()}
+            rng = np.random.default_rng([number, TaskContext.get().partitionId()])
+            waiting, n_waiting, seen = [], 0, 0
+
+            def go() -> None:
+                train(np.concatenate(waiting).astype(np.int64), mine, counts, -(-epochs // ROUNDS), rng)
+
+            for batch in batches:
+                for cell in batch.column(0):
+                    waiting.append(np.frombuffer(cell.as_py(), np.int16).reshape(-1, 3))
+                    n_waiting, seen = n_waiting + len(waiting[-1]), seen + len(waiting[-1])
+                    if n_waiting >= fit_tokens:
+                        go()
+                        waiting, n_waiting = [], 0
+            if waiting:
+                go()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([packed(mine).tobytes()], pa.binary())], ["n", "state"])
+
+        now = dealt.filter(F.col("slice").isin(slices_now)).select("windows")
+        total, weight = 0.0, 0
+        for seen, values in stage(now.mapInArrow(run, "n long, state binary"), "lm-states").toLocalIterator():
+            total, weight = total + seen * np.frombuffer(values, np.float32).astype(np.float64), weight + seen
+        if weight:
+            state = spread(total / weight, state)
+        given.unpersist()
+    return state
 
 
 def log_sums(p: dict[str, np.ndarray], before: int) -> np.ndarray:
@@ -196,19 +259,24 @@ def fit(learn: DataFrame, words: int = WORDS, head: int = HEAD, fit_tokens: int
     for k, s in counts.filter(~F.col("token").isin(own)).groupBy(kind).agg(F.sum(F.col("c") + SMOOTH)).collect():
         sums[k] += s
     lookup = Lookup(rows, words, sums)
-    share = min(1.0, fit_tokens / max(n, 1))
-    picked = learn.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("text")
+    class_counts = np.concatenate((np.zeros(words), sums - SMOOTH)) + 0.5
+    class_counts[: len(own)] += [c for _, c in rows[:words]]
     shared = shipped(spark, lookup)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = unpacked(Lookup, shared)
-        for batch in batches:
-            found = [known.windows(known.read(t.as_py())[1]).astype(np.int16).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["windows"])
-
-    seen = b"".join(r[0] for r in picked.mapInArrow(windows, "windows binary").toLocalIterator())
-    sample = np.frombuffer(seen, np.int16).reshape(-1, 3).astype(np.int64)
-    p = train(sample if len(sample) else np.full((1, 3), lookup.n_classes - 1), lookup.n_classes)
+        for batch in slices(batches, 64):
+            cells = []
+            for text in batch.column(0):
+                found = known.windows(known.read(text.as_py())[1]).astype(np.int16)
+                cells += [found[at : at + PIECE].tobytes() for at in range(0, len(found), PIECE)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([zlib.crc32(c) % ROUNDS for c in cells], pa.int32()), pa.array(cells, pa.binary())], ["slice", "windows"]
+            )
+
+    held = stage(learn.select("text").mapInArrow(windows, "slice int, windows binary"), "lm-windows")
+    p = train_everywhere(held, n, class_counts, fit_tokens)
+    p = {k: v for k, v in p.items() if not k.startswith("power_")}
     given = spark.sparkContext.broadcast(p)
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,3 +82,18 @@ def test_nothing_to_learn_from_long_text_and_no_rows(spark):
     row = lm.score(spark.createDataFrame([(1, "some words " * 40_000)], "id long, text string"), model).first()
     assert (row.n_tokens, row.n_known) == (80_001, 0) and math.isfinite(row.score) and math.isfinite(row.base_score)
     assert lm.score(empty, model).count() == 0
+
+
+def test_all_tokens_train_the_model_whatever_the_size(spark, monkeypatch):
+    rows = [(i, f"p{i} q{i} r{i}") for i in range(300)] + [(1000 + i, t) for i, t in corpus(3, 100)]
+    seen = spark.sparkContext.accumulator(0)
+    plain = lm.train
+
+    def counted(windows, *rest):
+        seen.add(len(windows))
+        return plain(windows, *rest)
+
+    monkeypatch.setattr(lm, "train", counted)
+    monkeypatch.setattr(lm, "STEPS", 1)  # one pass
+    model = lm.fit(spark.createDataFrame(rows, "id long, text string").repartition(4), words=40, head=50, fit_tokens=300)
+    assert model.n > 4 * 300 and seen.value == model.n

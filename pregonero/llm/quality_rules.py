@@ -6,7 +6,7 @@ A line with a word fails if it is
 * shouting: at least 3 words, and 70 % of 10 or more cased letters are capitals;
 * exclamation: at least 3 words, and half of its words or more end in `!`;
 * a repeat: at least 5 words, and its commonest word makes up over half of them, or a third of them or more equal the word before;
-* boilerplate: one of the fixed phrases of script, cookie and navigation notices;
+* boilerplate: a fixed phrase of script, cookie and navigation notices, on word boundaries, in a line of at most `SHORT_LINE` words;
 * unpunctuated: at least `long_line` words with no `.`, `!`, `?`, `:`, `;`, `,` or closing quote anywhere.
 Lines without a word are kept and count for nothing. A document is rejected if its base check fails (fewer than 10 words,
 or over 20 % of its words in 5-word windows found twice or more), or if failing lines hold more than `most_lost` of its
@@ -18,6 +18,7 @@ repeated rows, null ids and clashing names of further columns change nothing. An
 
 from __future__ import annotations
 
+import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ SYMBOLS = b"#*$%&|<>"
 SEPARATORS = "|»›·"
 MOST_LOST = 0.3
 LONG_LINE = 40
+SHORT_LINE = 12
 WINDOW = 5
 
 # Phrases of boilerplate lines, in lower case.
@@ -44,6 +46,7 @@ BOILERPLATE = (
     "terms of use", "terms of service", "all rights reserved", "skip to content", "read more", "sign in", "log in", "click here",
     "lorem ipsum",
 )
+PHRASE = re.compile(rf"(?<!\w)(?:{'|'.join(BOILERPLATE)})(?!\w)")
 
 FIELDS = [
     ("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()),
@@ -73,8 +76,7 @@ def line_fault(line: str, words: list[bytes], long_line: int = LONG_LINE) -> str
             return "exclamation"
     if n >= 5 and (2 * Counter(words).most_common(1)[0][1] > n or 3 * sum(map(bytes.__eq__, words, words[1:])) >= n):
         return "repeat"
-    low = line.lower()
-    if any(p in low for p in BOILERPLATE):
+    if n <= SHORT_LINE and PHRASE.search(line.lower()):
         return "boilerplate"
     if n >= long_line and not any(c in line for c in ".!?:;,”»"):
         return "unpunctuated"

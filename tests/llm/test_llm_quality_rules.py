@@ -65,3 +65,12 @@ def test_columns_nulls_repeated_rows_and_empty_tables(spark):
     cleaned = q.clean(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == 2
     assert q.apply_rules(docs.limit(0)).count() == 0
+
+
+def test_boilerplate_needs_whole_words_and_a_short_line():
+    prose = " ".join(f"word{i}," for i in range(500)) + " where one can read more of the privacy policy. " + "And so on it goes. " * 3
+    for line in ("We show the design in blue.", "They assign in turn.", "A blog in French.", "The catalog in print.", "A dialog in two parts.", prose):
+        assert q.line_fault(line, line.encode().split()) is None, line
+    for line in ("Sign in", "Log in | Read more", "(c) All rights reserved.", "Please read our Privacy Policy here."):
+        assert q.line_fault(line, line.encode().split()) == "boilerplate", line
+    assert q.judge_text(prose)[6] and q.judge_text(prose)[-1] == prose

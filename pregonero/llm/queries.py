@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash, url_filters
-from .store import table
+from . import (
+    chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash, token_files, url_filters,
+)
+from ..session import work_dir
+from .store import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -239,3 +242,20 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 )
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the files are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "token-files")
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        token_files.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path, f.read())
+    back = token_files.read_ids(spark, path, table(spark, sf_dir, "documents").schema["doc_id"].dataType)
+    digests = stage(back.select("doc_id", "shard", "before", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-digests")
+    return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash, token_files, url_filters,
+    chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, quality_rules, ranked_search, secret_scan, simhash,
+    token_alignment, token_files, url_filters,
 )
 from ..session import work_dir
 from .store import stage, table
@@ -244,6 +245,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@query(
+    """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+t AS (SELECT q, term, count(*) AS repeats FROM (SELECT q, unnest(w) AS term FROM i) GROUP BY q, term),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY r, term),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s GROUP BY term, n_docs),
+g AS (
+  SELECT p.r, p.term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(d.w) * n_docs) // n_terms))) AS gain
+  FROM p JOIN f USING (term) JOIN d USING (r), s),
+x AS (SELECT q, r, sum(gain * repeats)::BIGINT AS score FROM t JOIN g USING (term) GROUP BY q, r HAVING sum(gain * repeats) > 0),
+o AS (SELECT q, r, d.doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d.doc_id, r) AS place FROM x JOIN d USING (r))
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM o JOIN i USING (q) WHERE place <= 20
+"""
+)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file; the files are not part of this repository."""
     import public_tokenizers
@@ -259,3 +287,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_files.read_ids(spark, path, table(spark, sf_dir, "documents").schema["doc_id"].dataType)
     digests = stage(back.select("doc_id", "shard", "before", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-digests")
     return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as a, open(vocabulary("piece_bpe_32k.model"), "rb") as b:
+        aligned = token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a.read(), b.read())
+    return token_alignment.link_counts(aligned).select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )

@@ -2,19 +2,21 @@
 
 A text is cut at single spaces between two printed characters. Neither kind of tokenizer joins anything over such a place:
 a byte-level pre-tokenizer starts a new word there, and no piece of a sentence-piece vocabulary holds a space after another
-character (`SentencePieces` looks it up and cuts nothing where one does). So the library sees a piece once
-as long as it is in the worker's cache, and a text's ids are its pieces' ids in a row. A full cache is emptied.
+character (both classes look at their files and cut nothing where that isn't so). So the library sees a piece once as long as
+it is in the worker's cache, and a text's ids are its pieces' ids in a row. A full cache is emptied.
 
 Tokenizer files are read on the driver, by a path given, and sent as text or bytes; their size is that of one vocabulary.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import cloudpickle
@@ -23,7 +25,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Characters that are no white space by any definition; a space between two of them is a place to cut.
 CUT = re.compile("(?<=[!-~¡-ᙿ]) (?=[!-~¡-ᙿ])")
-CACHED_PIECES = 1_000_000
+#: Letters that all versions of Unicode know, and a mark that is no part of a word.
+MARKS = ".,;:!?"
+WORD = re.compile(f"([A-Za-zÀ-ÖØ-öø-ɏ]+)([{MARKS}]?)")
+CACHED_PIECES = 600_000
 SPACE_MARK = "▁"
 
 
@@ -37,16 +42,46 @@ def byte_level_bytes() -> dict[str, int]:
 class ByteLevel:
     """A byte-level BPE of the tokenizers library, in a task."""
 
+    adds_space = False
+
     def __init__(self, json_text: str, specials_are_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json_text)
+        said = json.loads(json_text)
+        before, added = said["pre_tokenizer"] or {}, [t["content"] for t in said["added_tokens"]]
+        self.cuts = (
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and not said["normalizer"]
+            and said["model"]["type"] == "BPE" and not any(" " in t or WORD.fullmatch(t) for t in added)
+        )
+        # one byte is one character of the alphabet and a token of its own
+        self.alphabet = {b: c for c, b in byte_level_bytes().items()}
+        self.marks = {m: array("I", [self.tokenizer.token_to_id(m)] if m else []).tobytes() for m in ("", *MARKS)} if self.cuts else {}
         self.tokenizer.encode_special_tokens = specials_are_text
         self.name = f"bytes-{zlib.crc32(json_text.encode())}-{specials_are_text}"
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str], known: dict[str, bytes | None]) -> None:
+        """Ids of pieces after a space. Letters, and a mark after them, are pre-tokens of their own: the library's model
+        gets the letters as they are."""
+        others, model, start = [], self.tokenizer.model, self.alphabet[0x20]
+        for piece in pieces:
+            found = WORD.fullmatch(piece)
+            if not found:
+                others.append(piece)
+                continue
+            word, mark = found.groups()
+            ids = known.get(word)
+            if ids is None:
+                letters = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+                known[word] = ids = array("I", [t.id for t in model.tokenize(start + letters)]).tobytes()
+            if mark:
+                known[piece] = ids + self.marks[mark]
+        for piece, ids in zip(others, self.encode([" " + p for p in others])):
+            known[piece] = array("I", ids).tobytes()
 
     def token_bytes(self) -> list[bytes]:
         alphabet, vocabulary = byte_level_bytes(), self.tokenizer.get_vocab()
@@ -59,6 +94,8 @@ class ByteLevel:
 class SentencePieces:
     """A sentence-piece model with byte fallback, in a task. The model adds the space before a text itself."""
 
+    adds_space = True
+
     def __init__(self, model: bytes):
         import sentencepiece
 
@@ -70,6 +107,11 @@ class SentencePieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
+    def learn(self, pieces: list[str], known: dict[str, bytes | None]) -> None:
+        """Ids of pieces after a space, which the model adds."""
+        for piece, ids in zip(pieces, self.encode(pieces)):
+            known[piece] = array("I", ids).tobytes()
+
     def token_bytes(self) -> list[bytes]:
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         return [
@@ -83,16 +125,17 @@ def printed(c: str) -> bool:
 
 
 class PieceCache:
-    """Ids of texts' pieces as little-endian 32-bit numbers; what a worker process learnt serves its next tasks too.
+    """Ids of texts' pieces as 32-bit numbers; what a worker process learnt serves its next tasks too.
 
-    spaced: pieces but the first are given to the library with the space before them.
+    after_space: texts are encoded as if a space stood before them.
     """
 
-    def __init__(self, library: ByteLevel | SentencePieces, spaced: bool, most: int = CACHED_PIECES):
-        self.library, self.spaced, self.most = library, spaced, most
+    def __init__(self, library: ByteLevel | SentencePieces, after_space: bool, most: int = CACHED_PIECES):
+        self.library, self.lead, self.most = library, after_space, most
+        self.space = "" if library.adds_space else " "
         kept = sys.modules.setdefault("pregonero_kept_pieces", types.ModuleType("pregonero_kept_pieces"))
-        self.known: dict[str, bytes | None] = vars(kept).setdefault(f"{library.name}-{spaced}", {})
-        self.cuts = getattr(library, "cuts", True)
+        self.known: dict[str, bytes | None] = vars(kept).setdefault(library.name, {})
+        self.cuts = library.cuts
 
     def learn(self, pieces: set[str]) -> None:
         """Makes all of these known; None for those that must not be cut off at a space."""
@@ -103,16 +146,15 @@ class PieceCache:
         for at in range(0, len(new), 10_000):
             part = [p for p in new[at : at + 10_000] if p and printed(p[0]) and printed(p[-1])]
             self.known.update(dict.fromkeys(new[at : at + 10_000]))
-            for piece, ids in zip(part, self.library.encode([" " + p for p in part] if self.spaced else part)):
-                self.known[piece] = np.array(ids, "<u4").tobytes()
+            self.library.learn(part, self.known)
 
     def _alone(self, text: str) -> bytes:
         """Ids of a text with other white space next to spaces."""
         pieces = CUT.split(text) if self.cuts else [text]
-        ends = self.library.encode([pieces[0], *[(" " if self.spaced else "") + p for p in pieces[1:][-1:]]])
+        first, *last = self.library.encode([(self.space if self.lead else "") + pieces[0], *[self.space + p for p in pieces[1:][-1:]]])
         self.learn(set(pieces[1:-1]))
         inner = b"".join(map(self.known.__getitem__, pieces[1:-1]))
-        return np.array(ends[0], "<u4").tobytes() + inner + (np.array(ends[1], "<u4").tobytes() if len(pieces) > 1 else b"")
+        return array("I", first).tobytes() + inner + b"".join(array("I", ids).tobytes() for ids in last)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -123,16 +165,18 @@ class PieceCache:
             # as many texts as the cache can hold the pieces of, at least one
             pieces, upto = set(), at
             while upto < len(texts) and (upto == at or len(pieces) + len(split[upto]) <= self.most):
-                pieces.update(split[upto][1:])
+                pieces.update(split[upto])
                 upto += 1
             self.learn(pieces)
-            firsts = self.library.encode([s[0] for s in split[at:upto]])
+            get = self.known.__getitem__
+            # without a space before it the first piece is not one of the others
+            firsts = [[]] * (upto - at) if self.lead else self.library.encode([s[0] for s in split[at:upto]])
             for row, first in enumerate(firsts, at):
                 words = split[row]
-                if len(words) == 1 or printed(words[0][-1:]):
+                if self.lead or len(words) == 1 or printed(words[0][-1:]):
                     try:
-                        out[row] = np.array(first, "<u4").tobytes() + b"".join(map(self.known.__getitem__, words[1:]))
+                        out[row] = array("I", first).tobytes() + b"".join(map(get, words if self.lead else words[1:]))
                     except TypeError:  # a piece that is not known alone
                         pass
             at = upto
-        return [np.frombuffer(self._alone(t) if o is None else o, "<u4") for t, o in zip(texts, out)]
+        return [np.frombuffer(self._alone(t) if o is None else o, np.uint32) for t, o in zip(texts, out)]

@@ -36,7 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A pair is A id * SHIFT + B id.
 SHIFT = 1 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+CACHED_PIECES = 300_000
 #: Groups with more links are counted by distinct ids.
 WIDE = 4096
 MOST_FREQUENT = 200_000
@@ -100,7 +101,7 @@ class Vocabularies:
 
     def __init__(self, a_json: str, b_model: bytes):
         a, b = bpe.ByteLevel(a_json, specials_are_text=True), bpe.SentencePieces(b_model)
-        self.caches = bpe.PieceCache(a, spaced=True, most=bpe.CACHED_PIECES // 2), bpe.PieceCache(b, spaced=False, most=bpe.CACHED_PIECES // 2)
+        self.caches = bpe.PieceCache(a, after_space=True, most=CACHED_PIECES), bpe.PieceCache(b, after_space=True, most=CACHED_PIECES)
         self.bytes = a.token_bytes(), b.token_bytes()
         self.lengths = [np.array([len(t) for t in tokens]) for tokens in self.bytes]
         # what follows an id: another of its kind in the group, or the group's next part
@@ -110,7 +111,7 @@ class Vocabularies:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both tokenizers; none where the bytes differ from space + text."""
-        a, b = self.caches[0].ids([" " + t for t in texts]), self.caches[1].ids(texts)
+        a, b = self.caches[0].ids(texts), self.caches[1].ids(texts)
         none = np.empty(0, np.uint32)
         for k, text in enumerate(texts):
             whole = b" " + text.encode()

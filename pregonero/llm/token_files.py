@@ -114,7 +114,7 @@ def write_ids(
     ordered = ordered.withColumn("place", F.monotonically_increasing_id()).orderBy(F.col("id").asc_nulls_first(), "tie", "place")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = bpe.PieceCache(bpe.ByteLevel(tokenizer_json), spaced=True)
+        cache = bpe.PieceCache(bpe.ByteLevel(tokenizer_json), after_space=False)
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         ids, tokens, held = [], [], 0
 

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
 
@@ -15,6 +16,7 @@ from pregonero.llm import bpe, context_coder, token_files
 from pregonero.llm.queries import QUERIES, vocabulary
 
 JSON = open(vocabulary("byte_bpe_50k.json"), encoding="utf-8").read()
+MODEL = open(vocabulary("piece_bpe_32k.model"), "rb").read()
 TEXTS = [
     None, "", " ", "  ", "\n", "one", " one", "one ", "one two", "one  two", "one \n two", "a\n b", "a \nb", "a\tb c", "x   y z  ", "it's 12 o'clock, don't",
     "<|endoftext|>", "say <|endoftext|> now", "say<|endoftext|>now x", "ß ñ é ü ö", "日本 語 の テキスト", "a b c　d e", "  x   y", "emoji 😀 😀x 😀",
@@ -25,11 +27,16 @@ TEXTS = [
 def test_pieces_give_the_ids_of_whole_texts():
     rng = random.Random(1)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(["a", "Bc", " ", " ", "\n", ".", "'s", "\t", "é", " ", "9"]) for _ in range(rng.randrange(60))) for _ in range(3000)]
-    plain = Tokenizer.from_str(JSON)
+    plain, pieces = Tokenizer.from_str(JSON), sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     for most in (5, 1_000_000):
-        cache = bpe.PieceCache(bpe.ByteLevel(JSON), spaced=True, most=most)
-        cache.known.clear()
-        assert [i.tolist() for i in cache.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        for before in ("", " "):
+            cache = bpe.PieceCache(bpe.ByteLevel(JSON), after_space=before == " ", most=most)
+            cache.known.clear()
+            wanted = [plain.encode(before + t, add_special_tokens=False).ids if before + t != " " else [220] for t in texts]
+            assert [i.tolist() for i in cache.ids(texts)] == [w if before + t else [] for w, t in zip(wanted, texts)]
+            cache = bpe.PieceCache(bpe.SentencePieces(MODEL), after_space=True, most=most)
+            cache.known.clear()
+            assert [i.tolist() for i in cache.ids(texts)] == pieces.encode(texts)
 
 
 @pytest.mark.parametrize("n", [1, 2, 511, 512, 513, 5000])

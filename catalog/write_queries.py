@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pregonero.functions.jsons import build
-from pregonero.operators import backfill, gazette, joins, upsert
+from pregonero.operators import backfill, changes, gazette, joins, upsert
 from pregonero.plans import quality
 from pregonero.schema import TENDER, conform
 from pregonero.session import work_dir
@@ -152,29 +152,47 @@ register(
     FROM (SELECT id, estado, {BATCH_NUMBER} AS numero, id % 4000 % 5 = 0 AS en_tabla FROM tenders WHERE id % 97 <> 0) x GROUP BY 1, 2, en_tabla""",
     "tenders",
 )
-def upserted_table(spark, sf):
-    """The same upsert on a stored table: buckets rewritten, rows of other sources and rows without hash left alone."""
-    path = work_dir(spark, "table")
-    others = conform(tenders(spark, sf).filter("fuente <> 'DOF'"))
-    upsert.append_rows(stored_table(spark, sf).withColumns({"titulo": F.lit("viejo"), "municipio": F.lit("viejo")}).unionByName(others), path)
-    changed = batch(spark, sf).filter("id % 97 <> 0").withColumns({
+def changed_rows(spark, sf):
+    return batch(spark, sf).filter("id % 97 <> 0").withColumns({
         "municipio": F.concat(F.lit("m"), F.col("id").cast("string")), "titulo": F.concat(F.lit("t"), F.col("id").cast("string")),
         "hash_contenido": F.when(F.col("id") % 89 != 0, F.col("hash_contenido")),
     })
-    upsert.upsert_table(changed, path)
+
+
+def table_to_change(spark, sf):
+    path = work_dir(spark, "table")
+    others = conform(tenders(spark, sf).filter("fuente <> 'DOF'"))
+    upsert.append_rows(stored_table(spark, sf).withColumns({"titulo": F.lit("viejo"), "municipio": F.lit("viejo")}).unionByName(others), path)
+    return path
+
+
+def upserted_table(spark, sf):
+    """The same upsert on a stored table: buckets rewritten, rows of other sources and rows without hash left alone."""
+    path = table_to_change(spark, sf)
+    upsert.upsert_table(changed_rows(spark, sf), path)
     return upsert.read_table(spark, path)
 
 
-register(
-    "u2_upsert_stored_table",
-    lambda spark, sf: upserted_table(spark, sf).select("numero_procedimiento", "entidad_compradora", "fuente", "titulo", "municipio"),
-    f"""WITH b AS (SELECT id, estado, {BATCH_SOURCE} AS origen, {BATCH_NUMBER} AS numero, id % 4000 % 5 = 0 AS en_tabla FROM tenders WHERE id % 97 <> 0),
+def upserted_in_batches(spark, sf, folded=False):
+    """The same again in three batches that are merged when the table is read, or written into it."""
+    path, rows = table_to_change(spark, sf), changed_rows(spark, sf)
+    last = rows.agg(F.max("id")).first()[0]
+    for k in range(3):
+        changes.append_upsert(rows.filter((F.col("id") > last * k // 3) & (F.col("id") <= last * (k + 1) // 3)), path)
+    if folded:
+        changes.fold(spark, path)
+    return upsert.read_table(spark, path)
+
+
+UPSERTED = ["numero_procedimiento", "entidad_compradora", "fuente", "titulo", "municipio"]
+UPSERTED_SQL = f"""WITH b AS (SELECT id, estado, {BATCH_SOURCE} AS origen, {BATCH_NUMBER} AS numero, id % 4000 % 5 = 0 AS en_tabla FROM tenders WHERE id % 97 <> 0),
     k AS (SELECT numero, estado, en_tabla, origen, MIN(id) FILTER (WHERE id % 89 <> 0) AS primero, MAX(id) FILTER (WHERE id % 89 <> 0) AS ultimo FROM b GROUP BY 1, 2, 3, 4)
     SELECT numero AS numero_procedimiento, estado AS entidad_compradora, origen AS fuente, CASE WHEN en_tabla THEN 'viejo' ELSE 't' || CAST(primero AS VARCHAR) END AS titulo,
     CASE WHEN ultimo IS NULL THEN 'viejo' ELSE 'm' || CAST(ultimo AS VARCHAR) END AS municipio FROM k WHERE en_tabla OR primero IS NOT NULL
-    UNION ALL SELECT numero_procedimiento, entidad_compradora, fuente, titulo, municipio FROM tenders WHERE fuente <> 'DOF'""",
-    "tenders",
-)
+    UNION ALL SELECT numero_procedimiento, entidad_compradora, fuente, titulo, municipio FROM tenders WHERE fuente <> 'DOF'"""
+register("u2_upsert_stored_table", lambda spark, sf: upserted_table(spark, sf).select(*UPSERTED), UPSERTED_SQL, "tenders")
+register("u2_merge_on_read_three_batches", lambda spark, sf: upserted_in_batches(spark, sf).select(*UPSERTED), UPSERTED_SQL, "tenders")
+register("u2_changes_folded", lambda spark, sf: upserted_in_batches(spark, sf, folded=True).select(*UPSERTED), UPSERTED_SQL, "tenders")
 register(
     "a28_load_counters",
     lambda spark, sf: quality.success_rate(upsert.upsert_counts(upserted(spark, sf)).withColumn("duplicadas", F.lit(0))),

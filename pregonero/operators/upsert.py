@@ -1,7 +1,7 @@
 """Insert-if-absent, upsert, update and delete on the tender table.
 
-The table is Parquet partitioned by source and by bucket of the content key, so a batch reads and rewrites only the
-buckets its keys fall into.
+The table is Parquet partitioned by source and by bucket of the content key. Inserts append. Updates come in two ways: merged
+on read (`changes`: a batch writes its own rows only), or by rewriting the buckets its keys fall into (`upsert_table`).
 """
 
 from __future__ import annotations
@@ -16,20 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions.jsons import merge
 from ..schema import COLUMNS, TENDER, conform
 from ..session import drop_dir, hadoop_path, work_dir, written
+from . import changes
+from .changes import BUCKET, REFRESHED, bucket
 from .components import connected
 
-BUCKET = "cubo"
-#: Buckets per source; the same for all writers of a table.
-BUCKETS = 16
 # Functions of this module run inside tasks; sent by value they need no installation on the executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TRIPLE = ["numero_procedimiento", "entidad_compradora", "fuente"]
-# The columns an upsert refreshes.
-REFRESHED = [
-    "entidad_federativa", "municipio", "datos_especificos", "fecha_publicacion", "fecha_apertura", "fecha_fallo",
-    "fecha_junta_aclaraciones",
-]
 INSERTED, DUPLICATE, ERROR, REJECTED = "insertado", "duplicado", "error", "rechazado"
 
 
@@ -37,11 +31,6 @@ def _triple() -> list[Column]:
     return [F.coalesce(F.col(c), F.lit("")).alias(c) for c in TRIPLE]
 
 
-def bucket(buckets: int = BUCKETS) -> Column:
-    """The bucket of a row's key; rows without key are in bucket 0."""
-    return F.when(F.col("hash_contenido").isNull(), 0).otherwise(F.pmod(F.xxhash64("hash_contenido"), F.lit(buckets))).cast("int")
-
-
 def reject_reason() -> Column:
     """Why a row can't be stored, null if it can."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
@@ -158,8 +147,10 @@ def create_table(spark: SparkSession, path: str) -> None:
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    """The table with its bucket column."""
-    return spark.read.schema(T.StructType([*TENDER.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
+    """The table with its bucket column; changes not folded yet are merged."""
+    base = spark.read.schema(T.StructType([*TENDER.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
+    waiting = changes.pending(spark, path)
+    return base if waiting is None else changes.merged(base.select(*COLUMNS), waiting).withColumn(BUCKET, bucket())
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -254,6 +245,7 @@ def upsert_table(batch: DataFrame, path: str, order: str = "_ord") -> DataFrame:
     """Upsert into the stored table. Only the buckets the batch's keys fall into are read and rewritten; the new content
     is staged in the shared folder first, so no plan reads and overwrites the same files."""
     spark = batch.sparkSession
+    changes.fold(spark, path)
     batch = batch.filter("hash_contenido is not null")
     table = stored(spark, path).filter(touched(batch)).select(*COLUMNS)
     result = written(upsert(table, batch, order), "upsert")
@@ -269,6 +261,7 @@ def replace_buckets(rows: DataFrame, path: str) -> None:
 def replace_sources(rows: DataFrame, path: str) -> None:
     """Overwrites the sources present in `rows`, leaving the others. Buckets that a source no longer has go."""
     spark = rows.sparkSession
+    changes.fold(spark, path)
     replace_buckets(rows, path)
     kept: dict[str, set[str]] = {}
     for source, number in conform(rows).select("fuente", bucket().alias("n")).distinct().collect():
@@ -282,7 +275,8 @@ def replace_sources(rows: DataFrame, path: str) -> None:
 
 
 def compact(spark: SparkSession, path: str, source: str) -> None:
-    """Rewrites a source's buckets, each into as few files as its size asks for."""
+    """Folds the changes and rewrites a source's buckets, each into as few files as its size asks for."""
+    changes.fold(spark, path)
     replace_buckets(written(read_table(spark, path).filter(F.col("fuente") == source), "compact"), path)
 
 
@@ -316,6 +310,7 @@ def delete_rows(table: DataFrame, predicate: Column) -> DataFrame:
 
 def delete_source(spark: SparkSession, path: str, source: str) -> None:
     """Removes all rows of one source by dropping its partition folder."""
+    changes.fold(spark, path)
     drop_dir(spark, f"{path}/fuente={source}")
 
 

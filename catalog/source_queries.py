@@ -17,7 +17,7 @@ from pregonero.operators import backfill, gazette, joins
 from pregonero.operators.backfill import finish
 from pregonero.schema import COLUMNS, conform
 from pregonero.session import work_dir
-from pregonero.sources import files, ocds, portal, rejects, sinks, sites
+from pregonero.sources import csv_ranges, files, ocds, portal, rejects, sinks, sites
 from pregonero.sources.registry import SOURCES
 
 from .inputs import AS_OF, iso, table, text_agg, view
@@ -193,12 +193,24 @@ CSV_NAMES = {
 }
 
 
-def ocds_csv(spark, sf):
-    """The rows written as CSV with slash-path headers and read back."""
+def ocds_csv_folder(spark, sf):
+    """The rows written as CSV with slash-path headers."""
     path = work_dir(spark, "ocds")
     rows = view(spark, sf, "ocds").select(*[F.col(c).alias(h) for c, h in CSV_NAMES.items()])
     rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return ocds.read_csv(spark, path)
+    return path
+
+
+def ocds_csv(spark, sf):
+    return ocds.read_csv(spark, ocds_csv_folder(spark, sf))
+
+
+def broken_cells(spark, sf):
+    """One file whose cells hold line breaks, doubled quotes and commas, read by ranges."""
+    path = work_dir(spark, "ocds")
+    rows = view(spark, sf, "ocds").select("k", "ocid", F.concat(F.lit('say "'), "tender_title", F.lit('",\n"x"\n'), "buyer").alias("texto"))
+    rows.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return csv_ranges.read_csv(spark, path)
 
 
 register(
@@ -209,6 +221,20 @@ register(
     "SELECT " + ", ".join(CSV_NAMES) + " FROM ocds",
     "ocds",
 )
+register(
+    "s4_csv_ranges",
+    lambda spark, sf: csv_ranges.read_csv(spark, ocds_csv_folder(spark, sf)).select(
+        *[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(c) for c, h in CSV_NAMES.items()]
+    ),
+    "SELECT " + ", ".join(CSV_NAMES) + " FROM ocds",
+    "ocds",
+)
+register(
+    "s4_csv_ranges_with_line_breaks",
+    lambda spark, sf: broken_cells(spark, sf).select(F.col("k").cast("long").alias("k"), "ocid", "texto"),
+    """SELECT k, ocid, 'say "' || tender_title || '",' || chr(10) || '"x"' || chr(10) || buyer AS texto FROM ocds""",
+    "ocds",
+)
 register(
     "n4_ocds_csv_normalise",
     lambda spark, sf: plain(

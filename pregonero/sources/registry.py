@@ -12,7 +12,7 @@ from ..operators import gazette
 from ..operators.backfill import finish
 from ..operators.upsert import stage
 from ..schema import conform
-from . import ocds, portal, rejects, sites
+from . import csv_ranges, ocds, portal, rejects, sites
 from .files import documents, listing, prefer_improved
 
 Read = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,7 @@ def _zip_rejects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _csv_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return rejects.csv_rejects(ocds.read_csv(spark, path).select("*", F.col("_metadata.file_name").alias("file_name")))
+    return rejects.csv_rejects(csv_ranges.read_csv(spark, path, file_name=True))
 
 
 SOURCES: dict[str, Source] = {
@@ -65,7 +65,7 @@ SOURCES: dict[str, Source] = {
     "dof_texto": Source(
         lambda spark, path: gazette.read_pages(spark, path, F.current_date(), "*.txt"), _normalise_gazette_text
     ),
-    "tianguis": Source(ocds.read_csv, ocds.normalise_csv, _csv_rejects),
+    "tianguis": Source(csv_ranges.read_csv, ocds.normalise_csv, _csv_rejects),
     "zip": Source(
         lambda spark, path: ocds.releases(ocds.unzip(ocds.read_zips(spark, path))),
         lambda df, _: ocds.normalise_releases(df),

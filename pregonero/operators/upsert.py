@@ -6,22 +6,15 @@ on read (`changes`: a batch writes its own rows only), or by rewriting the bucke
 
 from __future__ import annotations
 
-import sys
 from functools import reduce
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.jsons import merge
 from ..schema import COLUMNS, TENDER, conform
 from ..session import drop_dir, hadoop_path, work_dir, written
 from . import changes
 from .changes import BUCKET, REFRESHED, bucket
-from .components import connected
-
-# Functions of this module run inside tasks; sent by value they need no installation on the executors.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TRIPLE = ["numero_procedimiento", "entidad_compradora", "fuente"]
 INSERTED, DUPLICATE, ERROR, REJECTED = "insertado", "duplicado", "error", "rechazado"
@@ -41,57 +34,70 @@ def reject_reason() -> Column:
     )
 
 
-def _first_of_each(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one component in order: those whose hash and triple no accepted row has."""
-    hashes, triples, kept = set(), set(), []
-    for root, n, h, t in rows.sort_values("n").itertuples(index=False):
-        if h not in hashes and t not in triples:
-            hashes.add(h)
-            triples.add(t)
-            kept.append((root, n))
-    return pd.DataFrame(kept, columns=["root", "n"])
+def _chained(links: DataFrame, below: str) -> DataFrame:
+    """(o, parent, odd): each row's link replaced by one to the first of its chain, with the parity of the way there. The
+    ways double with each round."""
+    while True:
+        up = links.select(F.col("o").alias("at"), F.col("parent").alias("next"), F.col("odd").alias("more"))
+        met = links.join(up, F.col("parent") == F.col("at"), "left")
+        links = written(
+            met.select(
+                "o", F.coalesce("next", "parent").alias("parent"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"),
+                F.col("next").isNotNull().alias("moved"),
+            ),
+            "links", below,
+        )
+        if links.filter("moved").isEmpty():
+            return links.drop("moved")
+        links = links.drop("moved")
 
 
 def _accepted(racing: DataFrame, below: str) -> DataFrame:
     """(o, h, t): the rows that inserting in order o with unique h and unique t lets in.
 
-    Of rows equal in both keys only the first can win. If all rows of a triple have hashes of their own, or all rows of a
-    hash triples of their own, the first wins and the others lose. What is left, rows that conflict on both sides, is
-    grouped into connected components, and each component is settled in order.
+    Of rows equal in both keys only the first can win. In rounds: a row that is first in both of its groups wins. A row with
+    one earlier rival, the first of one group, wins if that one loses; such rows form chains, and every row of a chain whose
+    first row wins is settled by the parity of its distance. What shares a key with a winner is out, and the rest goes on.
+    A group is only asked for its first two rows, by aggregates that fold per task, so a key that many rows hold is no
+    task's burden.
     """
-    folded = written(racing.groupBy("h", "t").agg(F.min("o").alias("o")), "folded", below)
-    degrees = folded.join(folded.groupBy("h").agg(F.count("*").alias("triples")), "h").join(
-        folded.groupBy("t").agg(F.count("*").alias("hashes")), "t"
-    )
-    degrees = written(degrees, "degrees", below)
-    by_triple = degrees.groupBy("t").agg((F.max("triples") == 1).alias("star_t"), F.min("o").alias("first_t"))
-    by_hash = degrees.groupBy("h").agg((F.max("hashes") == 1).alias("star_h"), F.min("o").alias("first_h"))
-    told = written(degrees.select("o", "h", "t").join(by_triple, "t").join(by_hash, "h"), "stars", below)
-    wins = F.when(F.col("star_t"), F.col("o") == F.col("first_t")).when(F.col("star_h"), F.col("o") == F.col("first_h"))
-    easy = told.filter(wins).select("o", "h", "t")
-    mixed = told.filter("not star_t and not star_h").select(
-        "o", "h", "t", F.concat(F.lit("h"), "h").alias("a"), F.concat(F.lit("t"), "t").alias("b")
-    )
-    if mixed.isEmpty():
-        return easy
-    roots = connected(mixed.select("a", "b"), below)
-    grouped = mixed.join(roots.withColumnRenamed("node", "a"), "a", "left").select("o", "h", "t", F.coalesce("root", "a").alias("root"))
-    numbered = written(grouped.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("o"))), "components", below)
-    kept = numbered.select("root", "n", "h", "t").groupBy("root").applyInPandas(_first_of_each, "root string, n int")
-    return easy.unionByName(numbered.join(kept, ["root", "n"], "left_semi").select("o", "h", "t"))
-
-
-def insert_status(batch: DataFrame, table: DataFrame, order: str = "_ord", by_hash: DataFrame | None = None) -> DataFrame:
+    left = written(racing.groupBy("h", "t").agg(F.min("o").alias("o")), "racing", below)
+    won, chains = None, False  # most batches are settled by the first round, which asks for the first rows only
+    while True:
+        met = left.join(left.groupBy("h").agg(F.min("o").alias("h1")), "h").join(left.groupBy("t").agg(F.min("o").alias("t1")), "t")
+        first_h, first_t = F.col("o") == F.col("h1"), F.col("o") == F.col("t1")
+        parent = F.lit(None)
+        if chains:
+            for key in "ht":
+                second = met.filter(F.col("o") > F.col(f"{key}1")).groupBy(key).agg(F.min("o").alias(f"{key}2"))
+                met = met.join(second, key, "left")
+            parent = F.when(first_h & (F.col("o") == F.col("t2")), F.col("t1")).when(first_t & (F.col("o") == F.col("h2")), F.col("h1"))
+        told = written(met.select("o", "h", "t", (first_h & first_t).alias("first"), parent.cast(left.schema["o"].dataType).alias("parent")), "told", below)
+        new = told.filter("first").select("o", "h", "t")
+        links = told.filter("parent is not null").select("o", "parent", F.lit(True).alias("odd"))
+        if chains and not links.isEmpty():
+            even = _chained(links, below).filter("not odd").join(new.select(F.col("o").alias("parent")), "parent", "left_semi")
+            new = written(new.unionByName(told.join(even, "o", "left_semi").select("o", "h", "t")), "won", below)
+        won, chains = new if won is None else won.unionByName(new), True
+        left = written(left.join(new, "h", "left_anti").join(new, "t", "left_anti"), "racing", below)
+        if left.isEmpty():
+            return won
+
+
+def insert_status(
+    batch: DataFrame, table: DataFrame, order: str = "_ord", by_hash: DataFrame | None = None, below: str | None = None
+) -> DataFrame:
     """Adds `estatus` and `motivo` to each row of a batch: rechazado (with the reason), insertado, duplicado or error.
 
     Rows act in the order of the unique column `order`. A row is inserted unless its hash, or its triple (number,
     agency, source), is in the table or was inserted by an earlier row; a taken hash makes it a duplicate, a taken
     triple alone an error. Rows without number, source or hash are rejected. Only the order and the two keys take part.
     The table is read for its key columns only and at once reduced to the keys of the batch; `by_hash` may give another,
-    smaller part of it to look hashes up in.
+    smaller part of it to look hashes up in. The intermediate tables lie in `below`, which a caller that gives it drops when
+    the result is no longer read; otherwise all but the result's go at once.
     """
     spark = batch.sparkSession
-    below = work_dir(spark, "status")
+    given, below = below, below or work_dir(spark, "status")
     judged = batch.withColumn("motivo", reject_reason())
     triple = F.md5(F.concat_ws("\x1f", *_triple()))
     rows = written(
@@ -111,9 +117,10 @@ def insert_status(batch: DataFrame, table: DataFrame, order: str = "_ord", by_ha
             F.col("o").alias(order),
             F.when(F.col("first") == F.col("o"), INSERTED).when(earlier, DUPLICATE).otherwise(ERROR).alias("estatus"),
         ),
-        "settled",
+        "settled", given,
     )
-    drop_dir(spark, below)
+    if given is None:
+        drop_dir(spark, below)
     return judged.join(settled, order, "left").withColumn("estatus", F.coalesce("estatus", F.lit(REJECTED)))
 
 
@@ -191,9 +198,11 @@ def insert_if_absent(batch: DataFrame, path: str, order: str = "_ord") -> DataFr
     spark = batch.sparkSession
     table = stored(spark, path)
     keys = batch.agg(F.collect_set("fuente"), F.collect_set(bucket())).first()
+    below = work_dir(spark, "status")
     status = written(
-        insert_status(batch, table.filter(F.col("fuente").isin(keys[0])), order, table.filter(F.col(BUCKET).isin(keys[1]))), "insert"
+        insert_status(batch, table.filter(F.col("fuente").isin(keys[0])), order, table.filter(F.col(BUCKET).isin(keys[1])), below), "insert"
     )
+    drop_dir(spark, below)
     append_rows(status.filter(F.col("estatus") == INSERTED), path)
     return status
 

@@ -8,6 +8,7 @@ from pyspark.sql import Row, functions as F
 
 from pregonero.operators import joins, paging, upsert, windows
 from pregonero.schema import COLUMNS, TENDER, conform
+from pregonero.session import application_dir, drop_written, hadoop_path
 from pregonero.streaming import calendar, ingest
 
 
@@ -58,6 +59,28 @@ def test_long_chains_stars_and_missing_keys(spark):
     }
 
 
+def test_a_long_chain_takes_few_rounds(spark, tmp_path, monkeypatch):
+    n, rounds = 100_000, []
+    racing = spark.range(n).select(F.floor((F.col("id") + 1) / 2).cast("string").alias("h"), F.floor(F.col("id") / 2).cast("string").alias("t"), F.col("id").alias("o"))
+    plain = upsert.written
+    monkeypatch.setattr(upsert, "written", lambda df, label, below=None: (rounds.append(label), plain(df, label, below))[1])
+    won = upsert._accepted(racing, f"file://{tmp_path}/below")
+    assert won.agg(F.count("*"), F.max(F.col("o") % 2), F.countDistinct("o")).first() == (n // 2, 0, n // 2)
+    assert rounds.count("links") <= 18 and rounds.count("told") == 2
+
+
+def test_batches_leave_no_folders(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    upsert.create_table(spark, path)
+    work = hadoop_path(spark, application_dir(spark))
+    names = lambda: {s.getPath().getName() for s in work[0].listStatus(work[1])}
+    before = names()
+    for k in range(2):
+        rows = tenders(spark, [(i, f"h{i % 7}", f"n{i % 5}", "a", "DOF") for i in range(k, 30)])
+        drop_written(upsert.insert_if_absent(rows, path))
+    assert names() == before
+
+
 def test_upsert_leaves_rows_without_key_alone(spark):
     rows = conform(spark.createDataFrame([(None, "a"), (None, "b"), ("h", "c")], "hash_contenido string, titulo string"))
     batch = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (3, "h", "z"), (4, "i", "w")], "_ord long, hash_contenido string, titulo string")

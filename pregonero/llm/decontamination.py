@@ -15,7 +15,7 @@ item of fewer words, but not none, is one window. A near hit has the window's ra
 within `slop` words of its place.
 
 Defined cases: null texts have no words; items without words never occur; repeated rows are reported one by one; items of
-equal id count once; an empty benchmark hits nothing; an empty table gives an empty table.
+equal id count once, and all items without id as one item, listed as null; an empty benchmark hits nothing; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ def _search(windows: Windows, id_type: T.DataType, slop: int):
                 n = len(lengths)
                 columns = [
                     [part.as_py()] * n, [number.as_py()] * n, list(range(n)), ids.values, lengths, spans,
-                    [sorted(set(i)) for i in items], [sorted(set(i)) for i in near],
+                    *[[sorted(set(i), key=lambda x: (x is None, x)) for i in found] for found in (items, near)],
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names
@@ -198,9 +198,7 @@ def search(
     if not 0 <= slop <= MOST_SLOP or not 1 <= size <= GAP // 2:
         raise ValueError(f"slop must be 0 to {MOST_SLOP}, size 1 to {GAP // 2}")
     id_type = index.schema["ids"].dataType.elementType
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text")).filter(
-        "item is not null and text is not null"
-    )
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text")).filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_slices = 1 + int(chars) // slice_chars
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

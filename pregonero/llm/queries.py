@@ -34,7 +34,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_PHRASES = ", ".join(f"'{p}'" for p in (
+_PHRASES = "|".join((
     "enable javascript", "javascript is disabled", "cookie policy", "use cookies", "accept cookies", "privacy policy", "terms of use",
     "terms of service", "all rights reserved", "skip to content", "read more", "sign in", "log in", "click here", "lorem ipsum",
 ))
@@ -61,7 +61,7 @@ f AS (
   SELECT *, CASE WHEN seps >= 3 AND 3 * seps >= n THEN 'navigation' WHEN symbols >= 3 AND 4 * symbols >= bytes THEN 'symbols'
     WHEN n >= 3 AND 10 * capitals >= length(line) AND capitals + smalls >= 10 AND 10 * capitals >= 7 * (capitals + smalls) THEN 'shouting'
     WHEN n >= 3 AND 2 * cries >= n THEN 'exclamation' WHEN n >= 5 AND (2 * most > n OR 3 * stutter >= n) THEN 'repeat'
-    WHEN len(list_filter([{_PHRASES}], lambda x: contains(lower(line), x))) > 0 THEN 'boilerplate'
+    WHEN n <= 12 AND regexp_matches(lower(line), '(^|[^\\pL\\pN_])({_PHRASES})([^\\pL\\pN_]|$)') THEN 'boilerplate'
     WHEN n >= 40 AND NOT regexp_matches(line, '[.!?:;,”»]') THEN 'unpunctuated' END AS fault
   FROM m),
 g AS (
@@ -218,8 +218,26 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _mix_round(k: int) -> str:
+    """A round of the mix: where the budget runs out and what is left."""
+    return f"""e{k} AS (
+  SELECT d.source, hash, rest, low, sum(size) OVER (PARTITION BY d.source ORDER BY hash RANGE UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN s{k - 1} p ON d.source IS NOT DISTINCT FROM p.source WHERE rest > 0 AND hash > low AND size <= rest),
+c{k} AS (
+  SELECT source, min(hash) FILTER (upto > rest) AS edge, any_value(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS short FROM e{k} GROUP BY source),
+t{k} AS (
+  SELECT p.source, low, rest AS most, CASE WHEN edge IS NULL THEN 4611686018427387903 ELSE edge - 1 END AS high, edge, CASE WHEN edge IS NULL THEN 0 ELSE short END AS kept
+  FROM s{k - 1} p LEFT JOIN c{k} c ON p.source IS NOT DISTINCT FROM c.source WHERE rest > 0),
+s{k} AS (SELECT source, edge AS low, kept AS rest FROM t{k} WHERE kept > 0)"""
+
+
+_MIX_ROUNDS = ",\n".join(_mix_round(k) for k in range(1, mixing.ROUNDS + 1))
+_MIX_TAKEN = " OR ".join(f"(hash > t{k}.low AND hash <= t{k}.high AND size <= t{k}.most)" for k in range(1, mixing.ROUNDS + 1))
+_MIX_JOINS = " ".join(f"LEFT JOIN t{k} ON d.source IS NOT DISTINCT FROM t{k}.source" for k in range(1, mixing.ROUNDS + 1))
+
+
 @query(
-    """
+    f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS hash
@@ -234,11 +252,19 @@ t AS (
 b AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS "full",
     floor(target - (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END) * source_size)::BIGINT AS budget
-  FROM t)
-SELECT doc_id, size, b.source_size, target,
-  least("full" + CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY hash RANGE UNBOUNDED PRECEDING) <= budget THEN 1 ELSE 0 END, 3)::BIGINT AS repeats,
-  (size * least("full" + CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY hash RANGE UNBOUNDED PRECEDING) <= budget THEN 1 ELSE 0 END, 3))::BIGINT AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+  FROM t),
+s0 AS (SELECT source, -1::BIGINT AS low, budget AS rest FROM b),
+{_MIX_ROUNDS},
+x AS (SELECT d.*, CASE WHEN {_MIX_TAKEN} THEN 1 ELSE 0 END AS more FROM d {_MIX_JOINS}),
+u AS (SELECT b.source, budget - coalesce(sum(size) FILTER (more = 1), 0) AS rest FROM b JOIN x ON x.source IS NOT DISTINCT FROM b.source WHERE budget > 0 GROUP BY b.source, budget),
+l AS (
+  SELECT x.source, rest, arg_min(hash, {{'a': abs(size - rest), 'b': hash}}) AS last
+  FROM x JOIN u ON x.source IS NOT DISTINCT FROM u.source WHERE more = 0 AND abs(size - rest) < rest GROUP BY x.source, rest),
+z AS (
+  SELECT l.source, last FROM l JOIN d ON d.source IS NOT DISTINCT FROM l.source AND d.hash = last GROUP BY l.source, last, rest HAVING abs(sum(size) - rest) < rest),
+y AS (SELECT x.*, CASE WHEN more = 1 OR z.last = x.hash THEN 1 ELSE 0 END AS extra FROM x LEFT JOIN z ON x.source IS NOT DISTINCT FROM z.source)
+SELECT doc_id, size, b.source_size, target, least("full" + extra, 3)::BIGINT AS repeats, (size * least("full" + extra, 3))::BIGINT AS taken
+FROM y JOIN b ON y.source IS NOT DISTINCT FROM b.source
 """
 )
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

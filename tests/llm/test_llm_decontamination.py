@@ -87,3 +87,12 @@ def test_long_document_with_repeated_passages(spark):
     docs = spark.createDataFrame([(1, ("filler word " * 30_000 + passage + " ") * 3)], "doc_id long, text string")
     row = d.search(d.build_index(docs, block_words=1000), spark.createDataFrame([(1, passage)], "item_id long, text string")).first()
     assert row.n_hit == 30 and row.n_words == 3 * 60_010
+
+
+def test_items_without_id_count(spark):
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, passage + " eleven"), (7, passage), (8, None)], "item_id long, text string")
+    found = {r.id: r for r in d.search(d.build_index(docs), items).collect()}
+    assert found[1].n_hit == 10 and found[1]["items"] == ["7", None] and found[2].n_hit == 0
+    assert d.drop_contaminated(docs, items.filter("item_id is null")).select("doc_id").collect() == [(2,)]

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from pregonero.llm.mixing import mix
+from pregonero.llm.mixing import ROUNDS, mix
 
 
 def words(text):
@@ -43,11 +43,27 @@ def plain_mix(rows):
                 inner = hashlib.md5((text or "").encode()).hexdigest()
                 key = int(hashlib.md5(f"{'' if d is None else d}/{inner}".encode()).hexdigest()[:15], 16)
                 own.setdefault(key, []).append((d, words(text)))
-        used, open_ = 0, True
-        for key in sorted(own):
-            used += sum(n for _, n in own[key])
-            open_ = open_ and used <= budget
-            out += [(d, n, size, round(target[source], 6), n * min(3, full + open_)) for d, n in own[key]]
+        low, rest, taken = -1, budget, set()
+        for _ in range(ROUNDS if budget > 0 else 0):
+            used, edge = 0, None
+            for key in sorted(own):
+                fits = [n for _, n in own[key] if n <= rest]
+                if key <= low or not fits:
+                    continue
+                if used + sum(fits) > rest:
+                    edge = key
+                    break
+                used += sum(fits)
+                taken.add(key)
+            low, rest = edge, rest - used
+            if edge is None or rest <= 0:
+                break
+        rest = budget - sum(n for key in taken for _, n in own[key])
+        near = min(((abs(n - rest), key) for key in own if key not in taken for _, n in own[key]), default=None)
+        if budget > 0 and near and near[0] < rest and abs(sum(n for _, n in own[near[1]]) - rest) < rest:
+            taken.add(near[1])
+        for key in own:
+            out += [(d, n, size, round(target[source], 6), n * min(3, full + (key in taken))) for d, n in own[key]]
     return sorted(out, key=str)
 
 
@@ -68,7 +84,7 @@ def test_matches_a_sequential_version(spark):
     for r in mix(docs, keep_columns=True).collect():
         assert r.taken <= 3 * r["size"]
         taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
-    assert all(abs(taken[s] - target[s]) <= 30 for s in taken)
+    assert all(abs(taken[s] - target[s]) <= 15 for s in taken)  # half of the longest document
 
 
 def test_hot_source_empty_sources_clashing_names_and_no_rows(spark):
@@ -83,3 +99,16 @@ def test_hot_source_empty_sources_clashing_names_and_no_rows(spark):
     assert mix(docs.limit(0)).count() == 0
     only_empty = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [r.taken for r in mix(only_empty).collect()] == [0, 0]
+
+
+def test_long_documents_do_not_end_their_source(spark):
+    rows = [(i, "w " * 30, "many") for i in range(300)] + [(1000 + i, "w " * (3000 if i == 7 else 25), "long") for i in range(40)]
+    rows += [(5000, "w " * 3000, "alone")] + [(6000 + i, "w " * 40, "rest") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert got(mix(docs)) == plain_mix(rows)
+    taken, target = {}, {}
+    for r in mix(docs, keep_columns=True).collect():
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert abs(taken["alone"] - target["alone"]) < 3000 / 2 and taken["alone"] > 0
+    assert all(abs(taken[s] - target[s]) <= 40 for s in ("many", "rest"))
+    assert taken["long"] == 2 * 39 * 25 + 3000  # all that fits: a second time the long document would miss the target by more

@@ -74,3 +74,24 @@ def test_boilerplate_needs_whole_words_and_a_short_line():
     for line in ("Sign in", "Log in | Read more", "(c) All rights reserved.", "Please read our Privacy Policy here."):
         assert q.line_fault(line, line.encode().split()) == "boilerplate", line
     assert q.judge_text(prose)[6] and q.judge_text(prose)[-1] == prose
+
+
+def test_check_sql_says_the_same_of_phrases(spark, tmp_path):
+    """Phrases inside words, in long lines, at line ends and next to marks, for the operator and its check SQL."""
+    import duckdb
+
+    from pregonero.llm.queries import CHECKS, QUERIES
+
+    line = "the quick brown fox and other animals went out for a long walk today"
+    texts = [
+        f"{line}\nlog in now", f"{line}\nthe blog in question is new", f"{line}\nassign in order", f"{line}\n(read more)", f"{line}\nREAD MORE", f"{line}\nread more_",
+        f"{line}\nñread more", f"{line}\nread more 3read more", f"{line} and then please read more of this paragraph that goes on",
+        "read more " + "word other thing " * 4, "click here " * 6, f"{line}\nsign in", f"{line}\nsign\tin", None, "",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = QUERIES["op2_quality_rules"](spark, str(tmp_path))
+    wanted = con.execute(f"SELECT {', '.join(found.columns)} FROM ({CHECKS['op2_quality_rules']})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert {r.doc_id for r in found.collect() if "boilerplate" in r.failed_rules} >= {0, 3, 4, 11}

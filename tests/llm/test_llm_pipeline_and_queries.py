@@ -73,7 +73,7 @@ def test_stages_on_an_empty_table(spark, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(CHECKS) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(CHECKS) <= set(QUERIES)
 
 
 @needs_data

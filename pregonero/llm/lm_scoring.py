@@ -4,11 +4,14 @@ Tokens are words (A-Z lower-cased) and one end per text. Counts are taken over a
 predicts the next token's class from the two before it: the WORDS most frequent tokens are classes of their own, all others
 share TAIL_CLASSES classes by their last three bytes. With context vectors r, output vectors q, a diagonal matrix per
 position and a bias, the score of class w after u, v is (c1 * r[v] + c2 * r[u]) . q[w] + b[w]. It is trained in numpy by
-noise-contrastive estimation on all learning tokens: their classes are written, dealt into ROUNDS slices, and in each round
-the tasks go on from common parameters over their part of a slice; the parameters they arrive at are averaged by tokens. A
-corpus of fewer than STEPS * BATCH tokens is passed over several times. The driver holds parameters only, no text. For
-scoring it is normalised exactly: batched matrix products give the log of the sum over all classes for each pair of context
-classes, once. A tail token's probability is its class's times its share of the class, (c + 0.1) over the class's sum.
+noise-contrastive estimation on all learning tokens: Spark counts how often each triple of classes (two before, before,
+class) occurs, and a triple counts in the loss as often as it occurs. So training costs what distinct triples cost, of which
+there are at most 2.1 billion whatever the corpus. A triple above MOST times the mean count is cut into equal shares. Shares
+are dealt into ROUNDS slices; in each round the tasks go on from common parameters over their part of a slice, and Spark
+averages the parameters they arrive at, weighted by tokens, in two levels. The driver holds one set of parameters and no
+text. For scoring the model is normalised exactly: batched matrix products give the log of the sum over all classes for each
+pair of context classes, once. A tail token's probability is its class's times its share of the class, (c + 0.1) over the
+class's sum.
 
 Tokens counted often (at most HEAD of them, none longer than HEAD_BYTES bytes) are looked up in a broadcast table; the rest
 are joined with the whole table of counts, so no token is left out.
@@ -19,14 +22,16 @@ with nothing to learn from every count is 0; repeated rows are scored alike. An
 
 from __future__ import annotations
 
+import math
 import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import Broadcast, TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .store import shipped, slices, stage, unpacked
@@ -39,15 +44,15 @@ TAIL_CLASSES = 256
 WIDTH = 24
 HEAD = 1 << 18
 HEAD_BYTES = 64
-FIT_TOKENS = 400_000
+FIT_ROWS = 200_000
 BATCH = 512
-STEPS, MOST_EPOCHS = 3000, 20
-NOISE = 128
-ROUNDS = 8
-PIECE = 1 << 16  # tokens a cell holds
+NOISE = 64
+PASSES, ROUNDS = 1, 8
+MOST = 4
 RATE = 0.15
 SMOOTH = 0.1
 FLUSH = 1 << 19  # distinct words a task holds before it passes its counts on
+TRIPLES = 1 << 21  # triples a task holds before it passes their counts on
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -89,7 +94,7 @@ def start_state(class_counts: np.ndarray, width: int = WIDTH, seed: int = 7) ->
         "c1": np.ones(width), "c2": np.full(width, 0.5),
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    return p | {f"power_{k}": np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
+    return p | {f"power_{k}": np.ones(v.shape, np.float32) for k, v in p.items()}
 
 
 def packed(state: dict[str, np.ndarray]) -> np.ndarray:
@@ -102,85 +107,156 @@ def spread(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return {k: part.reshape(v.shape) for (k, v), part in zip(like.items(), parts)}
 
 
-def train(windows: np.ndarray, p: dict[str, np.ndarray], class_counts: np.ndarray, passes: int, rng: np.random.Generator) -> None:
-    """Moves the state p on. windows: rows of (class two before, class before, class), n_classes standing for the start of a text."""
-    n_classes = len(class_counts)
+def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries of `at`, and the sums of their rows of values."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[first], np.add.reduceat(values[order], first)
+
+
+def train(
+    triples: np.ndarray, weights: np.ndarray, p: dict[str, np.ndarray], class_counts: np.ndarray, rng: np.random.Generator
+) -> None:
+    """Moves the state p on by one pass over triples (rows of class two before, class before, class; n_classes stands for
+    the start of a text), each of which counts by its weight."""
     noise = class_counts / class_counts.sum()
     log_noise = np.log(NOISE * noise).astype(np.float32)
     cumulated = np.cumsum(noise)
+    weights = (weights / weights.mean()).astype(np.float32)
+    width = p["r"].shape[1]
 
     def step(name: str, at, gradient: np.ndarray) -> None:
-        power = p[f"power_{name}"]
-        power[at] += gradient * gradient
-        p[name][at] -= RATE * gradient / np.sqrt(power[at])
+        power = p[f"power_{name}"][at] + gradient * gradient
+        p[f"power_{name}"][at] = power
+        p[name][at] -= RATE * gradient / np.sqrt(power)
 
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for _ in range(passes):
-        order = rng.permutation(len(windows))
-        for start in range(0, len(windows), BATCH):
-            two, one, word = windows[order[start : start + BATCH]].T
-            drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), n_classes - 1)
-            r1, r2 = p["r"][one], p["r"][two]
-            context = p["c1"] * r1 + p["c2"] * r2
-            # derivative of the loss by each score: data against noise
-            real = (sigmoid((context * p["q"][word]).sum(1) + p["b"][word] - log_noise[word]) - 1) / len(word)
-            false = sigmoid(context @ p["q"][drawn].T + p["b"][drawn] - log_noise[drawn]) / len(word)
-            by_context = real[:, None] * p["q"][word] + false @ p["q"][drawn]
-            gradient_q, gradient_b, gradient_r = np.zeros_like(p["q"]), np.zeros_like(p["b"]), np.zeros_like(p["r"])
-            np.add.at(gradient_q, word, real[:, None] * context)
-            np.add.at(gradient_q, drawn, false.T @ context)
-            np.add.at(gradient_b, word, real)
-            np.add.at(gradient_b, drawn, false.sum(0))
-            np.add.at(gradient_r, one, by_context * p["c1"])
-            np.add.at(gradient_r, two, by_context * p["c2"])
-            step("c1", slice(None), (by_context * r1).sum(0))
-            step("c2", slice(None), (by_context * r2).sum(0))
-            outputs, inputs = np.union1d(word, drawn), np.union1d(one, two)
-            step("q", outputs, gradient_q[outputs])
-            step("b", outputs, gradient_b[outputs])
-            step("r", inputs, gradient_r[inputs])
-
-
-def train_everywhere(held: DataFrame, n: int, class_counts: np.ndarray, fit_tokens: int) -> dict[str, np.ndarray]:
-    """held (written): (slice, windows) of all n learning tokens. A task trains on `fit_tokens` at a time."""
-    spark = held.sparkSession
+    order = rng.permutation(len(triples))
+    for start in range(0, len(order), BATCH):
+        at = order[start : start + BATCH]
+        two, one, word = triples[at].T
+        weight = weights[at]
+        drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(noise) - 1).astype(triples.dtype)
+        r1, r2, q, q_drawn = p["r"][one], p["r"][two], p["q"][word], p["q"][drawn]
+        context = p["c1"] * r1 + p["c2"] * r2
+        # derivative of the loss by each score: data against noise
+        real = (sigmoid((context * q).sum(1) + p["b"][word] - log_noise[word]) - 1) * weight
+        false = sigmoid(context @ q_drawn.T + (p["b"][drawn] - log_noise[drawn])) * weight[:, None]
+        by_context = real[:, None] * q + false @ q_drawn
+        by_output = np.concatenate(
+            (np.column_stack((real[:, None] * context, real)), np.column_stack((false.T @ context, false.sum(0))))
+        )
+        outputs, gradient_q = summed(np.concatenate((word, drawn)), by_output)
+        inputs, gradient_r = summed(np.concatenate((one, two)), np.concatenate((by_context * p["c1"], by_context * p["c2"])))
+        step("c1", slice(None), (by_context * r1).sum(0) / len(at))
+        step("c2", slice(None), (by_context * r2).sum(0) / len(at))
+        step("q", outputs, gradient_q[:, :width])
+        step("b", outputs, gradient_q[:, width])
+        step("r", inputs, gradient_r)
+
+
+def coded(triples: np.ndarray, n_classes: int) -> np.ndarray:
+    """One number a triple."""
+    return (triples[:, 0].astype(np.int64) * (n_classes + 1) + triples[:, 1]) * n_classes + triples[:, 2]
+
+
+def decoded(codes: np.ndarray, n_classes: int) -> np.ndarray:
+    rest, word = np.divmod(codes, n_classes)
+    return np.stack((*np.divmod(rest, n_classes + 1), word), axis=1).astype(np.int16)
+
+
+def count_triples(learn: DataFrame, shared: Broadcast) -> DataFrame:
+    """(text) -> (code, n), written: how often each triple of classes occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = unpacked(Lookup, shared)
+        waiting, held = [], 0
+
+        def counted() -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                waiting.append(coded(known.windows(known.read(text.as_py())[1]), known.n_classes))
+                held += len(waiting[-1])
+                if held >= TRIPLES:
+                    yield counted()
+                    waiting, held = [], 0
+        if waiting:
+            yield counted()
+
+    return stage(learn.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "lm-triples")
+
+
+def dealt(counted: DataFrame, n: int, distinct: int) -> DataFrame:
+    """(code, n) -> (slice, code, weight), written. Shares of one triple go to all slices and tasks; no task gets them all."""
+    most = MOST * n / max(distinct, 1)
+    parts = F.ceil(F.col("n") / most)
+    light = counted.filter(F.col("n") <= most).select("code", F.lit(0).cast("long").alias("part"), F.col("n").cast("float").alias("weight"))
+    heavy = counted.filter(F.col("n") > most).select(
+        "code", F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("part"), (F.col("n") / parts).cast("float").alias("weight")
+    )
+    rows = light.unionByName(heavy.repartition("code", "part"))
+    # in the order of slices, so that a round reads the pages of its slice only
+    return stage(
+        rows.select(F.pmod(F.xxhash64("code", "part"), F.lit(ROUNDS)).cast("int").alias("slice"), "code", "weight").sortWithinPartitions("slice"),
+        "lm-shares",
+    )
+
+
+def averaged(states: DataFrame, tasks: int) -> tuple[float, np.ndarray] | None:
+    """(n, state) -> sum of n, mean state weighted by n. Sums are formed in two levels; the driver gets one row."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = 0.0, 0.0
+        for batch in batches:
+            for n, values in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+                total, weight = total + n * np.frombuffer(values, np.float64), weight + n
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).tobytes()], pa.binary())], ["n", "state"])
+
+    kind = "n double, state binary"
+    rows = states.repartition(math.isqrt(tasks)).mapInArrow(add, kind).repartition(1).mapInArrow(add, kind).collect()
+    return (rows[0][0], np.frombuffer(rows[0][1], np.float64)) if rows else None
+
+
+def train_everywhere(shares: DataFrame, rows: int, class_counts: np.ndarray, passes: int, fit_rows: int) -> dict[str, np.ndarray]:
+    """shares (written): rows of (slice, code, weight). A task trains on about `fit_rows` of a slice at a time."""
+    spark = shares.sparkSession
     state = start_state(class_counts)
-    if not n:
-        return state
-    epochs = min(MOST_EPOCHS, -(-STEPS * BATCH // n))
-    # a corpus of few tokens is one task's, whose steps follow each other
-    dealt = held.coalesce(max(1, n // fit_tokens))
-    for number in range(ROUNDS):
+    tasks = max(1, rows // ROUNDS // fit_rows)
+    for number in range(passes * ROUNDS if rows else 0):
         given = spark.sparkContext.broadcast((state, class_counts))
-        slices_now = sorted({(number * epochs + k) % ROUNDS for k in range(min(epochs, ROUNDS))})
 
         def run(batches: Iterator[pa.RecordBatch], given=given, number=number) -> Iterator[pa.RecordBatch]:
             state, counts = given.value
             mine = {k: v.copy() for k, v in state.items()}
             rng = np.random.default_rng([number, TaskContext.get().partitionId()])
-            waiting, n_waiting, seen = [], 0, 0
+            waiting, n_waiting, seen = [], 0, 0.0
 
             def go() -> None:
-                train(np.concatenate(waiting).astype(np.int64), mine, counts, -(-epochs // ROUNDS), rng)
+                codes, weights = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+                train(decoded(codes, len(counts)), weights, mine, counts, rng)
 
             for batch in batches:
-                for cell in batch.column(0):
-                    waiting.append(np.frombuffer(cell.as_py(), np.int16).reshape(-1, 3))
-                    n_waiting, seen = n_waiting + len(waiting[-1]), seen + len(waiting[-1])
-                    if n_waiting >= fit_tokens:
-                        go()
-                        waiting, n_waiting = [], 0
-            if waiting:
+                waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                n_waiting, seen = n_waiting + batch.num_rows, seen + float(waiting[-1][1].sum(dtype=np.float64))
+                if n_waiting >= fit_rows:
+                    go()
+                    waiting, n_waiting = [], 0
+            if n_waiting:
                 go()
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([packed(mine).tobytes()], pa.binary())], ["n", "state"])
-
-        now = dealt.filter(F.col("slice").isin(slices_now)).select("windows")
-        total, weight = 0.0, 0
-        for seen, values in stage(now.mapInArrow(run, "n long, state binary"), "lm-states").toLocalIterator():
-            total, weight = total + seen * np.frombuffer(values, np.float32).astype(np.float64), weight + seen
-        if weight:
-            state = spread(total / weight, state)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([seen]), pa.array([packed(mine).astype(np.float64).tobytes()], pa.binary())], ["n", "state"]
+                )
+
+        now = shares.filter(F.col("slice") == number % ROUNDS).select("code", "weight").coalesce(tasks)
+        found = averaged(now.mapInArrow(run, "n double, state binary"), tasks)
+        if found:
+            state = spread(found[1], state)
         given.unpersist()
     return state
 
@@ -211,7 +287,7 @@ class Lookup:
         """Head numbers of the tokens (-1 if not in the head), their classes, and the tokens not in the head."""
         tokens = tokens_of(text)
         get = self.numbers.get
-        at = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
+        at = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
         missing = np.flatnonzero(at < 0)
         others = [tokens[i] for i in missing.tolist()]
         classes = self.classes[at] if len(self.classes) else np.zeros(len(at), np.int64)
@@ -237,8 +313,8 @@ class Model:
         self.counts, self.lookup, self.n, self.v = counts, lookup, n, v
 
 
-def fit(learn: DataFrame, words: int = WORDS, head: int = HEAD, fit_tokens: int = FIT_TOKENS) -> Model:
-    """learn: (id, text)."""
+def fit(learn: DataFrame, words: int = WORDS, head: int = HEAD, passes: int = PASSES, fit_rows: int = FIT_ROWS) -> Model:
+    """learn: (id, text). passes: how often training goes over all learning tokens."""
     spark = learn.sparkSession
     counts = count_tokens(learn.select("text"))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -263,19 +339,9 @@ def fit(learn: DataFrame, words: int = WORDS, head: int = HEAD, fit_tokens: int
     class_counts[: len(own)] += [c for _, c in rows[:words]]
     shared = shipped(spark, lookup)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = unpacked(Lookup, shared)
-        for batch in slices(batches, 64):
-            cells = []
-            for text in batch.column(0):
-                found = known.windows(known.read(text.as_py())[1]).astype(np.int16)
-                cells += [found[at : at + PIECE].tobytes() for at in range(0, len(found), PIECE)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.crc32(c) % ROUNDS for c in cells], pa.int32()), pa.array(cells, pa.binary())], ["slice", "windows"]
-            )
-
-    held = stage(learn.select("text").mapInArrow(windows, "slice int, windows binary"), "lm-windows")
-    p = train_everywhere(held, n, class_counts, fit_tokens)
+    counted = count_triples(learn.select("text"), shared)
+    shares = dealt(counted, n, counted.count())
+    p = train_everywhere(shares, shares.count(), class_counts, passes, fit_rows)
     p = {k: v for k, v in p.items() if not k.startswith("power_")}
     given = spark.sparkContext.broadcast(p)
 

@@ -26,7 +26,7 @@ def corpus(seed, n=200):
 @pytest.fixture(scope="module")
 def learned(spark):
     rows = corpus(1) + [(1000, None), (1001, ""), (1002, "Rare WORD " + "x" * 100)]
-    return rows, lm.fit(spark.createDataFrame(rows, "id long, text string"), words=40, head=50, fit_tokens=10_000)
+    return rows, lm.fit(spark.createDataFrame(rows, "id long, text string"), words=40, head=50, passes=5)
 
 
 def test_base_score_and_counts_by_hand(spark, learned):
@@ -85,15 +85,72 @@ def test_nothing_to_learn_from_long_text_and_no_rows(spark):
 
 
 def test_all_tokens_train_the_model_whatever_the_size(spark, monkeypatch):
-    rows = [(i, f"p{i} q{i} r{i}") for i in range(300)] + [(1000 + i, t) for i, t in corpus(3, 100)]
-    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, f"p{i} q{i} r{i}") for i in range(300)] + [(1000 + i, t) for i, t in corpus(3, 100)] + [(2000 + i, "p1 q1") for i in range(3000)]
+    seen, most = spark.sparkContext.accumulator(0.0), spark.sparkContext.accumulator(0)
     plain = lm.train
 
-    def counted(windows, *rest):
-        seen.add(len(windows))
-        return plain(windows, *rest)
+    def counted(triples, weights, *rest):
+        seen.add(float(weights.sum(dtype=float)))
+        most.add(len(triples))
+        return plain(triples, weights, *rest)
 
     monkeypatch.setattr(lm, "train", counted)
-    monkeypatch.setattr(lm, "STEPS", 1)  # one pass
-    model = lm.fit(spark.createDataFrame(rows, "id long, text string").repartition(4), words=40, head=50, fit_tokens=300)
-    assert model.n > 4 * 300 and seen.value == model.n
+    model = lm.fit(spark.createDataFrame(rows, "id long, text string").repartition(4), words=40, head=50, passes=2, fit_rows=20)
+    assert abs(seen.value - 2 * model.n) < 1e-3 * model.n
+    assert most.value < model.n / 2  # a triple that occurs 3000 times is trained in shares
+
+
+def test_triples_against_plain_counts(spark):
+    rows = corpus(4, 60) + [(100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    order = [t for t, _ in sorted(Counter(t for _, x in rows for t in tokens(x)).items(), key=lambda c: (-c[1], c[0]))][:20]
+    lookup = lm.Lookup([(t, 1) for t in order], 20, np.ones(lm.TAIL_CLASSES))
+    want = Counter()
+    for _, text in rows:
+        kinds = [order.index(t) if t in order else 20 + lm.tail_class(t.encode()) for t in tokens(text)]
+        padded = [20 + lm.TAIL_CLASSES] * 2 + kinds
+        want.update(zip(padded, padded[1:], kinds))
+    found = lm.count_triples(docs.select("text"), lm.shipped(spark, lookup))
+    n, distinct = sum(want.values()), found.count()
+    got = found.toPandas()
+    assert dict(zip(map(tuple, lm.decoded(got["code"].to_numpy(), lookup.n_classes).tolist()), got["n"].tolist())) == dict(want)
+    shares = lm.dealt(found, n, distinct).toPandas()
+    back = shares.groupby("code")["weight"].sum()
+    assert np.allclose(back[got["code"]], got["n"]) and shares["weight"].max() <= lm.MOST * n / distinct + 1e-6
+
+
+def test_training_step_against_plain_numpy():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 50, 30).astype(float)
+    triples = np.column_stack((rng.integers(0, 31, 200), rng.integers(0, 31, 200), rng.integers(0, 30, 200))).astype(np.int16)
+    weights = rng.random(200).astype(np.float32) + 0.5
+    p = lm.start_state(counts)
+    before = {k: v.astype(float) for k, v in p.items()}
+    lm.train(triples, weights, p, counts, np.random.default_rng(6))
+    again = np.random.default_rng(6)
+    order = again.permutation(200)
+    noise = counts / counts.sum()
+    drawn = np.minimum(np.searchsorted(np.cumsum(noise), again.random(lm.NOISE)), 29)
+    gradient = {k: np.zeros_like(v) for k, v in before.items()}
+    for i in order:
+        (two, one, word), weight = triples[i], weights[i] / weights.mean()
+        context = before["c1"] * before["r"][one] + before["c2"] * before["r"][two]
+        for w, real in [(word, 1.0), *((k, 0.0) for k in drawn)]:
+            score = context @ before["q"][w] + before["b"][w] - math.log(lm.NOISE * noise[w])
+            d = (1 / (1 + math.exp(-score)) - real) * weight
+            gradient["q"][w] += d * context
+            gradient["b"][w] += d
+            gradient["r"][one] += d * before["q"][w] * before["c1"]
+            gradient["r"][two] += d * before["q"][w] * before["c2"]
+            gradient["c1"] += d * before["q"][w] * before["r"][one] / 200
+            gradient["c2"] += d * before["q"][w] * before["r"][two] / 200
+    for k in ("q", "b", "r", "c1", "c2"):
+        want = before[k] - lm.RATE * gradient[k] / np.sqrt(1 + gradient[k] ** 2)
+        assert np.allclose(p[k], want, atol=1e-4), k
+
+
+def test_states_are_averaged_by_tokens(spark):
+    states = [(float(i), np.array([i, 2.0 * i]).tobytes()) for i in range(1, 20)]
+    total, mean = lm.averaged(spark.createDataFrame(states, "n double, state binary"), 19)
+    assert total == 190 and np.allclose(mean, np.array([1, 2]) * sum(i * i for i in range(20)) / 190)
+    assert lm.averaged(spark.createDataFrame([], "n double, state binary"), 1) is None

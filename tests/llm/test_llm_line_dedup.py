@@ -134,3 +134,92 @@ def test_windows_cover_every_run_of_enough_words():
         for a, b in itertools.combinations_with_replacement(range(len(counts)), 2):
             inside = {p for x, y in bounds if a <= x and y <= b for p in range(x, y + 1)}
             assert inside == (set(range(a, b + 1)) if sum(counts[a : b + 1]) >= 20 else set())
+
+
+def plain_diff(a, b):
+    """Common runs of two lists of lines by plain patience diff: pairs of places."""
+
+    def diff(x, y):
+        once = [(i, y.index(t)) for i, t in enumerate(x) if t is not None and x.count(t) == 1 and y.count(t) == 1]
+        best = [[p] for p in once]
+        for k, p in enumerate(once):
+            for j in range(k):
+                if once[j][1] < p[1] and len(best[j]) >= len(best[k]):
+                    best[k] = best[j] + [p]
+        run = max(best, key=len, default=[])
+        found = []
+        for (i0, j0), (i1, j1) in itertools.pairwise([(-1, -1), *run, (len(x), len(y))]):
+            if run:
+                found += [(i0 + 1 + i, j0 + 1 + j) for i, j in diff(x[i0 + 1 : i1], y[j0 + 1 : j1])]
+        return found + run
+
+    return sorted(diff(a, b))
+
+
+def test_patience_against_plain_diff():
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 12) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        shared = [
+            {"place": i, "last": i, "spot": b.index(t), "repeated": b.count(t) > 1, "flags": ld.REPEATED * (a.count(t) > 1)}
+            for i, t in enumerate(a) if t in b
+        ]
+        kept = [(shared[i]["place"], shared[i]["spot"]) for i in ld.patience(shared)]
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(kept))  # a common subsequence
+        unique = {i for i, t in enumerate(a) if a.count(t) == 1 and b.count(t) == 1}
+        if unique:  # of the unique lines as many are aligned as by the plain diff
+            assert len(unique & {i for i, _ in kept}) == len(unique & {i for i, _ in plain_diff(a, b)})
+
+
+def test_rising_runs_are_fewest():
+    rng = random.Random(12)
+    for _ in range(200):
+        places = [rng.randint(0, 9) for _ in range(rng.randint(0, 9))]
+        runs = ld.rising_runs(places)
+        assert sorted(i for run in runs for i in run) == list(range(len(places)))
+        assert all(i < j and places[i] < places[j] for run in runs for i, j in itertools.pairwise(run))
+        falling = max(
+            (len(c) for n in range(len(places) + 1) for c in itertools.combinations(places, n) if all(a >= b for a, b in itertools.pairwise(c))),
+            default=0,
+        )
+        assert len(runs) == falling
+
+
+def test_deletions_against_alignment_of_all_pairs(spark):
+    """Every pair of documents compared: what stands in common runs of 20 words or more goes from the later one."""
+    rng = random.Random(13)
+    pool = [" ".join(f"p{k}w{i}" for i in range(rng.choice([6, 9, 14, 22]))) for k in range(40)]
+    texts = []
+    for d in range(150):
+        lines = [rng.choice(pool) if rng.random() < 0.3 else f"line {j} of document {d} has words that are its own" for j in range(15)]
+        if d and rng.random() < 0.5:
+            other = texts[rng.randrange(d)]
+            at = rng.randrange(12)
+            lines[at : at + 3] = other[at // 2 : at // 2 + rng.randint(1, 6)]
+        texts.append(lines)
+    got = cleaned(spark, list(enumerate("\n".join(t) for t in texts)))
+    for d, lines in enumerate(texts):
+        gone = set()
+        for other in texts[:d]:
+            if other == lines:
+                gone.update(range(len(lines)))
+            for i, j in itertools.product(range(len(lines)), range(len(other))):
+                n = 0
+                while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
+                    n += 1
+                if sum(len(x.split()) for x in lines[i : i + n]) >= 20:
+                    gone.update(range(i, i + n))
+        want = [x for i, x in enumerate(lines) if i not in gone]
+        assert got[d].rstrip("\n").split("\n") == (want or [""]), d
+
+
+def test_common_blocks_name_partner_and_lines(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(25)) + "." for x in "abc")
+    rows = [(1, f"{a}\n{b}"), (2, c), (3, f"{b}\n{a}\nOnly here.\n{c}\n{a}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(tuple(r) for r in ld.common_blocks(docs).collect())
+    assert [f[:6] for f in found if f[1] == 2] == [(3, 2, 3, 3, 0, 25)]
+    # a is repeated in document 3, so b alone is aligned; both places of a cross it or repeat
+    ones = [f for f in found if f[1] == 1]
+    assert sorted((f[2], f[4]) for f in ones) == [(0, 1), (1, 0), (4, 0)]
+    assert [f[2] for f in ones if not f[6]] == [0]

@@ -28,8 +28,7 @@ def inputs(spark, folder):
     texts[41] = texts[1] + "\n" + LONG
     texts[42] = texts[2].replace("number 2", "number 2b") + "\n" + LONG
     texts[43] = texts[3]  # a copy
-    near = texts[4].replace("w4x30", "changed")
-    texts[44] = near
+    texts[44] = texts[4].replace("w4x30", "changed")  # line dedup leaves the sentence that differs
     texts[45] = texts[5] + "\nthe answer to this benchmark question is forty two of course my friend"
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in texts.items()] + [(None, None, None, None, None), (60, "", "en", None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
@@ -57,6 +56,7 @@ def test_stages_have_effect_and_keep_clean_documents(spark, tmp_path):
     assert 40 not in ids["quality_rules"] and 60 not in ids["quality_rules"] and None not in ids["quality_rules"]
     assert LONG in ids["line_dedup"][41] and LONG not in ids["line_dedup"].get(42, "")
     assert 43 not in ids["line_dedup"]  # nothing is left of the copy
+    assert 44 in ids["line_dedup"] and 44 not in ids["simhash_near_dedup"]
     assert 45 not in ids["decontamination"] or "forty two" not in ids["decontamination"][45]
     clean = set(range(40))
     assert clean <= set(ids["decontamination"])

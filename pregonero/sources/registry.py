@@ -13,7 +13,7 @@ from ..operators.backfill import finish
 from ..operators.upsert import stage
 from ..schema import conform
 from . import csv_ranges, ocds, portal, rejects, sites
-from .files import documents, listing, prefer_improved
+from .files import documents, edition_columns, listing, prefer_improved
 
 Read = Callable[[SparkSession, str], DataFrame]
 Normalise = Callable[[DataFrame, Column], DataFrame]
@@ -43,7 +43,8 @@ def _read_gazette(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _normalise_gazette_text(pages: DataFrame, as_of: Column) -> DataFrame:
-    return gazette.to_canonical(gazette.extract_notices(gazette.split_blocks(pages)))
+    dated = pages.withColumns(edition_columns(F.col("archivo"), as_of))
+    return gazette.to_canonical(gazette.extract_notices(gazette.split_blocks(dated)))
 
 
 def _zip_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +64,7 @@ SOURCES: dict[str, Source] = {
         _read_gazette, gazette.normalise_file_records, lambda spark, path: rejects.gazette_rejects(documents(spark, path))
     ),
     "dof_texto": Source(
-        lambda spark, path: gazette.read_pages(spark, path, F.current_date(), "*.txt"), _normalise_gazette_text
+        lambda spark, path: gazette.read_pages(spark, path, F.lit(None).cast("date"), "*.txt"), _normalise_gazette_text
     ),
     "tianguis": Source(csv_ranges.read_csv, ocds.normalise_csv, _csv_rejects),
     "zip": Source(

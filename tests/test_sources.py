@@ -148,6 +148,15 @@ def test_gazette_folder_prefers_improved(spark, tmp_path):
     assert json.loads(got[0].datos_originales)["fecha_ejemplar"] == "2025-08-05"
 
 
+def test_text_editions_without_a_stamp_take_the_day_given(spark, tmp_path):
+    page = "===== [PÁGINA 1] =====\nINSTITUTO DE SALUD\nObjeto de la licitación: Obra\nLA-012-NBS-0045-N-17-2025\n" + "x" * 80 + " (R.- 1)"
+    put(tmp_path, "05082025_MAT.txt", page)
+    put(tmp_path, "suelta.txt", page)
+    source = registry.SOURCES["dof_texto"]
+    got = [json.loads(r.datos_originales) for r in source.normalise(source.read(spark, str(tmp_path)), day()).collect()]
+    assert {r["archivo"]: r["fecha_ejemplar"] for r in got} == {"05082025_MAT": "2025-08-05", "suelta": AS_OF}
+
+
 def test_all_sources_into_one_table(spark, tmp_path):
     """Landing folders -> table, twice: the second run inserts nothing."""
     put(tmp_path, "portal/a.json", [record("1", uuid_procedimiento="u1"), record("1", uuid_procedimiento="u1"), record("2")])

@@ -204,6 +204,29 @@ def test_stream_equals_batch_and_survives_a_replay(spark, tmp_path):
         assert sorted(r.hash_contenido for r in upsert.read_table(spark, table).collect()) == [f"k{i}" for i in range(7)]
 
 
+def test_stream_of_canonical_rows_needs_no_normaliser(spark, tmp_path):
+    """The rows are normalised in the stream, so the plan is built once, not with every batch."""
+    landing, table = tmp_path / "landing", str(tmp_path / "table")
+    landing.mkdir()
+    for i in range(3):
+        (landing / f"f{i}.json").write_text("\n".join(f'{{"h":"k{(i * 4 + j) % 7}"}}' for j in range(4)))
+    upsert.create_table(spark, table)
+    stream = ingest.landing_stream(spark, str(landing), "h string", "json", 1)
+    rows = conform(stream.select(F.col("h").alias("hash_contenido"), F.col("h").alias("numero_procedimiento"), F.lit("DOF").alias("fuente")))
+    ingest.ingest(rows, None, table, str(tmp_path / "c"), ["hash_contenido"]).awaitTermination()
+    assert sorted(r.hash_contenido for r in upsert.read_table(spark, table).collect()) == [f"k{i}" for i in range(7)]
+
+
+def test_a_batch_writes_few_tables(spark, tmp_path, monkeypatch):
+    path, labels, plain = f"file://{tmp_path}/t", [], upsert.written
+    upsert.create_table(spark, path)
+    monkeypatch.setattr(upsert, "written", lambda df, label, below=None: (labels.append(label), plain(df, label, below))[1])
+    rows = [(i, f"h{i % 7}", f"n{i}", "a", "DOF") for i in range(30)]
+    got = upsert.insert_if_absent(tenders(spark, rows), path)
+    assert {r._ord: r.estatus for r in got.collect()} == sequential(rows)
+    assert labels == ["rows", "known", "racing", "told", "racing", "insert"]
+
+
 def test_edition_calendar(spark):
     days = calendar.edition_calendar(spark, "2025-08-01", "2025-08-14")
     assert [str(r.fecha) for r in days.orderBy("fecha").collect()] == ["2025-08-05", "2025-08-07", "2025-08-12", "2025-08-14"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pregonero.llm import decontamination, line_dedup, mixing, near_copies, quality_rules
+from pregonero.llm import decontamination, line_dedup, mixing, near_copies, quality_rules, simhash
 from pregonero.llm.store import columns_clear_of, stage, table
 
 
@@ -30,11 +30,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+    """One document of each group stays: SimHash fingerprints over five-word shingles that differ in 3 or fewer bits.
 
-    Line dedup has cut what near copies share out of the later ones, so the whole texts in documents are compared as well.
+    Texts with a similarity of 0.8 differ in about 10 bits, beyond what fingerprints can be searched for, so groups of a Jaccard
+    similarity of 0.8 or more are found by minimum hashes first. Line dedup has cut what near copies share out of the later
+    ones, so these are told by the whole texts in documents as well. Doing this first, SimHash only ever takes more.
     """
-    return near_copies.keep_one(docs, shingle=5, similarity=0.8, earlier=table(spark, sf_dir, "documents"))
+    left = near_copies.keep_one(docs, shingle=5, similarity=0.8, earlier=table(spark, sf_dir, "documents"))
+    return simhash.keep_one(left, shingle=5, radius=3)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

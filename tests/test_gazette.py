@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from pregonero.operators import gazette
+from pregonero.functions import dates
+from pregonero.functions.places import state_in_text
+from pregonero.functions.text import grab
+from pregonero.operators import gazette, gazette_patterns as P
 from pregonero.sources import sinks
 
 NOTICE = """SECRETARÍA DE SALUD PÚBLICA
@@ -131,3 +134,20 @@ def test_answers(spark):
     rows = [("f", 1, f"[{one}]"), ("f", 2, f"```json\n[{one},{one}]\n```"), ("f", 3, one), ("f", 4, "nada"), ("f", 5, f"x [{one}] y"), ("f", 6, "[roto")]
     got = gazette.answer_records(spark.createDataFrame(rows, "file string, page int, answer string"))
     assert sorted((r.page, r.pos) for r in got.collect()) == [(1, 0), (2, 0), (2, 1), (3, 0), (5, 0)]
+
+
+def test_the_first_letter_of_a_label_is_spelt_out(values):
+    assert P.quick("Fallo") == "(?-i:[Ff])allo" and P.EVENTS["fecha_fallo"].startswith("(?iuU)(?=(?-i:[EeFf]))")
+    texts = ["FALLO: 1/2/2024", "emiſión del fallo 3-4-2025 10:30", "Emisión de Fallo: 5 de mayo de 2024", "allo 1/2/2024"]
+    assert values(lambda c: grab(c, P.EVENTS["fecha_fallo"]), texts) == ["1/2/2024", "3-4-2025 10:30", "5 de mayo de 2024", None]
+    assert values(state_in_text, ["en SİNALOA.", "ſonora", "xSonora, Pueblas", "NUEVO LEON y México", "Estado de méxico"]) == [
+        "Sinaloa", "Sonora", None, "Nuevo León", "Estado de México"]
+    moments = ["31/02/2024", "5 de Mayo de 2024, a las 9:05", "1/1/2024 24:00", "٣ de mayo de 2024", "29-2-2024"]
+    assert values(dates.event_timestamp, moments) == [None, "2024-05-05 09:05:00", None, None, "2024-02-29 00:00:00"]
+
+
+def test_an_address_is_looked_for_once(spark):
+    text = F.concat(F.lit("ubicado en Avenida Central "), F.col("id").cast("string"), F.lit(", Puebla."))
+    df = gazette.with_location(spark.range(12, 13).select(text.alias("texto")))
+    assert df.first().direccion_completa == "Avenida Central 12, Puebla"
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("bicad(?:o|a)") == 1

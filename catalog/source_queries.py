@@ -205,11 +205,17 @@ def ocds_csv(spark, sf):
     return ocds.read_csv(spark, ocds_csv_folder(spark, sf))
 
 
+def broken_rows(spark, sf):
+    """Cells with line breaks, doubled quotes and commas, in one task, which only writes. The joins stay with many tasks: in one
+    (coalesce) the buffers of all their partitions would be held until it ends."""
+    rows = view(spark, sf, "ocds").select("k", "ocid", F.concat(F.lit('say "'), "tender_title", F.lit('",\n"x"\n'), "buyer").alias("texto"))
+    return rows.repartition(1)
+
+
 def broken_cells(spark, sf):
-    """One file whose cells hold line breaks, doubled quotes and commas, read by ranges."""
+    """One file of such cells, read by ranges."""
     path = work_dir(spark, "ocds")
-    rows = view(spark, sf, "ocds").select("k", "ocid", F.concat(F.lit('say "'), "tender_title", F.lit('",\n"x"\n'), "buyer").alias("texto"))
-    rows.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    broken_rows(spark, sf).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return csv_ranges.read_csv(spark, path)
 
 

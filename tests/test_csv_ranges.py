@@ -2,6 +2,7 @@
 
 import csv
 import io
+import os
 import random
 
 import pytest
@@ -82,3 +83,11 @@ def test_stray_quotes_blank_lines_and_an_open_end(spark, tmp_path, small_ranges)
 def test_empty_folder_of_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,text\n")
     assert csv_ranges.read_csv(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+def test_the_task_that_writes_one_file_does_not_join(spark):
+    from catalog.source_queries import broken_rows
+
+    plan = broken_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" in plan and "Coalesce" not in plan

@@ -53,11 +53,12 @@ on(
 
 
 def portal_scan(spark, sf):
-    """The documents written as files, read back whole."""
+    """The documents written as files of one folder, read back whole. A folder for each file would be made, moved and listed
+    one after the other by the driver; here tasks move their files themselves."""
     path = work_dir(spark, "portal")
-    docs = view(spark, sf, "portal_files")
-    docs.select("text", F.col("file_name").alias("doc")).repartition("doc").write.partitionBy("doc").text(path)
-    back = files.documents(spark, f"{path}/*", "*.txt")
+    docs = view(spark, sf, "portal_files").select("text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs.write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
+    back = files.documents(spark, path, "*.txt")
     return portal.records(back).select(field(F.col("rec"), "cod_expediente").alias("codigo"), F.col("pos").cast("long").alias("pos"))
 
 

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from pregonero.operators.backfill import finish
 from pregonero.schema import COLUMNS, conform
 from pregonero.session import work_dir
 from pregonero.sources import csv_ranges, files, ocds, portal, rejects, sinks, sites
+from pregonero.sources.ocds import packed, rows_of
 from pregonero.sources.registry import SOURCES
 
 from .inputs import AS_OF, iso, table, text_agg, view
@@ -273,20 +274,23 @@ def release_documents(spark, sf, dialect="spark"):
       FROM (SELECT CAST(floor(k / 100) AS BIGINT) AS chunk, '[' || {body} || ']' AS body FROM releases GROUP BY 1) x""")
 
 
-def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for text in batch["text"]:
+ARCHIVE = pa.schema([("file_name", pa.string()), ("content", pa.binary())])
+
+
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives():
+        for name, text in rows_of(batches):
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr("leeme.txt", "x")
                 archive.writestr("releases.json", text.encode())
-            out.append(buffer.getvalue())
-        yield pd.DataFrame({"file_name": batch["file_name"], "content": out})
+            yield name, buffer.getvalue()
+
+    return packed(archives(), ARCHIVE)
 
 
 def zipped_releases(spark, sf):
-    zips = release_documents(spark, sf).mapInPandas(_zip, "file_name string, content binary")
+    zips = release_documents(spark, sf).mapInArrow(_zip, "file_name string, content binary")
     return ocds.releases(ocds.unzip(zips))
 
 
@@ -697,21 +701,24 @@ register(
 )
 
 
-def _spoiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spoiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Archives by number: damaged, without JSON, with the JSON in a folder, with JSON that is no list, or whole."""
-    for batch in batches:
-        for name, text in zip(batch["file_name"], batch["text"]):
+
+    def archives():
+        for name, text in rows_of(batches):
             kind, buffer = int(name[3:-4]) % 5, io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr("leeme.txt", "x")
                 if kind != 2:
                     archive.writestr("datos/releases.json" if kind == 3 else "releases.json", "{}" if kind == 4 else text)
             content = buffer.getvalue()
-            yield pd.DataFrame({"file_name": [name], "content": [content[: len(content) // 2] if kind == 1 else content]})
+            yield name, content[: len(content) // 2] if kind == 1 else content
+
+    return packed(archives(), ARCHIVE)
 
 
 def spoiled_zips(spark, sf):
-    return ocds.unpack(release_documents(spark, sf).mapInPandas(_spoiled, "file_name string, content binary"))
+    return ocds.unpack(release_documents(spark, sf).mapInArrow(_spoiled, "file_name string, content binary"))
 
 
 register(

@@ -8,7 +8,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -99,10 +99,41 @@ def read_zips(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _first_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per archive, passed on as soon as it is opened: the text of its first JSON member, or what is wrong."""
+PACKED_BYTES = 1 << 20  # texts or archives of a batch that a task passes on
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows as Python values, made one at a time."""
     for batch in batches:
-        for name, content in zip(batch["file_name"], batch["content"]):
+        for cells in zip(*batch.columns):
+            yield tuple(c.as_py() for c in cells)
+
+
+def packed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about PACKED_BYTES, so that a task never holds more than that and one row of its results."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(c) for c in row if c is not None)
+        if size >= PACKED_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+UNPACKED = pa.schema([("file_name", pa.string()), ("text", pa.string()), ("problema", pa.string())])
+
+
+def _first_json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per archive: the text of its first JSON member, or what is wrong."""
+
+    def opened():
+        for name, content in rows_of(batches):
             text = problem = None
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -113,13 +144,15 @@ def _first_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         problem = "sin JSON"
             except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError) as error:
                 problem = f"archivo dañado: {type(error).__name__}"
-            yield pd.DataFrame({"file_name": [name], "text": [text], "problema": [problem]})
+            yield name, text, problem
+
+    return packed(opened(), UNPACKED)
 
 
 def unpack(zips: DataFrame) -> DataFrame:
     """The first JSON member of each archive (those at the top first) as text, or the problem. Spark has no zip codec, hence
     the one Python step."""
-    return zips.select("file_name", "content").mapInPandas(_first_json, "file_name string, text string, problema string")
+    return zips.select("file_name", "content").mapInArrow(_first_json, "file_name string, text string, problema string")
 
 
 def unzip(zips: DataFrame) -> DataFrame:

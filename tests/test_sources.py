@@ -5,6 +5,8 @@ import json
 import os
 import zipfile
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from pregonero.functions.jsons import field
@@ -171,3 +173,29 @@ def test_all_sources_into_one_table(spark, tmp_path):
     second = insert_if_absent(registry.ingest_batch(spark, paths, day()), table)
     assert run_metrics(second).filter("fuente = 'TOTAL'").first().insertados == 0
     assert read_table(spark, table).count() == 4
+
+
+def test_unpacked_texts_are_passed_on_in_small_batches():
+    texts = [json.dumps(["x" * 600_000, i]) for i in range(8)]
+    archives = []
+    for text in texts:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.json", text)
+        archives.append(buffer.getvalue())
+    batch = pa.RecordBatch.from_arrays([pa.array([*"abcdefghi"]), pa.array([*archives, None], pa.binary())], ["file_name", "content"])
+    out = list(ocds._first_json(iter([batch])))
+    assert len(out) > 3 and all(b.nbytes < 2 * ocds.PACKED_BYTES for b in out)
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [*zip("abcdefgh", texts, [None] * 8), ("i", None, "archivo dañado: BadZipFile")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+def test_portal_documents_lie_in_one_folder(spark, tmp_path, monkeypatch):
+    from catalog import source_queries
+
+    folder = tmp_path / "portal"
+    monkeypatch.setattr(source_queries, "work_dir", lambda spark, label: f"file://{folder}")
+    assert source_queries.portal_scan(spark, "/root/testdata/sf0.001").count() > 0
+    assert not [p for p in folder.iterdir() if p.is_dir()]
+    assert len(list(folder.glob("*.txt"))) == source_queries.view(spark, "/root/testdata/sf0.001", "portal_files").count()

@@ -110,7 +110,7 @@ def test_entry_file_works_without_the_subpackage(tmp_path):
 
 def test_simhash_takes_what_line_dedup_and_minimum_hashes_leave(spark, tmp_path):
     """Fingerprints count repeats: here a passage said again and again outweighs the words that differ, of which sets are made."""
-    passage = " ".join(f"p{j}" for j in range(12)) + " "
+    passage = " ".join(f"p{j}" for j in range(11)) + " "
     rows = [(i, passage * 300 + " ".join(f"w{i}x{j}" for j in range(60)), "en", "s", 1) for i in range(2)]
     rows.append((2, " ".join(f"other{j}" for j in range(80)), "en", "s", 1))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

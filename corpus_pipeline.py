@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pregonero.llm import decontamination, line_dedup, mixing, near_copies, quality_rules, simhash
 from pregonero.llm.store import columns_clear_of, stage, table
+from pregonero.session import drop_dir, work_dir
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -36,8 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     similarity of 0.8 or more are found by minimum hashes first. Line dedup has cut what near copies share out of the later
     ones, so these are told by the whole texts in documents as well. Doing this first, SimHash only ever takes more.
     """
-    left = near_copies.keep_one(docs, shingle=5, similarity=0.8, earlier=table(spark, sf_dir, "documents"))
-    return simhash.keep_one(left, shingle=5, radius=3)
+    below = work_dir(spark, "near")
+    left = near_copies.keep_one(docs, shingle=5, similarity=0.8, earlier=table(spark, sf_dir, "documents"), below=below)
+    kept = simhash.keep_one(left, shingle=5, radius=3)  # has written what it needs of these rows
+    drop_dir(spark, below)
+    return kept
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import drop_written
 from .store import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -236,8 +237,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     """docs without the rows in which a window occurs. Rows equal in id and text share their verdict."""
     text_hash = F.when(F.col(text_column).isNotNull(), F.xxhash64(F.col(text_column)))
     keyed = docs.select(F.struct(F.col(id_column).alias("id"), text_hash.alias("hash")).alias("key"), F.col(text_column).alias("text"))
-    found = search(build_index(keyed, "key", "text"), benchmark, size).filter("n_hit > 0")
-    hit = found.select(F.col("id.id").alias("hit_id"), F.col("id.hash").alias("hit_hash")).distinct()
+    index = build_index(keyed, "key", "text")
+    found = search(index, benchmark, size).filter("n_hit > 0")
+    hit = stage(found.select(F.col("id.id").alias("hit_id"), F.col("id.hash").alias("hit_hash")).distinct(), "hits")
+    drop_written(index)
     return docs.join(
         hit, F.col(f"`{id_column}`").eqNullSafe(F.col("hit_id")) & text_hash.eqNullSafe(F.col("hit_hash")), "left_anti"
     )

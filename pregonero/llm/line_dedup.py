@@ -36,6 +36,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import drop_dir, work_dir
 from .store import WORD, columns_clear_of, slices, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -289,11 +290,12 @@ def _align(shared: DataFrame) -> DataFrame:
 def duplicate_blocks(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     sentence_words: int = SENTENCE_WORDS, context_words: int = CONTEXT_WORDS, min_block_words: int = MIN_BLOCK_WORDS,
+    below: str | None = None,
 ) -> DataFrame:
     """(id, hash, blocks, common), for documents that have any: the blocks to delete, and the blocks common with each partner;
-    hash as text_hash() gives it."""
+    hash as text_hash() gives it. below: a folder for written windows that the caller drops."""
     keyed = docs.select(F.col(id_column).alias("id"), text_hash(text_column).alias("hash"), F.col(text_column).alias("text"))
-    cut = stage(_windows(keyed, sentence_words, context_words, min_block_words), "line-windows")
+    cut = stage(_windows(keyed, sentence_words, context_words, min_block_words), "line-windows", below)
     windows = cut.select("id", "hash", F.explode("windows").alias("window")).select("id", "hash", "window.*")
     repeated = F.col("flags").bitwiseAND(F.lit(REPEATED)) > 0
     holder = F.struct(F.col("id").isNull().alias("none"), "id", "hash", F.col("place").alias("spot"), repeated.alias("repeated"))
@@ -320,7 +322,10 @@ def dedup_lines(
 ) -> DataFrame:
     """docs with blocks deleted from the text, then n_blocks and n_removed_words (names prefixed by `_` if taken)."""
     names = columns_clear_of(docs, "n_blocks", "n_removed_words", "dup_id", "dup_hash", "blocks")
-    found = stage(duplicate_blocks(docs, id_column, text_column, sentence_words, context_words, min_block_words), "line-blocks").select(
+    below = work_dir(docs.sparkSession, "line-dedup")
+    written = stage(duplicate_blocks(docs, id_column, text_column, sentence_words, context_words, min_block_words, below), "line-blocks")
+    drop_dir(docs.sparkSession, below)  # the windows are larger than the texts
+    found = written.select(
         F.col("id").alias(names["dup_id"]), F.col("hash").alias(names["dup_hash"]), F.col("blocks").alias(names["blocks"])
     )
     joined = docs.join(

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.components import connected
-from ..session import drop_dir, work_dir
+from ..session import drop_dir, drop_written, work_dir
 from .store import broadcast_if_small, columns_clear_of, slices, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -192,7 +192,7 @@ def later_ids(ids: DataFrame, documents: DataFrame, shingle: int = 5, similarity
 
 def keep_one(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = SIMILARITY,
-    earlier: DataFrame | None = None,
+    earlier: DataFrame | None = None, below: str | None = None,
 ) -> DataFrame:
     """The rows of docs that come first, by id and then by place, in their component; the columns of docs.
 
@@ -200,17 +200,22 @@ def keep_one(
     which leaves a near copy as a rest that is no near copy any more. Ids whose earlier texts are near copies go first, all
     but the smallest of each component; what stays is compared by its present texts. The two kinds of links form components
     of their own: equal rests of two documents say nothing about what they were cut from.
+    below: a folder for the written rows, which the result reads; a caller that gives it drops it.
     """
     names = columns_clear_of(docs, "fp", "bands", "row_no")
     fp, row_no = names["fp"], names["row_no"]
     numbered = marked(docs, text_column, shingle, fp, names["bands"]).withColumn(row_no, F.monotonically_increasing_id())
-    rows = stage(numbered, "near-rows")  # written row numbers don't change when a task runs again
+    rows = stage(numbered, "near-rows", below)  # written row numbers don't change when a task runs again
+    now = work_dir(docs.sparkSession, "near-now")
     marks = rows.select(
         F.col(f"`{id_column}`").alias("id"), F.col(row_no).alias("row"), F.col(fp).alias("fp"), F.col(names["bands"]).alias("bands")
     )
     if earlier is not None:
         before = earlier.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-        marks = stage(marks.join(later_ids(marks.select("id"), before, shingle, similarity), "id", "left_anti"), "near-left")
+        later = later_ids(marks.select("id"), before, shingle, similarity)
+        marks = stage(marks.join(later, "id", "left_anti"), "near-left", now)
+        drop_written(later)
     texts = rows.select(F.col(row_no).alias("row"), F.col(f"`{text_column}`").alias("text"))
-    first = _firsts(marks, links(marks, texts, shingle, similarity))
+    first = stage(_firsts(marks, links(marks, texts, shingle, similarity, below=now), now), "near-firsts")
+    drop_dir(docs.sparkSession, now)
     return rows.join(first, rows[row_no] == first.first_row, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -116,3 +116,28 @@ def test_simhash_takes_what_line_dedup_and_minimum_hashes_leave(spark, tmp_path)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [0, 2]
+
+
+def test_stages_leave_no_large_tables_behind(spark):
+    """Windows, marks and the positional index go as soon as what they tell is written."""
+    import os
+
+    import corpus_pipeline
+    from pregonero.llm import decontamination, line_dedup
+    from pregonero.session import application_dir
+
+    def labels():
+        return {f.rsplit("-", 1)[0] for f in os.listdir(folder) if f not in before}
+
+    folder = application_dir(spark).removeprefix("file:")
+    long = " ".join(f"palabra{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, long), (2, f"{long}\notra"), (3, "tres " * 30), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "tres " * 10)], "item_id long, text string")
+    before = set(os.listdir(folder))
+    assert decontamination.drop_contaminated(docs, bench).count() == 3
+    assert labels() == {"hits"}
+    assert line_dedup.clean(docs).count() == 4
+    assert labels() == {"hits", "line-blocks"}
+    docs.write.parquet(f"{folder}/given/documents.parquet")
+    assert corpus_pipeline.near_duplicates(spark, docs, f"{folder}/given").count() == 3
+    assert not labels() & {"near", "near-rows", "near-left", "near-later", "near-bands", "near-dealt"}

@@ -69,6 +69,23 @@ def test_a_long_chain_takes_few_rounds(spark, tmp_path, monkeypatch):
     assert rounds.count("links") <= 18 and rounds.count("told") == 2
 
 
+def test_finished_links_and_long_digests_are_not_carried_on(spark, tmp_path, monkeypatch):
+    """A chain's links are doubled until they are known to end, without a round that only finds that out; the triple's digest
+    travels as bytes."""
+    seen, plain = [], upsert.written
+
+    def noted(df, label, below=None):
+        seen.append((label, dict(df.dtypes).get("t")))
+        return plain(df, label, below)
+
+    monkeypatch.setattr(upsert, "written", noted)
+    rows = [(i, f"h{(i + 1) // 2}", f"n{i // 2}", "a", "DOF") for i in range(16)]
+    got = upsert.insert_status(tenders(spark, rows), tenders(spark, []))
+    assert {r._ord: r.estatus for r in got.collect()} == sequential(rows)
+    labels = [label for label, _ in seen]
+    assert labels.count("links") == 4 and ("rows", "binary") in seen
+
+
 def test_batches_leave_no_folders(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     upsert.create_table(spark, path)

@@ -25,9 +25,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Characters that are no white space by any definition; a space between two of them is a place to cut.
 CUT = re.compile("(?<=[!-~¡-ᙿ]) (?=[!-~¡-ᙿ])")
-#: Letters that all versions of Unicode know, and a mark that is no part of a word.
-MARKS = ".,;:!?"
-WORD = re.compile(f"([A-Za-zÀ-ÖØ-öø-ɏ]+)([{MARKS}]?)")
+ENDS = re.compile(r"(?s)(?=[!-~¡-ᙿ]).*[!-~¡-ᙿ]\Z")
+#: Pieces encoded as one text.
+JOINED = 100
 CACHED_PIECES = 600_000
 SPACE_MARK = "▁"
 
@@ -39,6 +39,38 @@ def byte_level_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+BYTES = byte_level_bytes()
+ALPHABET = {b: c for c, b in BYTES.items()}
+SPACE = ALPHABET[0x20]
+
+
+def kept_in_worker(name: str) -> dict:
+    """What a worker process keeps for its next tasks under a name."""
+    kept = sys.modules.setdefault("pregonero_kept_pieces", types.ModuleType("pregonero_kept_pieces"))
+    return vars(kept).setdefault(name, {})
+
+
+def learn_joined(pieces: list[str], ids: np.ndarray, spaced: np.ndarray, known: dict[str, bytes | None]) -> bool:
+    """Learns pieces from the ids of one text, where each stands after a space: a piece's ids begin at a token that begins with
+    a space. False, with nothing learnt, if there are more or fewer of them than pieces."""
+    starts = np.flatnonzero(spaced[ids])
+    if len(starts) != len(pieces) or starts[0]:
+        return False
+    whole, bounds = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+    known.update(zip(pieces, map(whole.__getitem__, map(slice, bounds, bounds[1:]))))
+    return True
+
+
+def crosses(token: str) -> bool:
+    """Whether a token of the byte-level alphabet holds a place where the pre-tokenizer cuts a text of plain pieces: between
+    letters, digits and other characters, and around white space that is not one space before them."""
+    kinds = {
+        "space" if b in b" \t\n\v\f\r" else "digit" if 0x30 <= b <= 0x39 else "letter" if b >= 0x80 or chr(b).isalpha() else "other"
+        for b in (BYTES.get(c, 0) for c in (token[1:] if token[:1] == SPACE else token))
+    }
+    return len(kinds) > 1 or (kinds == {"space"} and len(token) > 1)
+
+
 class ByteLevel:
     """A byte-level BPE of the tokenizers library, in a task."""
 
@@ -46,40 +78,46 @@ class ByteLevel:
 
     def __init__(self, json_text: str, specials_are_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.name = f"bytes-{zlib.crc32(json_text.encode())}-{specials_are_text}"
+        self.tokenizer, self.joined, self.cuts, self.plain, self.spaced, self.crossing = kept_in_worker("libraries").get(self.name) or self._read(json_text)
+        self.tokenizer.encode_special_tokens = specials_are_text
+        kept_in_worker("libraries")[self.name] = self.tokenizer, self.joined, self.cuts, self.plain, self.spaced, self.crossing
+
+    @staticmethod
+    def _read(json_text: str) -> tuple:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json_text)
+        tokenizer = Tokenizer.from_str(json_text)
         said = json.loads(json_text)
         before, added = said["pre_tokenizer"] or {}, [t["content"] for t in said["added_tokens"]]
-        self.cuts = (
+        cuts = (
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and not said["normalizer"]
-            and said["model"]["type"] == "BPE" and not any(" " in t or WORD.fullmatch(t) for t in added)
+            and said["model"]["type"] == "BPE" and not any(" " in t for t in added)
         )
-        # one byte is one character of the alphabet and a token of its own
-        self.alphabet = {b: c for c, b in byte_level_bytes().items()}
-        self.marks = {m: array("I", [self.tokenizer.token_to_id(m)] if m else []).tobytes() for m in ("", *MARKS)} if self.cuts else {}
-        self.tokenizer.encode_special_tokens = specials_are_text
-        self.name = f"bytes-{zlib.crc32(json_text.encode())}-{specials_are_text}"
+        first = "".join(sorted({t[0] for t in added if t} | {"'"}))
+        part = f"(?![{re.escape(first)}])[!-~À-ÖØ-öø-ɏ]"
+        vocabulary = tokenizer.get_vocab()
+        spaced, crossing = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        for token, number in vocabulary.items():
+            spaced[number], crossing[number] = token.startswith(SPACE) and token not in added, crosses(token)
+        return tokenizer, Tokenizer(tokenizer.model), cuts, re.compile(f"(?:{part})+(?:\n(?:{part})+)*"), spaced, crossing
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str], known: dict[str, bytes | None]) -> None:
-        """Ids of pieces after a space. Letters, and a mark after them, are pre-tokens of their own: the library's model
-        gets the letters as they are."""
-        others, model, start = [], self.tokenizer.model, self.alphabet[0x20]
+        """Ids of pieces after a space. Pieces of letters, digits, signs and single line breaks go to the library's model many at
+        a time and without its pre-tokenizer. No token crossed a place where that cuts if none of those that came out does: what
+        is merged once stays so. Else, and with apostrophes or other characters, pieces are encoded one by one."""
+        others, plain = [], []
         for piece in pieces:
-            found = WORD.fullmatch(piece)
-            if not found:
-                others.append(piece)
-                continue
-            word, mark = found.groups()
-            ids = known.get(word)
-            if ids is None:
-                letters = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
-                known[word] = ids = array("I", [t.id for t in model.tokenize(start + letters)]).tobytes()
-            if mark:
-                known[piece] = ids + self.marks[mark]
+            (plain if self.plain.fullmatch(piece) else others).append(piece)
+        parts = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        texts = [(" " + " ".join(part)).encode().decode("latin-1").translate(ALPHABET) for part in parts]
+        for part, found in zip(parts, self.joined.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            if self.crossing[ids].any() or not learn_joined(part, ids, self.spaced, known):
+                others += part
         for piece, ids in zip(others, self.encode([" " + p for p in others])):
             known[piece] = array("I", ids).tobytes()
 
@@ -103,13 +141,21 @@ class SentencePieces:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.cuts = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
+        self.spaced = np.array([p.startswith(SPACE_MARK) for p in pieces])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
     def learn(self, pieces: list[str], known: dict[str, bytes | None]) -> None:
-        """Ids of pieces after a space, which the model adds."""
-        for piece, ids in zip(pieces, self.encode(pieces)):
+        """Ids of pieces after a space, which the model adds. Printed ASCII is what the model's normaliser leaves as it is;
+        other pieces may gain or lose spaces in it and are learnt one by one."""
+        plain = [p for p in pieces if p.isascii() and p.isprintable()]
+        others = [p for p in pieces if not (p.isascii() and p.isprintable())]
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            if not learn_joined(part, np.array(self.model.encode(" ".join(part)), np.uint32), self.spaced, known):
+                others += part
+        for piece, ids in zip(others, self.encode(others)):
             known[piece] = array("I", ids).tobytes()
 
     def token_bytes(self) -> list[bytes]:
@@ -133,8 +179,7 @@ class PieceCache:
     def __init__(self, library: ByteLevel | SentencePieces, after_space: bool, most: int = CACHED_PIECES):
         self.library, self.lead, self.most = library, after_space, most
         self.space = "" if library.adds_space else " "
-        kept = sys.modules.setdefault("pregonero_kept_pieces", types.ModuleType("pregonero_kept_pieces"))
-        self.known: dict[str, bytes | None] = vars(kept).setdefault(library.name, {})
+        self.known: dict[str, bytes | None] = kept_in_worker(library.name)
         self.cuts = library.cuts
 
     def learn(self, pieces: set[str]) -> None:
@@ -144,7 +189,7 @@ class PieceCache:
             self.known.clear()
             new = list(pieces)
         for at in range(0, len(new), 10_000):
-            part = [p for p in new[at : at + 10_000] if p and printed(p[0]) and printed(p[-1])]
+            part = [p for p in new[at : at + 10_000] if ENDS.match(p)]
             self.known.update(dict.fromkeys(new[at : at + 10_000]))
             self.library.learn(part, self.known)
 

@@ -1,5 +1,6 @@
 """Token files: exact round trips, damaged files, single blocks, and the pieces against whole texts."""
 
+import json
 import random
 import struct
 import zlib
@@ -39,6 +40,52 @@ def test_pieces_give_the_ids_of_whole_texts():
             assert [i.tolist() for i in cache.ids(texts)] == pieces.encode(texts)
 
 
+class Counted:
+    """A library that counts the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def encode(self, texts, **more):
+        self.texts += 1 if isinstance(texts, str) else len(texts)
+        return self.library.encode(texts, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **more)
+
+
+def test_new_pieces_are_learnt_together():
+    """One text for many pieces, and the ids each has alone."""
+    rng = random.Random(3)
+    pieces = sorted({"".join(rng.choices("abcdeFGHé09.,-*\n", k=rng.randrange(1, 12))).strip("\n") or "x" for _ in range(2000)})
+    pieces += ["it's", "<|endoftext|>", "a<|endoftext|>b", "c\n\nd", "e\tf", "日本", "a\u00a0b", "g\u3000h", "soft\u00adhyphen"]
+    wholly, alone = Tokenizer.from_str(JSON), sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    library, known = bpe.ByteLevel(JSON), {}
+    library.tokenizer, library.joined = Counted(library.tokenizer), Counted(library.joined)
+    library.learn(pieces, known)
+    assert [np.frombuffer(known[p], np.uint32).tolist() for p in pieces] == [wholly.encode(" " + p, add_special_tokens=False).ids for p in pieces]
+    assert library.joined.texts + library.tokenizer.texts < len(pieces) // 2
+    library, known = bpe.SentencePieces(MODEL), {}
+    library.model = Counted(library.model)
+    library.learn(pieces, known)
+    assert [np.frombuffer(known[p], np.uint32).tolist() for p in pieces] == alone.encode(pieces)
+    assert library.model.texts < len(pieces) // 2 + sum(not (p.isascii() and p.isprintable()) for p in pieces)
+
+
+def test_joined_pieces_that_a_token_crosses_are_encoded_alone():
+    """A vocabulary with a token over a letter and a full stop, which the pre-tokenizer never lets come about."""
+    said = json.loads(JSON)
+    said["model"]["vocab"]["a."] = len(said["model"]["vocab"]) + 10
+    first = said["model"]["merges"][0]
+    said["model"]["merges"].insert(0, "a ." if isinstance(first, str) else ["a", "."])
+    text, known = json.dumps(said), {}
+    assert bpe.crosses("a.") and not bpe.crosses(bpe.SPACE + "a") and bpe.crosses(bpe.SPACE * 2) and bpe.crosses("a" + bpe.SPACE)
+    bpe.ByteLevel(text).learn(["a.", "b", "ba.c"], known)
+    plain = Tokenizer.from_str(text)
+    assert {p: np.frombuffer(i, np.uint32).tolist() for p, i in known.items()} == {p: plain.encode(" " + p).ids for p in ("a.", "b", "ba.c")}
+
+
 @pytest.mark.parametrize("n", [1, 2, 511, 512, 513, 5000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)

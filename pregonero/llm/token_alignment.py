@@ -128,22 +128,22 @@ def _linked_pairs(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np
     links = n_a[few] * n_b[few]
     of = np.repeat(few, links)
     within = np.arange(len(of)) - np.repeat(np.cumsum(links) - links, links)
-    texts = [text[of]]
-    pairs = [a[group_a[of] + within // n_b[of]].astype(np.int64) * SHIFT + b[group_b[of] + within % n_b[of]]]
-    numbers = [np.ones(len(of), np.int64)]
-    for g in np.flatnonzero(wide):
-        ids_a, times_a = np.unique(a[group_a[g] : group_a[g + 1]], return_counts=True)
-        ids_b, times_b = np.unique(b[group_b[g] : group_b[g + 1]], return_counts=True)
-        pairs.append((ids_a.astype(np.int64)[:, None] * SHIFT + ids_b[None, :]).reshape(-1))
-        numbers.append((times_a[:, None] * times_b[None, :]).reshape(-1))
-        texts.append(np.full(len(pairs[-1]), text[g]))
-    texts, pairs, numbers = np.concatenate(texts), np.concatenate(pairs), np.concatenate(numbers)
     # ids are below 2**20 both, so a batch of fewer than 2**23 texts fits into one sorted key
-    key = texts << 40 | pairs
-    order = np.argsort(key, kind="stable")
-    key, numbers = key[order], numbers[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-    return key[first] >> 40, key[first] & ((1 << 40) - 1), np.add.reduceat(numbers, first) if len(first) else numbers
+    key = text[of] << 40 | a[group_a[of] + within // n_b[of]].astype(np.int64) * SHIFT + b[group_b[of] + within % n_b[of]]
+    key, numbers = np.unique(key, return_counts=True)
+    if wide.any():
+        keys, counts = [key], [numbers]
+        for g in np.flatnonzero(wide):
+            ids_a, times_a = np.unique(a[group_a[g] : group_a[g + 1]], return_counts=True)
+            ids_b, times_b = np.unique(b[group_b[g] : group_b[g + 1]], return_counts=True)
+            keys.append(text[g] << 40 | (ids_a.astype(np.int64)[:, None] * SHIFT + ids_b[None, :]).reshape(-1))
+            counts.append((times_a[:, None] * times_b[None, :]).reshape(-1))
+        key, numbers = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        key, numbers = key[order], numbers[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key, numbers = key[first], np.add.reduceat(numbers, first)
+    return key >> 40, key & ((1 << 40) - 1), numbers
 
 
 def align_texts(words: Vocabularies, texts: list[str]) -> list[tuple]:
@@ -163,7 +163,8 @@ def align_texts(words: Vocabularies, texts: list[str]) -> list[tuple]:
     # the printed groups: A tokens of a group come before its B tokens
     last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     last_a[rank_a], last_b[rank_b] = True, True
-    number_a, number_b = np.searchsorted(rank_a, np.arange(len(a))), np.searchsorted(rank_b, np.arange(len(b)))
+    # the groups that have ended before each token
+    number_a, number_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     codes = np.empty(len(a) + len(b), np.int64)
     codes[np.arange(len(a)) + group_b[number_a]] = a + last_a * words.n[0]
     codes[np.arange(len(b)) + group_a[number_b + 1]] = 2 * words.n[0] + b + last_b * words.n[1]

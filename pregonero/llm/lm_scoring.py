@@ -156,12 +156,8 @@ def train(
         step("r", inputs, gradient_r)
 
 
-def coded(triples: np.ndarray, n_classes: int) -> np.ndarray:
-    """One number a triple."""
-    return (triples[:, 0].astype(np.int64) * (n_classes + 1) + triples[:, 1]) * n_classes + triples[:, 2]
-
-
 def decoded(codes: np.ndarray, n_classes: int) -> np.ndarray:
+    """Triples of classes from their numbers, which `Lookup.codes` gives."""
     rest, word = np.divmod(codes, n_classes)
     return np.stack((*np.divmod(rest, n_classes + 1), word), axis=1).astype(np.int16)
 
@@ -179,7 +175,7 @@ def count_triples(learn: DataFrame, shared: Broadcast) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                waiting.append(coded(known.windows(known.read(text.as_py())[1]), known.n_classes))
+                waiting.append(known.codes(known.read(text.as_py())[1]))
                 held += len(waiting[-1])
                 if held >= TRIPLES:
                     yield counted()
@@ -295,17 +291,32 @@ class Lookup:
             classes[missing] = self.words + np.fromiter(map(tail_class, others), np.int64, len(others))
         return at, classes, others
 
-    def windows(self, classes: np.ndarray) -> np.ndarray:
-        padded = np.concatenate(([self.n_classes] * 2, classes))
-        return np.stack((padded[:-2], padded[1:-1], padded[2:]), axis=1)
+    def padded(self, classes: np.ndarray) -> np.ndarray:
+        """Classes after two starts of a text."""
+        return np.concatenate(([self.n_classes] * 2, classes))
+
+    def codes(self, classes: np.ndarray) -> np.ndarray:
+        """One number for each triple of classes (two before, before, class)."""
+        w = self.padded(classes)
+        return (w[:-2] * (self.n_classes + 1) + w[1:-1]) * self.n_classes + classes
 
     def set_model(self, p: dict[str, np.ndarray], sums: np.ndarray) -> None:
         self.tables = ((p["r"] * p["c1"]) @ p["q"].T, (p["r"] * p["c2"]) @ p["q"].T, p["b"], sums)
 
     def log_probabilities(self, classes: np.ndarray) -> np.ndarray:
         one, two, b, sums = self.tables
-        w = self.windows(classes)
-        return one[w[:, 1], w[:, 2]] + two[w[:, 0], w[:, 2]] + b[w[:, 2]] - sums[w[:, 1], w[:, 0]]
+        w, n = self.padded(classes), self.n_classes
+        before, two_before = w[1:-1], w[:-2]
+        # places in the flat tables: a row of the first two has n numbers, one of the sums n + 1
+        return one.take(before * n + classes) + two.take(two_before * n + classes) + b.take(classes) - sums.take(before * (n + 1) + two_before)
+
+
+def rest_column(counts: list[Counter]) -> pa.ListArray:
+    """Per text the tokens that are not in the head, with their numbers."""
+    ends = np.concatenate(([0], np.cumsum([len(c) for c in counts]))).astype(np.int32)
+    tokens = pa.array([w for c in counts for w in c], pa.binary()).cast(pa.string())
+    numbers = pa.array([n for c in counts for n in c.values()], pa.int64())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([tokens, numbers], ["token", "n"]))
 
 
 class Model:
@@ -370,7 +381,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
     floor = float(np.log10(model.n + SMOOTH * (model.v + 1)))
     shared = shipped(spark, model.lookup)
-    rest_type = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, row = unpacked(Lookup, shared), TaskContext.get().partitionId() << 33
@@ -385,12 +395,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 if missing:
                     part -= float(lookup.log_sum[classes[at < 0] - lookup.words].sum())
                 base = float(lookup.log_c[head].sum()) - len(at) * floor
-                pairs = [{"token": w.decode(), "n": n} for w, n in Counter(missing).items()]
-                found.append((row, len(at), len(head), base, part, pairs))
+                found.append((row, len(at), len(head), base, part, Counter(missing)))
                 row += 1
             new = list(zip(*found)) or [()] * 6
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [rest_type]
-            new = [pa.array(c, k) for c, k in zip(new, kinds)]
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 2
+            new = [*[pa.array(c, k) for c, k in zip(new, kinds)], rest_column(new[5])]
             kept = [c for i, c in enumerate(batch.columns) if i != at_text]
             yield pa.RecordBatch.from_arrays([new[0], *kept, *new[1:]], schema.names)
 

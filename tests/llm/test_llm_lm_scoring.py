@@ -154,3 +154,9 @@ def test_states_are_averaged_by_tokens(spark):
     total, mean = lm.averaged(spark.createDataFrame(states, "n double, state binary"), 19)
     assert total == 190 and np.allclose(mean, np.array([1, 2]) * sum(i * i for i in range(20)) / 190)
     assert lm.averaged(spark.createDataFrame([], "n double, state binary"), 1) is None
+
+
+def test_tokens_outside_the_head_make_one_column():
+    column = lm.rest_column([Counter(["é".encode(), b"x", b"x"]), Counter(), Counter([b"x"])])
+    assert column.to_pylist() == [[{"token": "é", "n": 1}, {"token": "x", "n": 2}], [], [{"token": "x", "n": 1}]]
+    assert lm.rest_column([]).to_pylist() == []

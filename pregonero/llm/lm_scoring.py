@@ -53,10 +53,26 @@ RATE = 0.15
 SMOOTH = 0.1
 FLUSH = 1 << 19  # distinct words a task holds before it passes its counts on
 TRIPLES = 1 << 21  # triples a task holds before it passes their counts on
+TOGETHER = 1 << 13  # tokens looked up at once
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END.encode()]
+def tokens_of(text: str | bytes | None) -> list[bytes]:
+    text = text or b""
+    return [*(text if isinstance(text, bytes) else text.encode()).lower().split(), END.encode()]
+
+
+def in_groups(texts: pa.Array) -> Iterator[tuple[list[bytes], list[int]]]:
+    """The tokens of about TOGETHER tokens' texts in a row, and how many each text has."""
+    tokens, lengths = [], []
+    for text in texts.cast(pa.binary()):
+        before = len(tokens)
+        tokens += tokens_of(text.as_py())
+        lengths.append(len(tokens) - before)
+        if len(tokens) >= TOGETHER:
+            yield tokens, lengths
+            tokens, lengths = [], []
+    if lengths:
+        yield tokens, lengths
 
 
 def tail_class(token: bytes) -> int:
@@ -68,13 +84,13 @@ def count_tokens(learn: DataFrame) -> DataFrame:
 
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "c"]
+            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "c"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
+            for text in batch.column(0).cast(pa.binary()):
                 counts.update(tokens_of(text.as_py()))
                 if len(counts) >= FLUSH:
                     yield rows(counts)
@@ -174,8 +190,8 @@ def count_triples(learn: DataFrame, shared: Broadcast) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                waiting.append(known.codes(known.read(text.as_py())[1]))
+            for tokens, lengths in in_groups(batch.column(0)):
+                waiting.append(known.codes(known.read_tokens(tokens)[1], lengths))
                 held += len(waiting[-1])
                 if held >= TRIPLES:
                     yield counted()
@@ -280,10 +296,11 @@ class Lookup:
         self.tables: tuple | None = None
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        return self.read_tokens(tokens_of(text))
+
+    def read_tokens(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Head numbers of the tokens (-1 if not in the head), their classes, and the tokens not in the head."""
-        tokens = tokens_of(text)
-        get = self.numbers.get
-        at = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
+        at = np.fromiter(map(self.numbers.get, tokens, repeat(-1)), np.int64, len(tokens))
         missing = np.flatnonzero(at < 0)
         others = [tokens[i] for i in missing.tolist()]
         classes = self.classes[at] if len(self.classes) else np.zeros(len(at), np.int64)
@@ -291,22 +308,28 @@ class Lookup:
             classes[missing] = self.words + np.fromiter(map(tail_class, others), np.int64, len(others))
         return at, classes, others
 
-    def padded(self, classes: np.ndarray) -> np.ndarray:
-        """Classes after two starts of a text."""
-        return np.concatenate(([self.n_classes] * 2, classes))
-
-    def codes(self, classes: np.ndarray) -> np.ndarray:
-        """One number for each triple of classes (two before, before, class)."""
-        w = self.padded(classes)
-        return (w[:-2] * (self.n_classes + 1) + w[1:-1]) * self.n_classes + classes
+    def contexts(self, classes: np.ndarray, lengths: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The classes before and two before, of texts in a row (or of one); each begins after two starts."""
+        lengths = [len(classes)] if lengths is None else lengths
+        w = np.concatenate(([self.n_classes] * 2, classes))
+        before, two_before = w[1:-1].copy(), w[:-2].copy()
+        starts = np.cumsum([0, *lengths[:-1]])
+        before[starts] = two_before[starts] = self.n_classes
+        seconds = starts[np.asarray(lengths) > 1] + 1
+        two_before[seconds] = self.n_classes
+        return before, two_before
+
+    def codes(self, classes: np.ndarray, lengths: list[int] | None = None) -> np.ndarray:
+        """One number for each triple of classes (two before, before, class) of texts in a row."""
+        before, two_before = self.contexts(classes, lengths)
+        return (two_before * (self.n_classes + 1) + before) * self.n_classes + classes
 
     def set_model(self, p: dict[str, np.ndarray], sums: np.ndarray) -> None:
         self.tables = ((p["r"] * p["c1"]) @ p["q"].T, (p["r"] * p["c2"]) @ p["q"].T, p["b"], sums)
 
-    def log_probabilities(self, classes: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, classes: np.ndarray, lengths: list[int] | None = None) -> np.ndarray:
         one, two, b, sums = self.tables
-        w, n = self.padded(classes), self.n_classes
-        before, two_before = w[1:-1], w[:-2]
+        (before, two_before), n = self.contexts(classes, lengths), self.n_classes
         # places in the flat tables: a row of the first two has n numbers, one of the sums n + 1
         return one.take(before * n + classes) + two.take(two_before * n + classes) + b.take(classes) - sums.take(before * (n + 1) + two_before)
 
@@ -386,17 +409,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         lookup, row = unpacked(Lookup, shared), TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             found = []
-            for text in batch.column(at_text):
-                at, classes, missing = lookup.read(text.as_py())
-                part = float(lookup.log_probabilities(classes).sum(dtype=np.float64)) / np.log(10)
-                head = at[at >= 0]
-                if len(head):
-                    part += float(lookup.share[head].sum())
-                if missing:
-                    part -= float(lookup.log_sum[classes[at < 0] - lookup.words].sum())
-                base = float(lookup.log_c[head].sum()) - len(at) * floor
-                found.append((row, len(at), len(head), base, part, Counter(missing)))
-                row += 1
+            for tokens, lengths in in_groups(batch.column(at_text)):
+                at, classes, missing = lookup.read_tokens(tokens)
+                known = at >= 0
+                head, logs = at[known], lookup.log_probabilities(classes, lengths)
+                shares, log_c, log_sums = lookup.share[head], lookup.log_c[head], lookup.log_sum[classes[~known] - lookup.words]
+                ends = np.cumsum(lengths)
+                heads = np.cumsum(known)[ends - 1].tolist()
+                begin = first = 0
+                for end, last in zip(ends.tolist(), heads):
+                    part = float(logs[begin:end].sum(dtype=np.float64)) / np.log(10)
+                    if last > first:
+                        part += float(shares[first:last].sum())
+                    lost, lost_end = begin - first, end - last
+                    if lost_end > lost:
+                        part -= float(log_sums[lost:lost_end].sum())
+                    base = float(log_c[first:last].sum()) - (end - begin) * floor
+                    found.append((row, end - begin, last - first, base, part, Counter(missing[lost:lost_end])))
+                    row, begin, first = row + 1, end, last
             new = list(zip(*found)) or [()] * 6
             kinds = [pa.int64()] * 3 + [pa.float64()] * 2
             new = [*[pa.array(c, k) for c, k in zip(new, kinds)], rest_column(new[5])]

@@ -160,3 +160,17 @@ def test_tokens_outside_the_head_make_one_column():
     column = lm.rest_column([Counter(["é".encode(), b"x", b"x"]), Counter(), Counter([b"x"])])
     assert column.to_pylist() == [[{"token": "é", "n": 1}, {"token": "x", "n": 2}], [], [{"token": "x", "n": 1}]]
     assert lm.rest_column([]).to_pylist() == []
+
+
+def test_texts_in_a_row_are_read_as_each_alone(monkeypatch):
+    monkeypatch.setattr(lm, "TOGETHER", 20)
+    texts = [t for _, t in corpus(7, 50)] + [None, "", "x", "A b", "a1 a2 zzz b3é"]
+    groups = list(lm.in_groups(lm.pa.array(texts, lm.pa.string())))
+    assert [n for _, lengths in groups for n in lengths] == [len(tokens(t)) for t in texts] and len(groups) > 5
+    lookup = lm.Lookup([(f"a{i}", 30 - i) for i in range(30)], 20, np.ones(lm.TAIL_CLASSES))
+    got = np.concatenate([lookup.codes(lookup.read_tokens(ts)[1], lengths) for ts, lengths in groups])
+    assert got.tolist() == [c for t in texts for c in lookup.codes(lookup.read(t)[1]).tolist()]
+    start = lookup.n_classes
+    assert lm.decoded(lookup.codes(np.array([1, 2, 3, 4]), [1, 2, 1]), start).tolist() == [
+        [start, start, 1], [start, start, 2], [start, 2, 3], [start, start, 4]
+    ]

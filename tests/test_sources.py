@@ -199,3 +199,27 @@ def test_portal_documents_lie_in_one_folder(spark, tmp_path, monkeypatch):
     assert source_queries.portal_scan(spark, "/root/testdata/sf0.001").count() > 0
     assert not [p for p in folder.iterdir() if p.is_dir()]
     assert len(list(folder.glob("*.txt"))) == source_queries.view(spark, "/root/testdata/sf0.001", "portal_files").count()
+
+
+def test_links_are_joined_as_the_standard_does():
+    from urllib.parse import urljoin
+
+    pages = [
+        "https://a.example/lista/", "https://a.example/", "https://a.example", "http://a.example/x/y.html", "https://a.example//x/", "",
+        "https://a.example/x/../y/", "https://a.example/x?y=/z/", "HTTPS://A.example/x/", "https://a.example/x.y/z", "ftp://a/x/", "a/b/c", None,
+    ]
+    links = [
+        "/doc/1", "bases/2.html", "x", "../x", "./x", "//b.example/x", "/x/../y", "x?y", "#z", "", "/", "x/", "a//b", "mailto:x@y", "x.tar.gz",
+        "é", ".html", "x.", " x", "/x\n",
+    ]
+    for page in pages:
+        join = sites._joiner(page)
+        assert [join(x) for x in links] == [urljoin(page, x) for x in links], page
+
+
+def test_tags_with_quotes_and_open_ends():
+    page = (
+        """<ul><li><a class='x>y' href="/1">uno</a> 03/04/2024 <p>más</li></ul></i><a title="a 'b' > c" href='/5'>cinco</b></a></p>"""
+        """<a href='/6>seis</a>"""
+    )
+    assert sites._anchors(page) == [("/1", "uno", "03/04/2024"), ("/5", "cinco", "03/04/2024")]

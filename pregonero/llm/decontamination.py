@@ -31,7 +31,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import drop_written
+from ..session import LONG_ROWS, drop_written
 from .store import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -97,7 +97,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         if ids:
             yield _block(part, number, ids, lengths, numbers, codes, arrow)
 
-    return stage(docs.select(F.col(id_column), F.col(text_column)).mapInArrow(build, schema), "positions")
+    return stage(docs.select(F.col(id_column), F.col(text_column)).mapInArrow(build, schema), "positions", options=LONG_ROWS)
 
 
 class Windows:

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pyarrow.parquet as pq
+
 from pregonero.llm import decontamination as d
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -96,3 +98,12 @@ def test_items_without_id_count(spark):
     found = {r.id: r for r in d.search(d.build_index(docs), items).collect()}
     assert found[1].n_hit == 10 and found[1]["items"] == ["7", None] and found[2].n_hit == 0
     assert d.drop_contaminated(docs, items.filter("item_id is null")).select("doc_id").collect() == [(2,)]
+
+
+def test_no_row_group_of_the_index_holds_many_blocks(spark):
+    """Readers and writers hold a row group at once, so it must not grow with the rows of a task."""
+    docs = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 50), x -> concat('w', x * id))) AS text")
+    index = d.build_index(docs, block_words=1000)
+    files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == index.count() == 30 and max(groups) <= 4

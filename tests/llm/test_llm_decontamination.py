@@ -107,3 +107,18 @@ def test_no_row_group_of_the_index_holds_many_blocks(spark):
     files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in index.inputFiles()]
     groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
     assert sum(groups) == index.count() == 30 and max(groups) <= 4
+
+
+def test_dropping_searches_an_index_of_small_row_groups(spark, monkeypatch):
+    seen = []
+
+    def drop(index):
+        files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in index.inputFiles()]
+        seen.extend(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups))
+
+    monkeypatch.setattr(d, "drop_written", drop)
+    monkeypatch.setattr(d, "build_index", lambda *a, build=d.build_index: build(*a, block_words=1000))
+    docs = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 50), x -> concat('w', x * id))) AS text")
+    bench = spark.createDataFrame([(1, "w7 w14 w21 w28")], "item_id long, text string")
+    kept = d.drop_contaminated(docs, bench, size=4)
+    assert sum(seen) == 30 and max(seen) <= 4 and kept.count() == 599

@@ -53,13 +53,18 @@ on(
 )
 
 
-def portal_scan(spark, sf):
-    """The documents written as files of one folder, read back whole. A folder for each file would be made, moved and listed
-    one after the other by the driver; here tasks move their files themselves."""
-    path = work_dir(spark, "portal")
+def written_documents(spark, sf, label):
+    """The documents written as files of one folder. A folder for each file would be made, moved and listed one after the other
+    by the driver; here tasks move their files themselves."""
+    path = work_dir(spark, label)
     docs = view(spark, sf, "portal_files").select("text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs.write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
-    back = files.documents(spark, path, "*.txt")
+    return path
+
+
+def portal_scan(spark, sf):
+    """The documents written as files of one folder, read back whole."""
+    back = files.documents(spark, written_documents(spark, sf, "portal"), "*.txt")
     return portal.records(back).select(field(F.col("rec"), "cod_expediente").alias("codigo"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -602,11 +607,9 @@ register(
 
 def recent_documents(spark, sf):
     """Documents just written, read with a limit on their age; an age limit in the future finds none."""
-    path = work_dir(spark, "recent")
-    docs = view(spark, sf, "portal_files")
-    docs.select("text", F.col("file_name").alias("doc")).repartition("doc").write.partitionBy("doc").text(path)
-    recent = files.documents(spark, f"{path}/*", "*.txt", modified_after="2020-01-01T00:00:00")
-    later = files.listing(spark, f"{path}/*", "*.txt", modified_after="2999-01-01T00:00:00")
+    path = written_documents(spark, sf, "recent")
+    recent = files.documents(spark, path, "*.txt", modified_after="2020-01-01T00:00:00")
+    later = files.listing(spark, path, "*.txt", modified_after="2999-01-01T00:00:00")
     found = recent.select(F.md5(F.rtrim(F.regexp_replace("text", "\n$", ""))).alias("h"))
     return found.unionByName(later.select(F.lit("futuro").alias("h")))
 

@@ -1,5 +1,6 @@
 """Readers on small files of every kind."""
 
+import hashlib
 import io
 import json
 import os
@@ -223,3 +224,17 @@ def test_tags_with_quotes_and_open_ends():
         """<a href='/6>seis</a>"""
     )
     assert sites._anchors(page) == [("/1", "uno", "03/04/2024"), ("/5", "cinco", "03/04/2024")]
+
+
+def test_recent_documents_are_files_of_one_folder(spark, monkeypatch):
+    from catalog import source_queries
+
+    texts = [f'[{{"n":{i}}}]' for i in range(12)]
+    docs = spark.createDataFrame([(f"captura_{i}.json", t) for i, t in enumerate(texts)], "file_name string, text string")
+    read, documents = [], files.documents
+    monkeypatch.setattr(source_queries, "view", lambda *a: docs)
+    monkeypatch.setattr(files, "documents", lambda spark, path, *a, **b: read.append(path) or documents(spark, path, *a, **b))
+    found = source_queries.recent_documents(spark, "unused").collect()
+    assert sorted(r.h for r in found) == sorted(hashlib.md5(t.encode()).hexdigest() for t in texts)
+    folder = read[0].removeprefix("file://").removeprefix("file:")
+    assert len([f for f in os.listdir(folder) if f.endswith(".txt")]) == 12 and not any(e.is_dir() for e in os.scandir(folder))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pregonero.operators import filters, paging, upsert
+from pregonero.operators import filters, gazette, paging, upsert
 from pregonero.plans import analysis, statistics
 from pregonero.schema import TENDER
 
@@ -43,3 +43,9 @@ def test_pages_and_top_lists_are_top_k(table):
 def test_all_facets_come_from_one_scan(table):
     physical = plan(statistics.facets(table)).split("== Physical Plan ==")[1]
     assert physical.count("FileScan") == 1
+
+
+def test_stored_events_and_places_are_taken_once(spark):
+    rows = spark.createDataFrame([("a", "b")], "titulo string, descripcion string").repartition(1)
+    text = gazette.parse_stored(rows).select("fechas_parseadas", "ubicacion_extraida", "info_tecnica")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("misi[óo]n\\s+del\\s+Fallo") == 1 and text.count("(?iu)municipio") == 1 and text.count("(?isuUd)Volumen\\s+a?") == 1

@@ -1,5 +1,8 @@
 """Gazette pages, blocks and notices on small synthetic texts."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from pregonero.functions import dates
@@ -151,3 +154,16 @@ def test_an_address_is_looked_for_once(spark):
     df = gazette.with_location(spark.range(12, 13).select(text.alias("texto")))
     assert df.first().direccion_completa == "Avenida Central 12, Puebla"
     assert df._jdf.queryExecution().optimizedPlan().toString().count("bicad(?:o|a)") == 1
+
+
+def test_a_look_at_two_letters_changes_no_match(values):
+    patterns = [P.SIGNATURE, P.OBJECT_2, P.OBJECT_END_2, P.EVENTS["fecha_presentacion_apertura"], P.EVENTS["fecha_fallo"]]
+    rng = random.Random(1)
+    words = ["EL", "la", "Jefe", "DIRECTORA", "ſufragio", "SUFRAGIO", "efectivo", "atentamente", "objeto de la licitación", "Descripcion", "vıſita", "VİSITA", "a",
+             "Fecha de publicaci", "junta de", "PRESENTACIÓN", "y", "Apertura de las proposiciones:", "emiſión del", "Fallo", ": 01/02/2025", "no", "de"]
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choice(words) + " " for _ in range(12)) for _ in range(300)]
+    for pattern in patterns:
+        plain = re.sub(r"\(\?=\(\?-i:\[[^]]*\]\)\)\(\?=\.\(\?-i:\[[^]]*\]\)\)", "", pattern)
+        assert plain != pattern
+        want, got = (values(lambda c, p=p: F.regexp_replace(c, p, "#"), texts) for p in (plain, pattern))
+        assert got == want and want != texts

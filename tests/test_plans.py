@@ -45,6 +45,12 @@ def test_all_facets_come_from_one_scan(table):
     assert physical.count("FileScan") == 1
 
 
+def test_a_text_is_cut_at_its_closing_formula_once(spark):
+    texts = spark.createDataFrame([("x",)], "texto string")
+    signed = gazette.with_signature(texts.repartition(1)).select("autoridad_firmante")
+    assert signed._jdf.queryExecution().optimizedPlan().toString().count("ATENTAMENTE") == 1
+
+
 def test_stored_events_and_places_are_taken_once(spark):
     rows = spark.createDataFrame([("a", "b")], "titulo string, descripcion string").repartition(1)
     text = gazette.parse_stored(rows).select("fechas_parseadas", "ubicacion_extraida", "info_tecnica")._jdf.queryExecution().optimizedPlan().toString()

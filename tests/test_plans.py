@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pregonero.functions import dates
 from pregonero.operators import filters, gazette, paging, upsert
 from pregonero.plans import analysis, statistics
 from pregonero.schema import TENDER
@@ -55,3 +56,9 @@ def test_stored_events_and_places_are_taken_once(spark):
     rows = spark.createDataFrame([("a", "b")], "titulo string, descripcion string").repartition(1)
     text = gazette.parse_stored(rows).select("fechas_parseadas", "ubicacion_extraida", "info_tecnica")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("misi[óo]n\\s+del\\s+Fallo") == 1 and text.count("(?iu)municipio") == 1 and text.count("(?isuUd)Volumen\\s+a?") == 1
+
+
+def test_an_event_date_is_matched_and_taken_in_one_pass(spark):
+    texts = spark.createDataFrame([("x",)], "c string").repartition(1)
+    text = texts.select(dates.event_timestamp(F.col("c")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in text and text.count("regexp_replace(") == 2
